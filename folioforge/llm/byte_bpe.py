@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces up to this many bytes are leaves of the reduction tree.
-LEAF_BYTES = 32
-#: Cached pieces (and stable pairs) of a Python worker; the cache restarts when it is full.
+LEAF_BYTES = 4
+#: Encodings of up to this many bytes are remembered.
+KNOWN_BYTES = 8
+#: Entries of each cache (pieces, short encodings, seams) of a Python worker; a full cache restarts.
 CACHE_ENTRIES = 200_000
 #: Rows of an output batch.
 BATCH_ROWS = 256
@@ -38,7 +40,8 @@ class ByteBpe:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.token_bytes = {rank: token for token, rank in ranks.items()}
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.seams: dict[tuple[int, int], list[int]] = {}
+        self.known: dict[bytes, list[int]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -46,7 +49,7 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(piece) > 4 * LEAF_BYTES:
+        if len(piece) > 128:
             return self._merge_with_heap(piece)
         ranks = self.ranks
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -96,36 +99,48 @@ class ByteBpe:
                 offer(before[i])
         return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def stable(self, left: int, right: int) -> bool:
-        found = self.stable_pairs.get((left, right))
+    def seam(self, left: int, right: int) -> list[int]:
+        """The encoding of two tokens' bytes; the pair is stable if these are the two tokens."""
+        found = self.seams.get((left, right))
         if found is None:
-            if len(self.stable_pairs) >= CACHE_ENTRIES:
-                self.stable_pairs.clear()
-            found = self.merge(self.token_bytes[left] + self.token_bytes[right]) == [left, right]
-            self.stable_pairs[left, right] = found
+            if len(self.seams) >= CACHE_ENTRIES:
+                self.seams.clear()
+            found = self.seams[left, right] = self.merge(self.token_bytes[left] + self.token_bytes[right])
         return found
 
+    def stable(self, left: int, right: int) -> bool:
+        return self.seam(left, right) == [left, right]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of a concatenation from the encodings of its two parts."""
         if not left or not right:
             return left or right
+        window = self.seam(left[-1], right[0])
+        if window == [left[-1], right[0]]:
+            return left + right
         i = j = 1
         while True:
-            i, j = min(i, len(left)), min(j, len(right))
             cut = len(left) - i
-            window = self.merge(self.decode(left[cut:] + right[:j]))
             left_holds = cut == 0 or self.stable(left[cut - 1], window[0])
             right_holds = j == len(right) or self.stable(window[-1], right[j])
             if left_holds and right_holds:
                 return left[:cut] + window + right[j:]
-            i, j = i if left_holds else 2 * i, j if right_holds else 2 * j
+            i = i if left_holds else min(2 * i, len(left))
+            j = j if right_holds else min(2 * j, len(right))
+            window = self.merge(self.decode(left[len(left) - i :] + right[:j]))
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         """Tree reduction of one piece: halves, then their join."""
-        if len(piece) <= LEAF_BYTES:
-            return self.merge(piece)
-        middle = len(piece) // 2
-        return self.join(self.encode_bytes(piece[:middle]), self.encode_bytes(piece[middle:]))
+        n = len(piece)
+        if n > KNOWN_BYTES:
+            return self.join(self.encode_bytes(piece[: n // 2]), self.encode_bytes(piece[n // 2 :]))
+        found = self.known.get(piece)
+        if found is None:
+            if len(self.known) >= CACHE_ENTRIES:
+                self.known.clear()
+            found = self.merge(piece) if n <= LEAF_BYTES else self.join(self.encode_bytes(piece[: n // 2]), self.encode_bytes(piece[n // 2 :]))
+            self.known[piece] = found
+        return found
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         found = self.pieces.get(piece)
@@ -188,7 +203,10 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
-                found = [bpe.decode(x or []) for x in batch.column(ids).to_pylist()]
+                lists = batch.column(ids)
+                flat = lists.values.to_numpy(zero_copy_only=False).tolist()
+                ends = lists.offsets.to_pylist()
+                found = [bpe.decode(flat[i:j]) for i, j in zip(ends, ends[1:])]
                 yield _append(batch, decoded, pa.array(found, pa.binary()))
 
     return docs.mapInArrow(run, _with(docs.schema, decoded, T.BinaryType()))
