@@ -5,12 +5,14 @@ from __future__ import annotations
 from folioforge.llm.common import Query
 from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
+from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_perspectives": op1_perspectives,
+        "op2_source_mix": op2_source_mix,
         "op6_quality_rules": op6_quality_rules,
         "op9_byte_bpe": op9_byte_bpe,
     }
@@ -19,5 +21,6 @@ def queries() -> dict[str, Query]:
 def oracles() -> dict[str, str]:
     return {
         "op1_perspectives": OP1_SQL,
+        "op2_source_mix": OP2_SQL,
         "op6_quality_rules": OP6_SQL,
     }
