@@ -48,7 +48,7 @@ FURNITURE_NAMES = frozenset(
     " skyscraper social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split()
 )
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "main", "heading", "head")
+FEATURES = ("furniture", "main", "head", "heading", "words", "links", "words_before", "links_before", "words_after", "links_after")
 
 
 def blocks(page: str) -> list[tuple[str, int, float, bool, bool, bool, bool]]:
@@ -124,7 +124,7 @@ def features(page_blocks: list[tuple]) -> list[tuple[float, ...]]:
     for i, (_, words, links, furniture, main, heading, head) in enumerate(page_blocks):
         before = page_blocks[i - 1] if i else none
         after = page_blocks[i + 1] if i + 1 < len(page_blocks) else none
-        rows.append((words, links, before[1], before[2], after[1], after[2], furniture, main, heading, head))
+        rows.append((furniture, main, head, heading, words, links, before[1], before[2], after[1], after[2]))
     return rows
 
 
@@ -159,7 +159,7 @@ def classify(tree: tuple | int, row: tuple[float, ...]) -> int:
     return tree
 
 
-def labelled_blocks(n_pages: int = 80, seed: int = 7) -> tuple[list[tuple[float, ...]], list[int]]:
+def labelled_blocks(n_pages: int = 120, seed: int = 7) -> tuple[list[tuple[float, ...]], list[int]]:
     """The labelled table: blocks of pages put together from parts whose label is known.
 
     Main text is marked by the characters of MARK, which no other part holds.
@@ -173,30 +173,32 @@ def labelled_blocks(n_pages: int = 80, seed: int = 7) -> tuple[list[tuple[float,
     def link(n: int) -> str:
         return f'<a href="/{pick.choice(syllables)}">{words(n)}</a>'
 
-    def furniture() -> str:
-        kind = pick.randrange(8)
+    def furniture(kinds: int = 9) -> str:
+        kind = pick.randrange(kinds)
         body = "".join(f"<li>{link(pick.randint(1, 4))}</li>" for _ in range(pick.randint(2, 8)))
         prose = f"<p>{words(pick.randint(1, 90))}</p>" * pick.randint(1, 3)
         return (
             f"<nav><ul>{body}</ul></nav>",
-            f"<header><p>{words(pick.randint(1, 20))}</p>{link(2)}</header>",
             f"<footer>&copy; {words(pick.randint(2, 40))}</footer>",
             f"<aside>{prose}</aside>",
             f'<div class="{pick.choice(["ad", "cookie-notice", "site-banner", "promo box"])}">{prose}</div>',
             f"<form><label>{words(2)}</label><p>{words(pick.randint(1, 30))}</p></form>",
             f'<section class="comments"><h2>{words(2)}</h2>{prose}</section>',
             f'<div id="sidebar"><ul>{body}</ul>{prose}</div>',
+            f"<header><p>{words(pick.randint(1, 20))}</p>{link(2)}</header>",
+            f"<div>{words(pick.randint(1, 5))}</div>",
         )[kind]
 
     def article() -> str:
-        parts = [f"<h1>{MARK}{words(pick.randint(1, 12))}</h1>"]
+        title = f"{MARK}{words(pick.randint(1, 12))}"
+        parts = [f'<h1><a href="/">{title}</a></h1>' if pick.random() < 0.3 else f"<h1>{title}</h1>"]
         for _ in range(pick.randint(1, 9)):
             n = pick.choice((1, 2, 3, 8, 20, 60, 150))
             parts.append(f"<p>{MARK}{words(n)}{' ' + link(2) if pick.random() < 0.3 else ''}{words(2)}</p>")
         if pick.random() < 0.3:
             parts.append(f"<ul><li>{MARK}{words(5)}</li><li>{MARK}{words(9)}</li></ul>")
         if pick.random() < 0.2:
-            parts.insert(pick.randint(1, len(parts)), furniture())
+            parts.insert(pick.randint(1, len(parts)), furniture(7))
         return "".join(parts)
 
     rows, labels = [], []
