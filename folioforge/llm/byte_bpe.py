@@ -16,9 +16,10 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -204,8 +205,9 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
                 lists = batch.column(ids)
-                flat = lists.values.to_numpy(zero_copy_only=False).tolist()
-                ends = lists.offsets.to_pylist()
+                flat = lists.flatten().to_numpy().tolist()  # of this slice alone; nulls have no values
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_pylist()
+                ends = [0, *accumulate(sizes)]
                 found = [bpe.decode(flat[i:j]) for i, j in zip(ends, ends[1:])]
                 yield _append(batch, decoded, pa.array(found, pa.binary()))
 
