@@ -128,7 +128,7 @@ def features(page_blocks: list[tuple]) -> list[tuple[float, ...]]:
     return rows
 
 
-def train(rows: list[tuple[float, ...]], labels: list[int], depth: int = 6) -> tuple | int:
+def train(rows: list[tuple[float, ...]], labels: list[int], depth: int = 8) -> tuple | int:
     """A decision tree as nested (feature, threshold, at or below, above) with labels as leaves; Gini impurity."""
     ones = sum(labels)
     if not depth or ones in (0, len(labels)):
@@ -207,8 +207,8 @@ def labelled_blocks(n_pages: int = 120, seed: int = 7) -> tuple[list[tuple[float
         holder = pick.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<div>{}</div>"))
         if holder.startswith("<div"):  # no element says where the text is: long blocks do
             inside = f"<h1>{MARK}{words(6)}</h1>" + "".join(f"<p>{MARK}{words(pick.randint(15, 120))}</p>" for _ in range(pick.randint(2, 6)))
-            inside += f"<div>{link(2)}</div>" * pick.randint(0, 3)
-        title = f"<title>{words(5)}</title>" if pick.random() < 0.7 else ""
+            inside += f"<div>{link(pick.randint(2, 14))}</div>" * pick.randint(0, 3)
+        title = f"<title>{words(pick.randint(1, 60))}</title>" if pick.random() < 0.7 else ""
         page = f"<html><head>{title}</head><body>" + "".join(furniture() for _ in range(pick.randint(0, 3)))
         page += holder.format(inside) + "".join(furniture() for _ in range(pick.randint(0, 3))) + "</body></html>"
         of_page = blocks(page)
