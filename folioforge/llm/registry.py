@@ -7,6 +7,7 @@ from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
 from folioforge.llm.queries_html import op10_html_text
 from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
+from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
 
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_perspectives": op1_perspectives,
         "op2_source_mix": op2_source_mix,
         "op6_quality_rules": op6_quality_rules,
+        "op7_ngram_join": op7_ngram_join,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
     }
