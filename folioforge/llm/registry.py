@@ -9,12 +9,14 @@ from folioforge.llm.queries_html import op10_html_text
 from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
+from folioforge.llm.queries_suffix import op5_suffix_dedup
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_perspectives": op1_perspectives,
         "op2_source_mix": op2_source_mix,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_join": op7_ngram_join,
         "op9_byte_bpe": op9_byte_bpe,
