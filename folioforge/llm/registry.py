@@ -10,12 +10,14 @@ from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
 from folioforge.llm.queries_suffix import op5_suffix_dedup
+from folioforge.llm.queries_warc import OP4_SQL, op4_warc_zip
 
 
 def queries() -> dict[str, Query]:
     return {
         "op1_perspectives": op1_perspectives,
         "op2_source_mix": op2_source_mix,
+        "op4_warc_zip": op4_warc_zip,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_join": op7_ngram_join,
@@ -28,5 +30,6 @@ def oracles() -> dict[str, str]:
     return {
         "op1_perspectives": OP1_SQL,
         "op2_source_mix": OP2_SQL,
+        "op4_warc_zip": OP4_SQL,
         "op6_quality_rules": OP6_SQL,
     }
