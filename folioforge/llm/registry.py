@@ -6,6 +6,7 @@ from folioforge.llm.common import Query
 from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
 from folioforge.llm.queries_html import op10_html_text
+from folioforge.llm.queries_license import OP8_SQL, op8_license_scan
 from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_ngram_join": op7_ngram_join,
+        "op8_license_scan": op8_license_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
     }
@@ -32,4 +34,5 @@ def oracles() -> dict[str, str]:
         "op2_source_mix": OP2_SQL,
         "op4_warc_zip": OP4_SQL,
         "op6_quality_rules": OP6_SQL,
+        "op8_license_scan": OP8_SQL,
     }
