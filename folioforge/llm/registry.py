@@ -11,6 +11,7 @@ from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
 from folioforge.llm.queries_suffix import op5_suffix_dedup
+from folioforge.llm.queries_vectors import op3_nn_descent
 from folioforge.llm.queries_warc import OP4_SQL, op4_warc_zip
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_perspectives": op1_perspectives,
         "op2_source_mix": op2_source_mix,
+        "op3_nn_descent": op3_nn_descent,
         "op4_warc_zip": op4_warc_zip,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
