@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from folioforge.llm.common import Query
 from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
+        "pipeline": corpus_pipeline.run,
     }
 
 
