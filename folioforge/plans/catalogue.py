@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from folioforge.plans import q_cost, q_library  # noqa: F401
