@@ -45,7 +45,7 @@ def without_fence(text: Column) -> Column:
 def fenced(text: Column, language: str) -> Column:
     """The first fenced block of a language, else the text without its fence."""
     block = F.regexp_extract(text, rf"(?s)```{language}\s*\n(.*?)```", 1)
-    return F.when(block != "", F.trim(block)).otherwise(without_fence(text))
+    return F.when(block != "", F.trim(F.regexp_replace(block, r"\s+$", ""))).otherwise(without_fence(text))
 
 
 def list_of(text: Column, schema: str, wrapper: str = "visualizations") -> Column:
