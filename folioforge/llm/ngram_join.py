@@ -8,8 +8,9 @@ similarity is at least ``PERCENT`` hundredths.
    candidates.
 2. A set is indexed under the shingles of its prefix, the first n - ceil(t n) + 1 of the order. Postings of a
    scan block meet those of other blocks by shingle.
-3. First round: each posting is paired with its neighbour by size and with the first of its list. That is a
-   linear number of pairs however long the list. Their components hold all but stray copies of a group.
+3. First round: the postings of a list are shuffled, differently for each shingle, and each is paired with its
+   neighbour and with the list's first. That is a linear number of pairs however long the list, and different
+   partners from every shingle: their components hold all but stray copies of a group.
 4. Second round: for the shingles whose postings lie in more than one component, all pairs of postings of
    different components. Links inside a component cannot change the result, so none between different
    components is lost.
@@ -24,11 +25,11 @@ rows; other columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import connected_components, stash, unstash
@@ -40,9 +41,9 @@ CELLS, CELL_ROWS = 1 << 20, 64
 #: Bytes of text whose postings are gathered before they are sent.
 BLOCK_BYTES = 32 << 20
 #: Hash ranges of the suffix filter.
-RANGES = 64
+RANGES = 128
 
-SCANNED = "doc_id long, n long, sig long, part int, cells binary"
+SCANNED = "doc_id long, n long, sig long, hist array<smallint>, part int, cells binary"
 POSTED = "bucket int, whole boolean, data binary, a long, b long"
 POSTING = [("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")]
 
@@ -59,7 +60,7 @@ def prefix_length(n: int) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, size, digest); at the end the task's sketch, in parts."""
     cells = np.zeros(CELLS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("hist", pa.list_(pa.int16())), ("part", pa.int32()), ("cells", pa.binary())])
     for batch in batches:
         ids = batch.column("doc_id").to_pylist()
         for first, run in slices(batch.column("text").to_pylist()):
@@ -68,10 +69,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(cells, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), 1)
             k = len(run)
             digests = [signature(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + k], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            hists = pa.array([histogram(s) if len(s) else None for s in sets], pa.list_(pa.int16()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + k], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), hists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     if cells.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in cells.reshape(CELL_ROWS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(CELL_ROWS, pa.int64())] * 3 + [pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(CELL_ROWS, pa.int64())] * 3 + [pa.nulls(CELL_ROWS, pa.list_(pa.int16())), pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +100,8 @@ def rarity(scanned: DataFrame) -> bytes:
 
 
 def histogram(hashes: np.ndarray) -> np.ndarray:
-    """Members by hash range, each up to 255: capped counts still bound the difference from below."""
-    return np.minimum(255, np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=RANGES)).astype(np.uint8)
+    """Members by hash range, each up to 32,767: capped counts still bound the difference from below."""
+    return np.minimum(32767, np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=RANGES)).astype(np.int16)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -115,7 +117,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def linear_pairs(p: np.ndarray) -> np.ndarray:
-    """Index pairs of postings sorted by (token, n, sig): each with the one before it and with its list's first."""
+    """Index pairs of postings in ``shuffled`` order: each with the one before it and with its list's first."""
     if len(p) < 2:
         return np.empty((0, 2), np.int64)
     same = p["token"][1:] == p["token"][:-1]
@@ -126,16 +128,38 @@ def linear_pairs(p: np.ndarray) -> np.ndarray:
     return pairs[fits(a, b)]
 
 
+def shuffled(p: np.ndarray) -> np.ndarray:
+    """Postings by token, in an order of each token's own; postings of one set stay together."""
+    return p[np.lexsort((p["sig"], mix(p["sig"].astype(np.uint64) ^ p["token"]), p["token"]))]
+
+
 def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length and positional filter of postings of one token, a's set not larger than b's."""
+    """Length and positional filter of postings of one token."""
     na, nb, pa_, pb = (x.astype(np.int64) for x in (a["n"], b["n"], a["pos"], b["pos"]))
-    return (a["sig"] != b["sig"]) & (100 * na >= PERCENT * nb) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= needed(na, nb))
+    size = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+    return (a["sig"] != b["sig"]) & size & (np.minimum(na - pa_, nb - pb) >= needed(na, nb))
 
 
 def _distinct(sig_pairs: np.ndarray) -> np.ndarray:
     return np.unique(np.sort(sig_pairs, axis=1), axis=0)
 
 
+def _forest(pairs: Iterable[tuple[int, int]], sets: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+    """The components of the similar pairs as stars; a pair that is connected already need not be compared."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above.setdefault(up, up)
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        if x != y and similar(sets[a], sets[b]):
+            above[max(x, y)] = min(x, y)
+    return [(root(x), x) for x in list(above) if root(x) != x]
+
+
 def _post(levels: bytes, n_buckets: int):
     """A scan block's postings, bucketed by token; pairs inside the block are verified at once."""
 
@@ -168,10 +192,9 @@ def _block(sets: dict[int, np.ndarray], rank: np.ndarray, n_buckets: int) -> Ite
         p = np.empty(len(order), POSTING)
         p["token"], p["sig"], p["n"], p["pos"] = s[order], sig, len(s), np.arange(len(order))
         parts.append(p)
-    p = np.concatenate(parts)
-    p = p[np.lexsort((p["sig"], p["n"], p["token"]))]
+    p = shuffled(np.concatenate(parts))
     pairs = linear_pairs(p)
-    links = [(a, b) for a, b in _distinct(np.stack([p["sig"][pairs[:, 0]], p["sig"][pairs[:, 1]]], 1)).tolist() if similar(sets[a], sets[b])]
+    links = _forest(_distinct(np.stack([p["sig"][pairs[:, 0]], p["sig"][pairs[:, 1]]], 1)).tolist(), sets)
     # of a list that is long already here, the ends go to meet other blocks' and the whole waits for the second round
     first = np.concatenate(([True], p["token"][1:] != p["token"][:-1]))
     group = np.cumsum(first) - 1
@@ -238,8 +261,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for p in held:
         yield from rows(p, None)
     if sent:
-        p = np.concatenate(sent)
-        p = p[np.lexsort((p["sig"], p["n"], p["token"]))]
+        p = shuffled(np.concatenate(sent))
         # copies of a set in several blocks are one posting
         p = p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["sig"][1:] != p["sig"][:-1])))]
         same = p["token"][1:] == p["token"][:-1]
@@ -257,18 +279,13 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, run in slices(batch.column("text").to_pylist()):
             # a doc_id may stand for several texts: only the one that is meant counts
             sets = [(sig, s) for sig, s in zip(sigs[first:], shingle_sets(run)) if len(s) and signature(s) == sig]
-            yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary()), pa.array([histogram(s).tobytes() for _, s in sets], pa.binary())], ["sig", "hashes", "hist"])
+            yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["sig", "hashes"])
 
 
-def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose difference by hash range does not already exceed what similar sets may differ by."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for c in ("hist_a", "hist_b")]
-        na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        keep = np.abs(h[0] - h[1]).sum(1) <= na + nb - 2 * needed(na, nb)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+def may_be_similar(hist_a: Column, hist_b: Column, total: Column) -> Column:
+    """Suffix filter: what two sets differ by in each hash range does not exceed what similar sets of this size may."""
+    apart = F.aggregate(F.zip_with(hist_a, hist_b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda d, x: d + x)
+    return apart <= total - 2 * F.ceil(total * PERCENT / (100 + PERCENT))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,21 +303,19 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         self.spark = docs.sparkSession
         scanned = stash(self.docs.mapInArrow(_scan, SCANNED), "scan")
-        #: (doc_id, n, sig), sig null for an empty set
-        self.scanned = scanned.where("part IS NULL").select("doc_id", "n", "sig")
+        #: (doc_id, n, sig, hist), sig and hist null for an empty set
+        self.scanned = scanned.where("part IS NULL").select("doc_id", "n", "sig", "hist")
+        self.hists = self.scanned.where("sig IS NOT NULL").groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("hist").alias("hist"))
         self.levels = rarity(scanned)
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The similar ones of ``pairs`` (a, b), each verified once."""
+        """The similar ones of ``pairs`` (a, b), which have passed the suffix filter; each is verified once."""
         pairs = stash(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        reps = self.scanned.join(ids, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-        sets = stash(self.docs.join(reps, "doc_id").select("sig", "text").mapInArrow(_sets_of, "sig long, hashes binary, hist binary"), "sets")
-        small = sets.select("sig", "hist", (F.octet_length("hashes") / 8).cast("long").alias("n"))
-        left, right = (small.select(F.col("sig").alias(x), F.col("hist").alias(f"hist_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        near = pairs.join(left, "a").join(right, "b").mapInArrow(_suffix_filter, "a long, b long")
+        reps = self.scanned.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(ids, "sig", "left_semi")
+        sets = stash(self.docs.join(reps, "doc_id").select("sig", "text").mapInArrow(_sets_of, "sig long, hashes binary"), "sets")
         left, right = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
-        links = stash(near.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
+        links = stash(pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
         unstash(pairs, sets)
         return links
 
@@ -310,14 +325,17 @@ class Join:
         posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets), POSTED), "posted")
         inside = posted.where("a IS NOT NULL").select("a", "b")
         met = stash(posted.where("bucket IS NOT NULL").repartition("bucket").select("whole", "data").mapInArrow(_meet, MET), "met")
-        first = stash(inside.union(self._verified(met.where("a IS NOT NULL").select("a", "b"))), "links")
+        left, right = (self.hists.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}")) for x in "ab")
+        across = met.where("a IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b")
+        across = across.where(may_be_similar(F.col("hist_a"), F.col("hist_b"), F.col("n_a") + F.col("n_b"))).select("a", "b")
+        first = stash(inside.union(self._verified(across)), "links")
         unstash(posted)
         known = stash(connected_components(first), "components")
         postings = met.where("token IS NOT NULL").select("token", "sig", "n", "pos").distinct()
         placed = postings.join(known.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         placed = stash(placed, "placed")
         mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-        several = stash(placed.join(mixed, "token"), "mixed")
+        several = stash(placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig"), "mixed")
         x, y = several.alias("x"), several.alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         total = F.col("x.n") + F.col("y.n")
@@ -327,9 +345,16 @@ class Join:
             & (F.struct("x.n", "x.sig") < F.struct("y.n", "y.sig"))
             & (100 * F.col("x.n") >= PERCENT * F.col("y.n"))
             & ((100 + PERCENT) * room >= PERCENT * total)
+            & may_be_similar(F.col("x.hist"), F.col("y.hist"), total)
         )
         later = self._verified(x.join(y, fit).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
-        return connected_components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).union(later))
+        # the later links join whole components: only these are looked at again
+        of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = later.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        joined = stash(connected_components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))), "joined")
+        moved = known.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+        moved = moved.select("id", F.coalesce("now", "component").alias("component"))
+        return moved.union(joined).groupBy("id").agg(F.min("component").alias("component"))
 
     def labelled(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), a row for each document."""

@@ -8,7 +8,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text that are hashed together.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 SPACE = np.zeros(256, bool)
