@@ -63,10 +63,20 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstash(*frames: DataFrame) -> None:
-    """Delete stashed tables that nothing lazy still reads, and let Spark drop their shuffle files."""
+    """Delete stashed tables that nothing lazy still reads, and let Spark drop the shuffle files of what came before."""
     for df in frames:
         drop_path(df.sparkSession, df.stash_path)
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    spark = frames[0].sparkSession
+    spark.range(1).count()  # the last query's plan, and with it its shuffle files, is held until the next one
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucket_keys(spark: SparkSession) -> list[int]:
+    """An int key for each shuffle partition, such that a repartition by the key deals one key to each partition."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = {r["place"]: r["key"] for r in spark.range(16 * n + 1000).groupBy(place.alias("place")).agg(F.min("id").alias("key")).collect()}
+    return [found.get(i, i) for i in range(n)]
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.anchors import SEGMENT, SPAN, WINDOW, pieces, prefix_sums, segments, substring_hash
-from folioforge.llm.common import stash, unstash
+from folioforge.llm.common import bucket_keys, stash, unstash
 from folioforge.llm.shingles import mix
 
 #: Segments that a block gathers before it sends them.
-BLOCK_SEGMENTS = 3_000_000
+BLOCK_SEGMENTS = 1_500_000
 #: Contents of one anchor in one block from which its windows go by content.
 MANY = 16
 #: Bytes of a segment's row: the longest segment.
@@ -85,11 +85,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["kind", "bucket", "data"])
 
 
-def by_bucket(kind: int, fields: dict[str, np.ndarray], key: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+def by_bucket(kind: int, fields: dict[str, np.ndarray], key: np.ndarray, buckets: list[int]) -> Iterator[pa.RecordBatch]:
     """Rows of the packed columns, one for each bucket of ``key``."""
     if not len(key):
         return
-    bucket = (mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (mix(key.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(len(buckets))).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(order)]):
@@ -97,7 +97,7 @@ def by_bucket(kind: int, fields: dict[str, np.ndarray], key: np.ndarray, n_bucke
         packed = pack({n: x[some] for n, x in fields.items() if n != "rows"})
         if "rows" in fields:
             packed += fields["rows"][some].tobytes()
-        yield _batch([(kind, int(bucket[some[0]]), packed)])
+        yield _batch([(kind, buckets[bucket[some[0]]], packed)])
 
 
 def heads(*columns: np.ndarray) -> np.ndarray:
@@ -113,7 +113,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[list[int], list[bytes]]:
     return batch.column("doc_id").to_pylist(), [(t or "").encode() for t in batch.column("text").to_pylist()]
 
 
-def _send_anchors(n_buckets: int):
+def _send_anchors(buckets: list[int]):
     """Each anchor of a block once; segments whose anchor the block holds more than once are marked here."""
 
     def block(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -123,9 +123,9 @@ def _send_anchors(n_buckets: int):
         again = ~new
         again[:-1] |= ~new[1:]
         first = s[new]
-        yield from by_bucket(ANCHORS, {n: first[n] for n, _ in ANCHOR}, first["anchor"], n_buckets)
+        yield from by_bucket(ANCHORS, {n: first[n] for n, _ in ANCHOR}, first["anchor"], buckets)
         here = s[again]
-        yield from by_bucket(MARKS, {n: here[n] for n, _ in MARK}, here["doc"].copy(), n_buckets)
+        yield from by_bucket(MARKS, {n: here[n] for n, _ in MARK}, here["doc"].copy(), buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -144,7 +144,7 @@ def _send_anchors(n_buckets: int):
     return run
 
 
-def _meet_anchors(n_buckets: int):
+def _meet_anchors(buckets: list[int]):
     """Marks of the segments whose anchor came from several blocks; marks pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def _meet_anchors(n_buckets: int):
         again = ~new
         again[:-1] |= ~new[1:]
         s = take(s, again)
-        yield from by_bucket(MARKS, {"doc": s["doc"], "start": s["start"], "windows": np.ones(len(s["doc"]), np.uint8)}, s["doc"], n_buckets)
+        yield from by_bucket(MARKS, {"doc": s["doc"], "start": s["start"], "windows": np.ones(len(s["doc"]), np.uint8)}, s["doc"], buckets)
 
     return run
 
@@ -183,12 +183,16 @@ def _gather_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 2000], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "marks"])
 
 
-def _true_digest(s: dict[str, np.ndarray]) -> None:
-    """Equal digests must be equal bytes: compare neighbours; after a collision the bytes themselves are numbered."""
-    same = ~heads(s["anchor"], s["digest"])[1:]
-    if len(same) and (s["rows"][1:][same] != s["rows"][:-1][same]).any():
-        view = np.ascontiguousarray(s["rows"]).view([("", f"V{ROW}")]).ravel()
-        s["digest"] = np.unique(view, return_inverse=True)[1].astype(np.uint64)
+def _true_digest(s: dict[str, np.ndarray], rows: np.ndarray) -> bool:
+    """Equal digests must be equal bytes: compare neighbours; after a collision (True) the bytes themselves are numbered."""
+    same = np.flatnonzero(~heads(s["anchor"], s["digest"]))
+    for a in range(0, len(same), 20_000):
+        k = same[a : a + 20_000]
+        if (rows[s["row"][k]] != rows[s["row"][k - 1]]).any():
+            view = np.ascontiguousarray(rows[s["row"]]).view([("", f"V{ROW}")]).ravel()
+            s["digest"] = np.unique(view, return_inverse=True)[1].astype(np.uint64)
+            return True
+    return False
 
 
 def least_of(s: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -198,9 +202,9 @@ def least_of(s: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray],
     return s, s["doc"][new][np.cumsum(new) - 1]
 
 
-def marks(s: dict[str, np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def marks(s: dict[str, np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
     windows = s["windows"] if "windows" in s else np.ones(len(s["doc"]), np.uint8)
-    yield from by_bucket(MARKS, {"doc": s["doc"], "start": s["start"], "windows": windows}, s["doc"], n_buckets)
+    yield from by_bucket(MARKS, {"doc": s["doc"], "start": s["start"], "windows": windows}, s["doc"], buckets)
 
 
 def windows_of(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -209,46 +213,52 @@ def windows_of(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     first = np.cumsum(s["windows"].astype(np.int64)) - s["windows"]
     j = np.arange(len(row)) - first[row]
     one, two = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
-    for a in range(0, len(row), 100_000):
-        r, k = row[a : a + 100_000], j[a : a + 100_000]
+    for a in range(0, len(row), 20_000):
+        r, k = row[a : a + 20_000], j[a : a + 20_000]
         body = s["rows"][r[:, None], k[:, None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)
-        one[a : a + 100_000] = mix((body * WEIGHTS).sum(1, dtype=np.uint64))
+        one[a : a + 20_000] = mix((body * WEIGHTS).sum(1, dtype=np.uint64))
         words = np.ascontiguousarray(s["rows"][r[:, None], k[:, None] + np.arange(48)]).view("<u8")
         x = mix(body[:, 48] * np.uint64(257) + body[:, 49])
         for c in range(6):
             x = mix(x ^ words[:, c])
-        two[a : a + 100_000] = x
+        two[a : a + 20_000] = x
     return {"one": one, "two": two, "doc": s["doc"][row], "start": (s["start"][row] + j).astype(np.uint32)}
 
 
-def send_windows(w: dict[str, np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
+def send_windows(w: dict[str, np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
     """Windows by content: the least document of each content goes on, the others are resolved here."""
     w, least = least_of(w, "one", "two")
     later = w["doc"] > least
-    yield from marks(take(w, later), n_buckets)
+    yield from marks(take(w, later), buckets)
     w = take(w, ~later)
-    yield from by_bucket(WINDOWS, w, w["one"], n_buckets)
+    yield from by_bucket(WINDOWS, w, w["one"], buckets)
 
 
-def _send_segments(n_buckets: int):
+def _send_segments(buckets: list[int]):
     """A block's marked segments: one document of each content goes on by anchor, later ones are resolved here."""
 
     def block(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        s, least = least_of(join(parts), "anchor", "digest")
-        _true_digest(s)
+        s = join(parts)
+        parts.clear()
+        rows = s.pop("rows")
+        s["row"] = np.arange(len(rows))
         s, least = least_of(s, "anchor", "digest")
+        if _true_digest(s, rows):
+            s, least = least_of(s, "anchor", "digest")
         later = s["doc"] > least
-        yield from marks(take(s, later), n_buckets)
+        yield from marks(take(s, later), buckets)
         s = take(s, ~later)
+        s["rows"] = rows[s.pop("row")]
+        del rows
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
         contents = np.bincount(anchor_of, weights=heads(s["anchor"], s["digest"]))
         many = contents[anchor_of] > MANY
         if many.any():
-            yield from send_windows(windows_of(take(s, many)), n_buckets)
+            yield from send_windows(windows_of(take(s, many)), buckets)
             sign = many & heads(s["anchor"])  # tells the anchor's bucket that its windows go by content
             signs = take(s, sign) | {"windows": np.zeros(int(sign.sum()), np.uint8)}
             s = join([take(s, ~many), signs])
-        yield from by_bucket(SEGMENTS, s, s["anchor"], n_buckets)
+        yield from by_bucket(SEGMENTS, s, s["anchor"], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -263,7 +273,7 @@ def _send_segments(n_buckets: int):
                     s = s[np.isin((s["doc"].astype(np.uint64) << np.uint64(32)) | s["start"], wanted)]
                     if not len(s):
                         continue
-                    fields = {n: s[n] for n, _ in SEGMENT} | {"rows": rows_of(s, texts)}
+                    fields = {n: np.ascontiguousarray(s[n]) for n, _ in SEGMENT} | {"rows": rows_of(s, texts)}
                     fields["doc"] = np.array(ids, np.int64)[s["doc"]]
                     parts.append(fields)
                     size += len(s)
@@ -378,25 +388,35 @@ def owned_earlier(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return row[found], j[found]
 
 
-def _meet_segments(n_buckets: int):
+def _meet_segments(buckets: list[int]):
+    """Marks of the windows that a smaller document's segment holds; marks and windows of the blocks pass through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(d, SEGMENT, ROW) for batch in batches for d in batch.column("data").to_pylist()]
+        parts = []
+        for batch in batches:
+            for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if kind == SEGMENTS:
+                    parts.append(unpack(data, SEGMENT, ROW))
+                else:
+                    yield _batch([(kind, bucket, data)])
         if not parts:
             return
         s = join(parts)
-        del parts
+        parts.clear()
         s, _ = least_of(s, "anchor", "digest")
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
         split = np.bincount(anchor_of, weights=s["windows"] == 0)[anchor_of] > 0
         if split.any():
-            yield from send_windows(windows_of(take(s, split & (s["windows"] > 0))), n_buckets)
+            yield from send_windows(windows_of(take(s, split & (s["windows"] > 0))), buckets)
             s = take(s, ~split)
         if not len(s["doc"]):
             return
-        _true_digest(s)
+        s["row"] = np.arange(len(s["doc"]))
+        _true_digest(s, s["rows"])
+        del s["row"]
         s, least = least_of(s, "anchor", "digest")
         later = s["doc"] > least
-        yield from marks(take(s, later), n_buckets)
+        yield from marks(take(s, later), buckets)
         s = take(s, ~later)
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
         contents = np.bincount(anchor_of, weights=heads(s["anchor"], s["digest"]))
@@ -426,17 +446,17 @@ def _meet_segments(n_buckets: int):
             holder = np.repeat(np.arange(len(content)), high - low)
             offset = np.arange(len(holder)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
             which = by_content[low[holder] + offset]
-            yield from marks({"doc": some["doc"][holder], "start": (some["start"][holder] + j[begin][which]).astype(np.uint32), "windows": length[which].astype(np.uint8)}, n_buckets)
+            yield from marks({"doc": some["doc"][holder], "start": (some["start"][holder] + j[begin][which]).astype(np.uint32), "windows": length[which].astype(np.uint8)}, buckets)
 
     return run
 
 
-def _meet_windows(n_buckets: int):
+def _meet_windows(buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(d, BY_CONTENT) for batch in batches for d in batch.column("data").to_pylist()]
         if parts:
             w, least = least_of(join(parts), "one", "two")
-            yield from marks(take(w, w["doc"] > least), n_buckets)
+            yield from marks(take(w, w["doc"] > least), buckets)
 
     return run
 
@@ -479,8 +499,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, spans) of ``docs`` (doc_id, text): remaining bytes and removed runs."""
     spark = docs.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(64, 4 * n_parts)
+    buckets = bucket_keys(spark)
     docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # equal texts: all but the first are removed whole; one text stands for an id
     hashed = stash(docs.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("doc_id").agg(F.min("sha").alias("sha")), "hashed")
@@ -488,20 +507,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = stash(hashed.join(firsts, "sha").select("doc_id", "sha", (F.col("doc_id") != F.col("first")).alias("copy")), "known")
 
     gather = lambda sent: sent.repartition("bucket").select("data").mapInArrow(_gather_marks, "doc_id long, marks binary")
-    met = docs.mapInArrow(_send_anchors(n_buckets), SENT).repartition("kind", "bucket").mapInArrow(_meet_anchors(n_buckets), SENT)
-    marked = stash(gather(met), "marked")
+    anchors = docs.mapInArrow(_send_anchors(buckets), SENT).repartition("bucket").mapInArrow(_meet_anchors(buckets), SENT)
+    marked = stash(gather(anchors), "marked")
     unstash(hashed)
 
     wanted = known.where("NOT copy").join(marked, "doc_id").select("doc_id", "sha", "marks")
     held = docs.join(wanted, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "marks")
-    sent = stash(held.mapInArrow(_send_segments(n_buckets), SENT), "segments")
-    by_kind = lambda df, kind: df.where(F.col("kind") == kind)
+    sent = held.mapInArrow(_send_segments(buckets), SENT)
+    met = stash(sent.repartition("bucket").mapInArrow(_meet_segments(buckets), SENT), "met")
     unstash(marked)
-    second = stash(by_kind(sent, SEGMENTS).repartition("bucket").select("data").mapInArrow(_meet_segments(n_buckets), SENT), "met")
-    windows = by_kind(sent, WINDOWS).union(by_kind(second, WINDOWS))
-    third = windows.repartition("bucket").select("data").mapInArrow(_meet_windows(n_buckets), SENT)
-    found = stash(gather(by_kind(sent, MARKS).union(by_kind(second, MARKS)).union(third)), "found")
-    unstash(sent, second)
+    by_kind = lambda df, kind: df.where(F.col("kind") == kind)
+    windows = by_kind(met, WINDOWS).repartition("bucket").select("data").mapInArrow(_meet_windows(buckets), SENT)
+    found = stash(gather(by_kind(met, MARKS).union(windows)), "found")
+    unstash(met)
 
     plan = known.join(found, "doc_id", "left")
     return docs.join(plan, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "copy", "marks").mapInArrow(_cut, CLEANED)
