@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.functions.text import shorten
 from folioforge.functions.vocabulary import NODE_COLOURS, OTHER_COLOUR
@@ -79,10 +80,10 @@ def clean_mermaid(text: Column) -> Column:
     body = F.regexp_replace(body, r"(?s)\A\s*---\n.*?\n---\s*\n", "")
     body = F.regexp_replace(body, r"(?s)accDescr\s*\{[^}]*\}", "")
     body = F.regexp_replace(body, r"(?m)^\s*acc(?:Title|Descr)\s*:[^\n]*\n?", "")
-    return F.trim(body)
+    return F.regexp_replace(body, r"^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quote_labels(text: pd.Series) -> pd.Series:
     """Labels with special characters in quotes; each match is judged by itself, which no built-in can do."""
     label = re.compile(r"\[([^\[\]\"]*[(){}<>|:][^\[\]\"]*)\]")

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from folioforge.plans import q_cost, q_library, q_text  # noqa: F401
+from folioforge.plans import q_cost, q_library, q_runs, q_text  # noqa: F401
