@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,31 +17,51 @@ def touching(rects: DataFrame, margin: float = 20) -> DataFrame:
     return x.join(y, same & meet).select(F.col("x.doc_id").alias("doc_id"), F.col("x.page_no").alias("page_no"), F.col("x.rect_no").alias("a"), F.col("y.rect_no").alias("b"))
 
 
+def _joined(boxes: list[tuple], margin: float) -> list[int]:
+    """The number of each box's connected group, by first box."""
+    label = list(range(len(boxes)))
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, (ax0, ay0, ax1, ay1) in enumerate(boxes):
+        for j in range(i + 1, len(boxes)):
+            bx0, by0, bx1, by1 = boxes[j]
+            if ax0 - margin < bx1 and bx0 < ax1 + margin and ay0 - margin < by1 and by0 < ay1 + margin:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    roots = [root(i) for i in range(len(boxes))]
+    order = {r: n + 1 for n, r in enumerate(dict.fromkeys(roots))}
+    return [order[r] for r in roots]
+
+
 def group_boxes(rects: DataFrame, margin: float = 20) -> DataFrame:
-    """``rects`` with group_no: connected boxes of a page, numbered by their first box."""
-
-    def group(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("rect_no").reset_index(drop=True)
-        label = list(range(len(page)))
-
-        def root(i: int) -> int:
-            while label[i] != i:
-                i = label[i]
-            return i
-
-        boxes = list(page[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        for i, (ax0, ay0, ax1, ay1) in enumerate(boxes):
-            for j in range(i + 1, len(boxes)):
-                bx0, by0, bx1, by1 = boxes[j]
-                if ax0 - margin < bx1 and bx0 < ax1 + margin and ay0 - margin < by1 and by0 < ay1 + margin:
-                    a, b = root(i), root(j)
-                    label[max(a, b)] = min(a, b)
-        roots = [root(i) for i in range(len(page))]
-        order = {r: n + 1 for n, r in enumerate(dict.fromkeys(roots))}
-        page["group_no"] = [order[r] for r in roots]
-        return page[["doc_id", "page_no", "rect_no", "group_no"]]
-
-    numbers = rects.select("doc_id", "page_no", "rect_no", "x0", "y0", "x1", "y1").groupBy("doc_id", "page_no").applyInPandas(group, "doc_id long, page_no int, rect_no int, group_no int")
+    """``rects`` with group_no: connected boxes of a page, numbered by their first box.
+
+    Pages come sorted inside partitions and are taken one after the other, without a call for each page.
+    """
+    columns = ["doc_id", "page_no", "rect_no", "x0", "y0", "x1", "y1"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+
+        def done(rows: list[tuple]) -> list[tuple]:
+            return [(*r[:3], g) for r, g in zip(rows, _joined([r[3:] for r in rows], margin))]
+
+        for frame in frames:
+            out: list[tuple] = []
+            for row in frame[columns].itertuples(index=False, name=None):
+                if held and held[0][:2] != row[:2]:
+                    out += done(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["doc_id", "page_no", "rect_no", "group_no"])
+        yield pd.DataFrame(done(held), columns=["doc_id", "page_no", "rect_no", "group_no"])
+
+    pages = rects.select(*columns).repartition("doc_id", "page_no").sortWithinPartitions("doc_id", "page_no", "rect_no")
+    numbers = pages.mapInPandas(run, "doc_id long, page_no int, rect_no int, group_no int")
     return rects.join(numbers, ["doc_id", "page_no", "rect_no"])
 
 
