@@ -24,7 +24,7 @@ ROUNDS = 20
 #: Start and bounds of a rule's false alarms (bad votes on good documents) and of its hits (bad votes on bad ones);
 #: the bounds keep an estimate on the side of the rule's meaning.
 ALARMS, HITS, GOOD = 0.02, 0.5, 0.8
-LEAST_ALARMS, MOST_ALARMS, LEAST_HITS, MOST_HITS, LEAST_GOOD, MOST_GOOD = 0.0005, 0.01, 0.2, 0.99, 0.5, 0.9
+LEAST_ALARMS, MOST_ALARMS, LEAST_HITS, MOST_HITS, LEAST_GOOD, MOST_GOOD = 0.0005, 0.002, 0.2, 0.99, 0.5, 0.9
 
 #: (name, bad if, good if) over the measured columns, in SQL that Spark and DuckDB both read. Integer arithmetic only.
 RULES = (
