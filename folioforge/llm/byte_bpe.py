@@ -29,7 +29,7 @@ LEAF_BYTES = 4
 #: Encodings of up to this many bytes are remembered.
 KNOWN_BYTES = 8
 #: Entries of each cache (pieces, short encodings, seams) of a Python worker; a full cache restarts.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 #: Rows of an output batch.
 BATCH_ROWS = 256
 
@@ -43,7 +43,7 @@ class ByteBpe:
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.seams: dict[tuple[int, int], list[int]] = {}
         self.known: dict[bytes, list[int]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Merge the neighbouring pair of lowest rank, the first of equals, until none has a rank."""
@@ -143,19 +143,14 @@ class ByteBpe:
             self.known[piece] = found
         return found
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = tuple(self.encode_bytes(piece.encode()))
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
         """Each match of the pattern is encoded separately."""
-        return list(chain.from_iterable(map(self.encode_piece, self.split(text))))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+
+    def forget(self) -> None:
+        """Empty the caches: an idle worker keeps only the vocabulary."""
+        for cache in (self.pieces, self.known, self.seams):
+            cache.clear()
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree."""
@@ -165,6 +160,22 @@ class ByteBpe:
         return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
+class Pieces(dict):
+    """Encodings by piece: a piece that is not there yet is encoded, and remembered unless it is long."""
+
+    def __init__(self, bpe: ByteBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        found = tuple(self.bpe.encode_bytes(piece.encode()))
+        if len(piece) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """The tokenizer of a rank file (base64 token and rank on each line), once per Python worker."""
@@ -192,6 +203,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 batch = whole.slice(at, BATCH_ROWS)
                 found = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
                 yield _append(batch, ids, pa.array(found, pa.list_(pa.int32())))
+        bpe.forget()
 
     return docs.mapInArrow(run, _with(docs.schema, ids, T.ArrayType(T.IntegerType())))
 

@@ -147,7 +147,7 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("paper_id long, phase string, cost_usd double, ts timestamp").parquet(str(tmp_path / "in"))
 
     def rows(df, name, mode):
-        q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+        q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(once=True).option("checkpointLocation", str(tmp_path / name)).start()
         assert q.awaitTermination(60)
         return sorted(map(tuple, spark.table(name).collect()))
 
