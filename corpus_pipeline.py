@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.byte_bpe import decode_documents, encode_documents
+from folioforge.llm.byte_bpe import encode_and_decode
 from folioforge.llm.common import stash, table, unstash
 from folioforge.llm.mixing import mixed_texts
 from folioforge.llm.ngram_join import Join
@@ -55,8 +55,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids, and the digests of the ids and of the bytes they decode to."""
     path = public_tokenizers.path(RANKS)
-    ids = encode_documents(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
-    both = decode_documents(ids.select("doc_id", "source", "ids"), path, public_tokenizers.PATTERN)
+    both = encode_and_decode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         "source",

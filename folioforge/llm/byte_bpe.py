@@ -151,6 +151,7 @@ class ByteBpe:
         """Empty the caches: an idle worker keeps only the vocabulary."""
         for cache in (self.pieces, self.known, self.seams):
             cache.clear()
+        pa.default_memory_pool().release_unused()
 
     def decode(self, ids: list[int]) -> bytes:
         """Concatenation up the tree."""
@@ -224,3 +225,21 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
                 yield _append(batch, decoded, pa.array(found, pa.binary()))
 
     return docs.mapInArrow(run, _with(docs.schema, decoded, T.BinaryType()))
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both of the above in one pass: a task has one Python worker, and the ids cross over once. ``text`` is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                found = [bpe.encode(t or "") for t in batch.column(text).to_pylist()]
+                back = pa.array([bpe.decode(x) for x in found], pa.binary())
+                batch = batch.select([c for c in batch.schema.names if c != text])
+                yield _append(_append(batch, ids, pa.array(found, pa.list_(pa.int32()))), decoded, back)
+        bpe.forget()
+
+    kept = T.StructType([f for f in docs.schema if f.name != text])
+    return docs.mapInArrow(run, _with(_with(kept, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm.byte_bpe import decode_documents, encode_documents
+from folioforge.llm.byte_bpe import encode_and_decode
 from folioforge.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,8 +15,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 def round_trip(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text."""
     path = public_tokenizers.path(RANKS)
-    ids = encode_documents(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    both = decode_documents(ids.select("doc_id", "ids"), path, public_tokenizers.PATTERN)
+    both = encode_and_decode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

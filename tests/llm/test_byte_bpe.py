@@ -9,7 +9,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioforge.llm.byte_bpe import load
+from folioforge.llm.byte_bpe import decode_documents, encode_documents, load
 from folioforge.llm.queries_bpe import RANKS, round_trip
 
 PATH = public_tokenizers.path(RANKS)
@@ -57,3 +57,5 @@ def test_query(spark):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert round_trip(docs.limit(0)).count() == 0
+    alone = decode_documents(encode_documents(docs, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN)
+    assert {r.doc_id: bytes(r.decoded).decode() for r in alone.collect()} == {i: t or "" for i, t in enumerate(texts)}
