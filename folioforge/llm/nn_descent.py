@@ -7,8 +7,10 @@
    (neighbours of neighbours), and what beats a vector's worst neighbour replaces it. Rounds end when few lists
    change and an audit of a bounded sample of vectors against all vectors finds nearly all their links.
 4. Edges of at least the threshold are checked in double precision and make components.
-5. A list that holds links only is saturated: there may be more. The lists of components with such a vector are
-   enlarged to the whole component, which is compared in blocks; blocks give counts, never rows of pairs.
+5. A list that holds links only is saturated: there may be more, also to other components, whose lists are then
+   saturated too. The components with such a vector are cut into blocks, each with a centre and a radius; two blocks
+   are compared, whatever their components, unless centres and radii rule out a link. Blocks give counts and the
+   components they connect, never rows of pairs.
 
 Reverse lists are thinned to LIST slots by hash (a hub's list is never gathered): that bounds a round's work and
 not the result, which the audit measures.
@@ -37,9 +39,11 @@ TABLES, PLANES, RUN = 6, 32, 256
 LEAST_ROUNDS, MOST_ROUNDS = 1, 6
 #: The audit's sample and the recall that ends the rounds.
 AUDITED, ENOUGH = 400, 0.98
-#: Vectors of a block of an enlarged list.
-BLOCK = 1024
+#: Vectors of a block of an enlarged list, blocks of a tile in which their centres are compared.
+BLOCK, TILE = 1024, 2048
 SLACK = 1e-4
+#: Angle of a link, rounding included.
+REACH = float(np.arccos(THRESHOLD)) + 1e-6
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -205,25 +209,72 @@ def _check(dim: int):
     return run
 
 
+def _balls(dim: int):
+    """(x, centre, radius) of a block: all its vectors are within the radius, an angle, of the centre."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        v = matrix(table.column("v").combine_chunks(), dim)
+        centre = v.sum(0)
+        length = np.sqrt(centre @ centre)
+        centre = centre / length if length > 1e-6 else v[0]
+        radius = np.arccos(np.clip((v @ centre).min(), -1, 1))
+        return pa.table({"x": [key[0].as_py()], "v": [centre.tolist()], "radius": [float(radius)]})
+
+    return run
+
+
+def _facing_balls(dim: int):
+    """Pairs of blocks of two tiles, or of one with itself, that may hold a link: triangle inequality of angles."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        x, radius, tile = (table.column(c).to_numpy() for c in ("x", "radius", "tile"))
+        centre = matrix(table.column("v").combine_chunks(), dim)
+        a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+        near = np.arccos(np.clip(centre[a] @ centre[b].T, -1, 1)) <= radius[a][:, None] + radius[b] + REACH
+        p, q = np.nonzero(np.triu(near) if i == j else near)
+        return pa.table({"x": x[a[p]], "y": x[b[q]]})
+
+    return run
+
+
 def _count_block(dim: int):
-    """Weighted links of the vectors of two blocks of a component: (id, links) for both, or for the one block with itself."""
+    """Of two blocks, or of one with itself: (id, links) with the weighted links of each vector, (id, other) with components that a link connects."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, i, j = (k.as_py() for k in key)
-        ids, weights = table.column("id").to_numpy(), table.column("weight").to_numpy()
-        x, first = matrix(table.column("v").combine_chunks(), dim), table.column("block").to_numpy() == i
-        if i == j:
-            hit = x @ x.T >= THRESHOLD
+        x, y = (k.as_py() for k in key)
+        ids, weights, parts, at = (table.column(c).to_numpy() for c in ("id", "weight", "component", "x"))
+        v = matrix(table.column("v").combine_chunks(), dim)
+        a, b = np.flatnonzero(at == x), np.flatnonzero(at == y)
+        hit = v[a] @ v[b].T >= THRESHOLD
+        if x == y:
             np.fill_diagonal(hit, False)
-            out, links = ids, hit @ weights
+            out, links = ids[a], hit @ weights[b]
         else:
-            hit = x[first] @ x[~first].T >= THRESHOLD
-            out, links = np.concatenate((ids[first], ids[~first])), np.concatenate((hit @ weights[~first], hit.T @ weights[first]))
-        return pa.table({"id": out, "links": links.astype(np.int64)})
+            out, links = np.concatenate((ids[a], ids[b])), np.concatenate((hit @ weights[b], hit.T @ weights[a]))
+        p, q = np.nonzero(hit & (parts[a][:, None] != parts[b]))
+        met = np.unique(np.stack((parts[a[p]], parts[b[q]])), axis=1)
+        n, m = len(out), met.shape[1]
+        return pa.table({"id": np.concatenate((out, met[0])), "links": np.concatenate((links, np.zeros(m))).astype(np.int64), "other": pa.array([None] * n + met[1].tolist(), pa.int64())})
 
     return run
 
 
+def enlarged(parts: DataFrame, degree: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(id, links, other) as of ``_count_block``, of all vectors in components with a saturated list."""
+    full = parts.join(degree.where(F.col("n") >= LIST), "id").select("component").distinct()
+    sizes = parts.join(full, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    block = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    held = stash(parts.join(sizes, "component").withColumn("x", block).join(vectors, "id").select("component", "id", "v", "weight", "x"), "enlarged")
+    balls = stash(held.select("x", "v").groupBy("x").applyInArrow(_balls(dim), "x long, v array<double>, radius double"), "balls")
+    tiles = max(1, -(-balls.count() // TILE))
+    facing = balls.withColumn("tile", F.pmod(F.xxhash64("x"), F.lit(tiles)).cast("int")).withColumn("face", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    facing = facing.withColumn("i", F.least("tile", "face")).withColumn("j", F.greatest("tile", "face"))
+    pairs = stash(facing.groupBy("i", "j").applyInArrow(_facing_balls(dim), "x long, y long"), "pairs")
+    sides = pairs.select(F.col("x").alias("p"), F.col("y").alias("q"), F.explode(F.array_distinct(F.array("x", "y"))).alias("x"))
+    return stash(sides.join(held, "x").groupBy("p", "q").applyInArrow(_count_block(dim), "id long, links long, other long"), "counted")
+
+
 def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", log: list | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; ``log`` gets the recall that each round's audit measured."""
     spark = embeddings.sparkSession
@@ -260,13 +311,10 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
     weights = vectors.select(F.col("id").alias("b"), "weight")
     degree = both.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"), F.count("*").alias("n"))
 
-    full = parts.join(degree.where(F.col("n") >= LIST), "id").select("component").distinct()
-    sizes = parts.join(full, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = stash(held.join(vectors, "id").select("component", "id", "v", "weight", "block", "blocks"), "enlarged")
-    facing = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    facing = facing.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    counted = facing.groupBy("component", "i", "j").applyInArrow(_count_block(dim), "id long, links long").groupBy("id").agg(F.sum("links").alias("all_links"))
+    found = enlarged(parts, degree, vectors, dim)
+    counted = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("all_links"))
+    met = stash(connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "met")
+    parts = parts.join(met.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
     named = vectors.select("v", "id", "weight").join(degree.select("id", "links"), "id", "left").join(counted, "id", "left").join(parts, "id", "left")
     named = stash(

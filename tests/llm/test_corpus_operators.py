@@ -190,6 +190,22 @@ def test_vectors(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_between_full_lists(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(4):  # groups 0 and 1 are near each other and 2 is near 1 only; every list is full of its own group
+        centre = np.eye(32)[0] + np.eye(32)[1] * (0.24 * g if g < 3 else 9)
+        rows += [(100 * g + i, (centre + 0.004 * rng.standard_normal(32)).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit[:20, 20:40].all() and hit[20:40, 40:60].all() and not hit[:20, 40:60].any() and not hit[:60, 60:].any()
+    got = {r.vec_id: tuple(r)[1:] for r in near_duplicates(df).collect()}
+    assert got == {i: (int(hit[k].sum()), 300 if i >= 300 else 0, i in (0, 300)) for k, (i, _) in enumerate(rows)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(300, 200), (200, 300), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
