@@ -26,7 +26,7 @@ def _(spark, sf):
 
 @register("udf01_phase_calls")
 def _(spark, sf):
-    prompts = papers(spark, sf).where("id % 10 = 0").select(F.col("id").alias("paper_id"), F.concat(F.lit("Screen: "), "title").alias("prompt"))
+    prompts = papers(spark, sf).select(F.col("id").alias("paper_id"), F.concat(F.lit("Screen: "), "title").alias("prompt"))
     return backend.phase_rows(backend.ask(prompts, [backend.Stub()]), "screening", "2025-01-01 00:00:00")
 
 
@@ -36,14 +36,14 @@ def _(spark, sf):
         def call(self, prompt):
             raise RuntimeError("down")
 
-    prompts = papers(spark, sf).where("id <= 50").select(F.col("id").alias("paper_id"), F.concat(F.when(F.col("id") % 5 == 0, "FAIL ").otherwise(""), "title").alias("prompt"))
+    prompts = papers(spark, sf).select(F.col("id").alias("paper_id"), F.concat(F.when(F.col("id") % 5 == 0, "FAIL ").otherwise(""), "title").alias("prompt"))
     answers = backend.ask(prompts, [Down("claude-sonnet-4-20250514"), backend.Stub()])
     return answers.select("paper_id", "model", F.col("error").isNotNull().alias("failed"))
 
 
 @register("udf08_cached_explanations")
 def _(spark, sf):
-    figures = table(spark, sf, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p1_fig"), "p_partkey").alias("figure_num"), F.col("p_name").alias("caption"), F.when(F.col("p_partkey") % 2 == 0, "known").alias("detailed_explanation"))
+    figures = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p1_fig"), "p_partkey").alias("figure_num"), F.col("p_name").alias("caption"), F.when(F.col("p_partkey") % 2 == 0, "known").alias("detailed_explanation"))
     return backend.explanations(figures, [backend.Stub()]).select("id", "source")
 
 
