@@ -1,11 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
 1. Equal vectors collapse to one with a weight.
-2. Seeds: for each of TABLES sets of random hyperplanes the vectors are sorted by their sign bits and compared
-   inside short runs of that order; a vector keeps its best neighbours.
+2. Seeds: for each of some sets of random hyperplanes the vectors are sorted by their sign bits and compared
+   inside short runs of that order; a vector keeps its best neighbours. The number of sets grows with the table, so
+   that a pair at the threshold shares a run in one of them; TABLES sets are made at a time.
 3. Descent: every vector lists its neighbours and those it is a neighbour of; all pairs of a list are compared
-   (neighbours of neighbours), and what beats a vector's worst neighbour replaces it. Rounds end when few lists
-   change and an audit of a bounded sample of vectors against all vectors finds nearly all their links.
+   (neighbours of neighbours), and what beats a vector's worst neighbour replaces it. Rounds end when nearly all links
+   of sampled vectors, which an audit compares with all vectors, are in the lists, and in the end in the counts.
+   The sample grows until LINKED of its vectors have a link, or has QUERIES vectors or all. A round that is not the
+   last adds TABLES new sets of seeds; if MOST_ROUNDS are not enough, that is an error and no result.
 4. Edges of at least the threshold are checked in double precision and make components.
 5. A list that holds links only is saturated: there may be more, also to other components, whose lists are then
    saturated too. The components with such a vector are cut into blocks, each with a centre and a radius; two blocks
@@ -37,8 +40,10 @@ THRESHOLD = 0.95
 LIST = 12
 TABLES, PLANES, RUN = 6, 32, 256
 LEAST_ROUNDS, MOST_ROUNDS = 1, 6
-#: The audit's sample and the recall that ends the rounds.
-AUDITED, ENOUGH = 400, 0.98
+#: The audit's first sample, what each further step adds, the linked vectors it is to hold, its most vectors; the recall that ends the rounds.
+AUDITED, STEP, LINKED, QUERIES, ENOUGH = 400, 4000, 200, 16_400, 0.98
+#: Share of pairs at the threshold that may share no run in any set of seeds.
+MISSED = 0.001
 #: Vectors of a block of an enlarged list, blocks of a tile in which their centres are compared.
 BLOCK, TILE = 1024, 2048
 SLACK = 1e-4
@@ -58,8 +63,16 @@ def valid(v: str, dim: int):
     return F.coalesce((F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _codes(dim: int):
-    planes = np.random.default_rng(20).standard_normal((TABLES, dim, PLANES))
+def seed_tables(n: int) -> int:
+    """Sets of seeds for n vectors: runs share about log2(n / RUN) sign bits, of which each is equal in a pair at the threshold by its angle."""
+    shared = min(PLANES, max(0.0, np.log2(max(n, 1) / RUN)))
+    p = (1 - np.arccos(THRESHOLD) / np.pi) ** shared
+    return TABLES if p >= 1 else max(TABLES, int(np.ceil(np.log(MISSED) / np.log1p(-p))))
+
+
+def _codes(dim: int, batch_no: int = 0):
+    """Sign bits in TABLES sets of hyperplanes, others for each ``batch_no``."""
+    planes = np.random.default_rng(20 + batch_no).standard_normal((TABLES, dim, PLANES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,34 +182,54 @@ def refine(graph: DataFrame, vectors: DataFrame, dim: int, n_parts: int) -> Data
     return best(graph.union(found))
 
 
-def _audit(ids: list[int], sample: np.ndarray, dim: int):
+def _audit(ids: np.ndarray, sample: np.ndarray, dim: int):
+    """(u, n, links): number and weight of the links that each sampled vector has in the rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.array(ids)
+        n, links = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                other = batch.column("id").to_numpy()
-                sims = sample @ matrix(batch.column("v"), dim).T
-                i, j = np.nonzero(sims >= THRESHOLD)
-                keep = known[i] != other[j]
-                if keep.any():
-                    yield _edges(known[i[keep]], other[j[keep]], sims[i[keep], j[keep]])
+            for a in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(a, BLOCK)
+                other, weight = some.column("id").to_numpy(), some.column("weight").to_numpy()
+                i, j = np.nonzero(sample @ matrix(some.column("v"), dim).T >= THRESHOLD)
+                i, j = i[ids[i] != other[j]], j[ids[i] != other[j]]
+                n += np.bincount(i, minlength=len(ids))
+                links += np.bincount(i, weights=weight[j], minlength=len(ids)).astype(np.int64)
+        some = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(n[some]), pa.array(links[some])], ["u", "n", "links"])
 
     return run
 
 
-def audit(graph: DataFrame, vectors: DataFrame, dim: int) -> float:
-    """Recall of the sample's LIST best links (the vectors with the least hashes, AUDITED at most) against all vectors."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "v").collect()
-    if not rows:
-        return 1.0
-    sample = matrix(pa.array([r.v for r in rows], pa.list_(pa.float64())), dim)
-    true = best(vectors.mapInArrow(_audit([r.id for r in rows], sample, dim), "u long, v long, sim double"))
-    least = true.groupBy("u").agg(F.count("*").alias("n"))
-    held = graph.where(F.col("sim") >= THRESHOLD - SLACK).groupBy("u").agg(F.count("*").alias("got"))
+def linked_sample(vectors: DataFrame, dim: int) -> DataFrame:
+    """(u, n, links) of the sampled vectors that have links, all their links against all vectors: vectors with the least hashes."""
+    spark, n_all, seen, size, found = vectors.sparkSession, vectors.count(), 0, AUDITED, []
+    while seen < min(n_all, QUERIES) and len(found) < LINKED:
+        rows = vectors.orderBy(F.xxhash64("id"), "id", "v").offset(seen).limit(size).select("id", F.col("v").cast("array<double>").alias("v")).toArrow().combine_chunks()
+        if not rows.num_rows:
+            break
+        ids, sample = rows.column("id").to_numpy().astype(np.int64), matrix(rows.column("v").combine_chunks(), dim)
+        true = vectors.select("id", "weight", "v").mapInArrow(_audit(ids, sample, dim), "u long, n long, links long")
+        found += [tuple(r) for r in true.groupBy("u").agg(F.sum("n").alias("n"), F.sum("links").alias("links")).collect()]
+        seen, size = seen + rows.num_rows, STEP
+    return spark.createDataFrame(found, "u long, n long, links long")
+
+
+def audit(graph: DataFrame, sample: DataFrame) -> float:
+    """Recall of the LIST best links of the sampled vectors."""
+    held = graph.where(F.col("sim") >= THRESHOLD).join(F.broadcast(sample.select("u")), "u", "left_semi").groupBy("u").agg(F.count("*").alias("got"))
+    least = sample.select("u", F.least("n", F.lit(LIST)).alias("n"))
     total = least.join(held, "u", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0))))).first()
     return total[1] / total[0] if total[0] else 1.0
 
 
+def audit_counts(named: DataFrame, sample: DataFrame) -> float:
+    """Share of their links that the sampled vectors have in the counts, on average over vectors."""
+    share = sample.join(named.select(F.col("id").alias("u"), F.col("counted").alias("got")), "u", "left")
+    mean = share.agg(F.avg(F.least(F.lit(1.0), F.coalesce("got", F.lit(0)) / F.col("links")))).first()[0]
+    return 1.0 if mean is None else mean
+
+
 def _check(dim: int):
     """Exact cosines of edges, those below the threshold left out."""
 
@@ -275,6 +308,41 @@ def enlarged(parts: DataFrame, degree: DataFrame, vectors: DataFrame, dim: int)
     return stash(sides.join(held, "x").groupBy("p", "q").applyInArrow(_count_block(dim), "id long, links long, other long"), "counted")
 
 
+def seeds(vectors: DataFrame, dim: int, n_parts: int, batch_no: int) -> DataFrame:
+    """Edges of TABLES sets of seeds."""
+    coded = vectors.select("id", "v").mapInArrow(_codes(dim, batch_no), vectors.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("code"), "id", "v").schema)
+    order = ["t", "code", F.xxhash64("id")]
+    return coded.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(_seed(dim), "u long, v long, sim double")
+
+
+def _replaced(graph: DataFrame | None, edges: DataFrame, whole: bool = False) -> DataFrame:
+    """The written graph with more edges, or the edges alone if they are the ``whole`` of it."""
+    after = stash(edges if whole else best(edges if graph is None else graph.union(edges)), "graph")
+    if graph is not None:
+        unstash(graph)
+    return after
+
+
+def counted(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(v, id, counted, n_links, component_id) of every vector; counted leaves its own copies out."""
+    near = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    x, y = (vectors.select(F.col("id").alias(i), F.col("v").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    links = stash(near.join(x, "a").join(y, "b").mapInArrow(_check(dim), "a long, b long"), "links")
+    parts = stash(connected_components(links), "parts")
+    both = links.union(links.select("b", "a"))
+    weights = vectors.select(F.col("id").alias("b"), "weight")
+    degree = both.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"), F.count("*").alias("n"))
+
+    found = enlarged(parts, degree, vectors, dim)
+    sums = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("all_links"))
+    met = stash(connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "met")
+    parts = parts.join(met.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+
+    named = vectors.select("v", "id", "weight").join(degree.select("id", "links"), "id", "left").join(sums, "id", "left").join(parts, "id", "left")
+    named = named.withColumn("counted", F.coalesce("all_links", "links", F.lit(0)))
+    return stash(named.select("v", "id", "counted", (F.col("counted") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
+
+
 def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", log: list | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) of every row; ``log`` gets the recall that each round's audit measured."""
     spark = embeddings.sparkSession
@@ -289,38 +357,27 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
     good = rows.where("good")
     vectors = stash(good.groupBy("v").agg(F.min("member").alias("id"), F.count("*").alias("weight")), "vectors")
 
-    coded = vectors.select("id", "v").mapInArrow(_codes(dim), vectors.select(F.lit(0).alias("t"), F.lit(0).cast("long").alias("code"), "id", "v").schema)
-    order = ["t", "code", F.xxhash64("id")]
-    seeds = coded.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).mapInArrow(_seed(dim), "u long, v long, sim double")
-    graph = stash(best(seeds), "graph")
-    for n in range(MOST_ROUNDS):
-        recall = audit(graph, vectors, dim)
+    sample = stash(linked_sample(vectors, dim), "sample")
+    graph, first = None, -(-seed_tables(vectors.count()) // TABLES)
+    for batch_no in range(first):
+        graph = _replaced(graph, seeds(vectors, dim, n_parts, batch_no))
+    for n in range(MOST_ROUNDS + 1):
+        recall = audit(graph, sample)
         if log is not None:
             log.append(recall)
         if n >= LEAST_ROUNDS and recall >= ENOUGH:
-            break
-        after = stash(refine(graph, vectors, dim, n_parts), "graph")
-        unstash(graph)
-        graph = after
-
-    near = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    x, y = (vectors.select(F.col("id").alias(i), F.col("v").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    links = stash(near.join(x, "a").join(y, "b").mapInArrow(_check(dim), "a long, b long"), "links")
-    parts = stash(connected_components(links), "parts")
-    both = links.union(links.select("b", "a"))
-    weights = vectors.select(F.col("id").alias("b"), "weight")
-    degree = both.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"), F.count("*").alias("n"))
-
-    found = enlarged(parts, degree, vectors, dim)
-    counted = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("all_links"))
-    met = stash(connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "met")
-    parts = parts.join(met.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-
-    named = vectors.select("v", "id", "weight").join(degree.select("id", "links"), "id", "left").join(counted, "id", "left").join(parts, "id", "left")
-    named = stash(
-        named.select("v", (F.coalesce("all_links", "links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")),
-        "named",
-    )
-    some = good.join(named, "v").select(F.col("member").alias(key), F.col("n_links").cast("long"), "component_id", (F.col("member") == F.col("component_id")).alias("kept"))
+            named = counted(graph, vectors, dim)
+            recall = audit_counts(named, sample)
+            if log is not None:
+                log.append(recall)
+            if recall >= ENOUGH:
+                break
+        if n == MOST_ROUNDS:
+            raise RuntimeError(f"{recall:.4f} of the sampled links found after {n} rounds, {ENOUGH} wanted")
+        if n >= LEAST_ROUNDS:
+            graph = _replaced(graph, seeds(vectors, dim, n_parts, first + n))
+        graph = _replaced(graph, refine(graph, vectors, dim, n_parts), whole=True)
+
+    some = good.join(named.drop("id", "counted"), "v").select(F.col("member").alias(key), F.col("n_links").cast("long"), "component_id", (F.col("member") == F.col("component_id")).alias("kept"))
     unstash(graph)
     return some.unionByName(nothing(rows.where("NOT good")))

@@ -206,6 +206,30 @@ def test_links_between_full_lists(spark):
     assert got == {i: (int(hit[k].sum()), 300 if i >= 300 else 0, i in (0, 300)) for k, (i, _) in enumerate(rows)}
 
 
+def test_audit_of_rare_links(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((3000, 24))
+    ids = spark.range(3002).orderBy(F.xxhash64("id"), "id").collect()
+    rows = [(r.id, p.tolist()) for r, p in zip(ids, points)] + [(ids[3001].id, (points[2999] + 0.01).tolist())]  # the one pair is hashed last
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    log = []
+    assert sum(r.n_links for r in near_duplicates(df, log=log).collect()) == 2
+    assert nn_descent.seed_tables(2_000_000) > nn_descent.seed_tables(50_000) > nn_descent.seed_tables(300) == nn_descent.TABLES
+
+    def far(dim):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield nn_descent._edges(np.array([ids[0].id]), np.array([ids[1].id]), np.array([0.1]))
+
+        return run
+
+    monkeypatch.setattr(nn_descent, "_seed", far)  # seeds that find no link: no result may pass for whole
+    monkeypatch.setattr(nn_descent, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="sampled links"):
+        near_duplicates(df)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(300, 200), (200, 300), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
