@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+DROP_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +53,23 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def _shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark deletes an execution's shuffle files when it ends, not when the driver's garbage is next collected."""
+    before = spark.conf.get(DROP_SHUFFLE_FILES)
+    spark.conf.set(DROP_SHUFFLE_FILES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLE_FILES, before)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, losing an executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with _shuffle_files_dropped(spark):
+        df.write.parquet(path)
     atexit.register(_drop_at_exit, spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again.stash_path = path
@@ -63,12 +77,22 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 def unstash(*frames: DataFrame) -> None:
-    """Delete stashed tables that nothing lazy still reads, and let Spark drop the shuffle files of what came before."""
+    """Delete stashed tables that nothing lazy still reads."""
     for df in frames:
         drop_path(df.sparkSession, df.stash_path)
-    spark = frames[0].sparkSession
-    spark.range(1).count()  # the last query's plan, and with it its shuffle files, is held until the next one
-    spark.sparkContext._jvm.System.gc()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (one row a key) dealt by another hash of its key, so that a join on the key deals both sides anew.
+
+    Only such joins are split by AQE where one key is hot; a join in the stage of the grouping is not.
+    """
+    return df.repartition(F.hash(F.lit("spread"), F.col(key)))
+
+
+def row_key(*columns: str) -> Column:
+    """A key of a row's content; rows with equal content share it."""
+    return F.xxhash64(*columns)
 
 
 def bucket_keys(spark: SparkSession) -> list[int]:
@@ -97,10 +121,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large star: neighbours above u move to the smallest id around u
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(spread(least, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: u's lower neighbours (v) move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u")
+        moved = large.join(spread(least, "u"), "u")
         small = (
             moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(moved.select("u", F.col("m").alias("v")))

@@ -13,7 +13,8 @@ Only DataFrame expressions. Ranks and offsets are found in two levels (sums of b
 source that holds most of the rows is never one task.
 
 Defined cases: a null text has size 0 and takes nothing; null is a source of its own; rows that repeat a doc_id
-are separate documents; an empty table gives no rows; other columns of the input are ignored.
+are separate documents; of documents with equal digests the order is that of id, size and content; texts of any
+length count whole; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WORD, stash
+from folioforge.llm.common import WORD, row_key, stash
 
 WEIGHTS = (5, 2, 1)
 #: Multiplier and modulus of the golden-ratio sequence in integers: frac(k / phi) * 2**32.
@@ -94,33 +95,33 @@ def slots_per_block(sources: DataFrame, total: int, block: int) -> DataFrame:
 
 def stream_offsets(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """``sizes`` with sidx and each document's first word in its source's shuffled stream; documents of size 0 are left out."""
-    rows = sizes.where("size > 0").join(sources.select("source", "sidx"), sizes["source"].eqNullSafe(sources["source"])).select(sizes["doc_id"], sizes["size"], "sidx")
+    rows = sizes.where("size > 0").join(sources.select("source", "sidx"), sizes["source"].eqNullSafe(sources["source"])).select(sizes["doc_id"], sizes["row"], sizes["size"], "sidx")
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"))
     rows = rows.withColumn("digest", digest).withColumn("bin", F.substring("digest", 1, 3))
     before = Window.partitionBy("sidx").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("sidx", "bin").agg(F.sum("size").alias("n")).select("sidx", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("sidx", "bin").orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("n", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["sidx", "bin"]).select("doc_id", "size", "sidx", (F.col("first") + F.col("n")).alias("start"))
+    within = Window.partitionBy("sidx", "bin").orderBy("digest", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("n", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["sidx", "bin"]).select("doc_id", "row", "size", "sidx", (F.col("first") + F.col("n")).alias("start"))
 
 
 class Mix:
     """The mix of ``docs`` (doc_id, source, text). ``sizes`` and ``sources`` are written tables: texts are scanned once."""
 
     def __init__(self, docs: DataFrame):
-        self.sizes = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+        self.sizes = stash(docs.select("doc_id", "source", row_key("doc_id", "source", "text").alias("row"), word_count(F.col("text")).alias("size")), "sizes")
         self.sources = stash(source_targets(self.sizes), "sources")
         first = self.sources.select(F.max("t")).first()
         self.total = first[0] or 0
         self.block = block_size(self.total)
 
     def pieces(self) -> DataFrame:
-        """(doc_id, sidx, size, start, word, n_words, times): where each document's stream meets each block."""
+        """(doc_id, row, sidx, size, start, word, n_words, times): where each document's stream meets each block."""
         docs = stream_offsets(self.sizes, self.sources)
         b = F.lit(self.block)
         first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
         met = docs.select("*", F.explode(F.sequence(first, last)).alias("block"))
         begin = F.greatest(F.col("block") * b, F.col("start"))
-        met = met.select("doc_id", "sidx", "size", "start", "block", (begin - F.col("start")).alias("word"), (F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - begin).alias("n_words"))
+        met = met.select("doc_id", "row", "sidx", "size", "start", "block", (begin - F.col("start")).alias("word"), (F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - begin).alias("n_words"))
         return met.join(slots_per_block(self.sources, self.total, self.block), ["sidx", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def taken(self) -> DataFrame:
@@ -138,11 +139,15 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     """
     takes = Mix(docs).pieces().where("times > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("take"))
     one = Window.partitionBy("sidx", "start", "take").orderBy("block")
-    runs_of = takes.withColumn("run", F.col("block") - F.row_number().over(one)).groupBy("sidx", "start", "take", "run", "doc_id", "size")
-    pieces = runs_of.agg(F.min("word").alias("word"), F.sum("n_words").alias("n_words")).select(F.col("doc_id").alias("piece_of"), F.col("size").alias("of_size"), "word", "n_words")
+    runs_of = takes.withColumn("run", F.col("block") - F.row_number().over(one)).groupBy("sidx", "start", "take", "run", "row", "size")
+    pieces = runs_of.agg(F.min("word").alias("word"), F.sum("n_words").alias("n_words")).select("row", F.col("size").alias("of_size"), "word", "n_words")
     text = F.coalesce(F.col("text"), F.lit(""))
     runs = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     part = F.array_join(F.slice(runs, (F.col("word") + 1).cast("int"), F.col("n_words").cast("int")), "")
-    both = docs.join(pieces, F.col("doc_id").eqNullSafe(F.col("piece_of")) & (word_count(F.col("text")) == F.col("of_size")))
+    # equal rows share a key: each has pieces of its own, so one of them is enough to cut the pieces from
+    keyed = docs.withColumn("row", row_key("doc_id", "source", "text"))
+    repeated = keyed.groupBy("row").count().where("count > 1").select("row")
+    single = keyed.join(repeated, "row", "left_anti").unionByName(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    both = single.join(pieces, "row")
     both = both.withColumn("text", F.when(F.col("n_words") == F.col("of_size"), text).otherwise(part))
     return both.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)

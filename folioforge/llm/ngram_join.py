@@ -3,7 +3,8 @@
 The set of a document is its distinct word shingles (``shingles``). Two sets are similar when their Jaccard
 similarity is at least ``PERCENT`` hundredths.
 
-1. Equal sets collapse to one, by digest; the scan also counts shingles in a sketch of fixed size, which gives
+1. Equal sets collapse to one, by a 64-bit digest; a second digest tells the sets apart that share the first, and
+   these few get other digests. The scan also counts shingles in a sketch of fixed size, which gives
    every shingle a rank: rare first, then by hash. Any such order gives the right pairs; a better one, fewer
    candidates.
 2. A set is indexed under the shingles of its prefix, the first n - ceil(t n) + 1 of the order. Postings of a
@@ -11,15 +12,19 @@ similarity is at least ``PERCENT`` hundredths.
 3. First round: the postings of a list are shuffled, differently for each shingle, and each is paired with its
    neighbour and with the list's first. That is a linear number of pairs however long the list, and different
    partners from every shingle: their components hold all but stray copies of a group.
-4. Second round: for the shingles whose postings lie in more than one component, all pairs of postings of
-   different components. Links inside a component cannot change the result, so none between different
+4. Second round: for the shingles whose postings lie in more than one component, each two components that share
+   one meet, and only their postings are paired, never those of one component. Links inside a component cannot change the result, so none between different
    components is lost.
 5. Every pair passes the length and positional filters before it is made, then the suffix filter (a lower bound
    of the difference from counts of both sets by hash range), and is verified once on the whole sets.
 
+Only components are computed: which sets of one component link directly is not.
+
 Defined cases: a null text and a text without words have an empty set, link with nothing and are their own
-component; a shorter text than a shingle is one shingle; repeated rows are equal sets; an empty table gives no
-rows; other columns of the input are ignored.
+component; a shorter text than a shingle is one shingle; texts of any length are read whole; repeated rows are
+equal sets; rows that share a doc_id are documents of their own; a null doc_id links like any other, and is no
+component's name unless the component has no other; an empty table gives no rows; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, stash, unstash
-from folioforge.llm.shingles import mix, shingle_sets, signature, slices
+from folioforge.llm.common import connected_components, row_key, spread, stash, unstash
+from folioforge.llm.shingles import digests, mix, shingle_sets, slices
 
 PERCENT = 80
 #: Cells of the count sketch and rows it is sent in: a fixed size, whatever the corpus.
@@ -43,7 +48,10 @@ BLOCK_BYTES = 32 << 20
 #: Hash ranges of the suffix filter.
 RANGES = 128
 
-SCANNED = "doc_id long, n long, sig long, hist array<smallint>, part int, cells binary"
+#: Replacements by first and second digest, of the sets that share a first digest.
+Clashes = dict[int, dict[int, int]]
+
+SCANNED = "doc_id long, row long, n long, sig long, second long, hist array<smallint>, part int, cells binary"
 POSTED = "bucket int, whole boolean, data binary, a long, b long"
 POSTING = [("token", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")]
 
@@ -60,20 +68,20 @@ def prefix_length(n: int) -> int:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, size, digest); at the end the task's sketch, in parts."""
     cells = np.zeros(CELLS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("hist", pa.list_(pa.int16())), ("part", pa.int32()), ("cells", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("second", pa.int64()), ("hist", pa.list_(pa.int16())), ("part", pa.int32()), ("cells", pa.binary())])
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
+        ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
         for first, run in slices(batch.column("text").to_pylist()):
             sets = shingle_sets(run)
             if sum(map(len, sets)):
                 np.add.at(cells, (np.concatenate(sets) >> np.uint64(44)).astype(np.int64), 1)
             k = len(run)
-            digests = [signature(s) if len(s) else None for s in sets]
+            both = [digests(s) if len(s) else (None, None) for s in sets]
             hists = pa.array([histogram(s) if len(s) else None for s in sets], pa.list_(pa.int16()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + k], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), hists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first : first + k], pa.int64()), pa.array(rows[first : first + k], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*both)), hists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
     if cells.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in cells.reshape(CELL_ROWS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(CELL_ROWS, pa.int64())] * 3 + [pa.nulls(CELL_ROWS, pa.list_(pa.int16())), pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(CELL_ROWS, pa.int64())] * 5 + [pa.nulls(CELL_ROWS, pa.list_(pa.int16())), pa.array(range(CELL_ROWS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
 
 def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,6 +112,12 @@ def histogram(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(32767, np.bincount((hashes >> np.uint64(57)).astype(np.int64), minlength=RANGES)).astype(np.int16)
 
 
+def identify(hashes: np.ndarray, clashes: Clashes) -> int:
+    """The digest that stands for a set."""
+    one, two = digests(hashes)
+    return clashes[one][two] if one in clashes else one
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -160,7 +174,7 @@ def _forest(pairs: Iterable[tuple[int, int]], sets: dict[int, np.ndarray]) -> li
     return [(root(x), x) for x in list(above) if root(x) != x]
 
 
-def _post(levels: bytes, n_buckets: int):
+def _post(levels: bytes, n_buckets: int, clashes: Clashes):
     """A scan block's postings, bucketed by token; pairs inside the block are verified at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +184,7 @@ def _post(levels: bytes, n_buckets: int):
         for batch in batches:
             for _, encoded in slices(batch.column("text").to_pylist()):
                 for s in shingle_sets(encoded):
-                    if len(s) and (sig := signature(s)) not in sets:
+                    if len(s) and (sig := identify(s, clashes)) not in sets:
                         sets[sig] = s
                         size += 8 * len(s)
                 if size >= BLOCK_BYTES:
@@ -273,13 +287,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from rows(p, _distinct(np.stack([p["sig"][pairs[:, 0]], p["sig"][pairs[:, 1]]], 1)))
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sigs = batch.column("sig").to_pylist()
-        for first, run in slices(batch.column("text").to_pylist()):
-            # a doc_id may stand for several texts: only the one that is meant counts
-            sets = [(sig, s) for sig, s in zip(sigs[first:], shingle_sets(run)) if len(s) and signature(s) == sig]
-            yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["sig", "hashes"])
+def _sets_of(clashes: Clashes):
+    """The set of each digest, once a task: several rows of one key are equal rows, or the key's rows are not all meant."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            sigs = batch.column("sig").to_pylist()
+            for first, texts in slices(batch.column("text").to_pylist()):
+                sets = {sig: s for sig, s in zip(sigs[first:], shingle_sets(texts)) if len(s) and sig not in seen and identify(s, clashes) == sig}
+                seen.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["sig", "hashes"])
+
+    return run
 
 
 def may_be_similar(hist_a: Column, hist_b: Column, total: Column) -> Column:
@@ -300,20 +320,34 @@ class Join:
     """The similar documents of ``docs`` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select("doc_id", "text")
+        self.docs = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
         self.spark = docs.sparkSession
         scanned = stash(self.docs.mapInArrow(_scan, SCANNED), "scan")
-        #: (doc_id, n, sig, hist), sig and hist null for an empty set
-        self.scanned = scanned.where("part IS NULL").select("doc_id", "n", "sig", "hist")
+        rows = scanned.where("part IS NULL").select("doc_id", "row", "n", "sig", "second", "hist")
+        self.clashes, renamed = self._clashes(rows)
+        if self.clashes:
+            rows = rows.join(F.broadcast(renamed), ["sig", "second"], "left").withColumn("sig", F.coalesce("other", "sig"))
+        #: (doc_id, row, n, sig, hist), sig and hist null for an empty set
+        self.scanned = rows.select("doc_id", "row", "n", "sig", "hist")
         self.hists = self.scanned.where("sig IS NOT NULL").groupBy("sig").agg(F.any_value("n").alias("n"), F.any_value("hist").alias("hist"))
         self.levels = rarity(scanned)
 
+    def _clashes(self, rows: DataFrame) -> tuple[Clashes, DataFrame | None]:
+        """Sets that share a first digest: some n**2 / 2**65 of n, three of 10**10."""
+        both = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.min("second").alias("least"), F.max("second").alias("most")).where("least != most").select("sig")
+        found: Clashes = {}
+        for r in rows.select("sig", "second").join(both, "sig").distinct().collect():
+            found.setdefault(r.sig, {})[r.second] = int(mix(np.array([r.sig ^ r.second], np.int64).view(np.uint64)).view(np.int64)[0])
+        if not found:
+            return found, None
+        return found, self.spark.createDataFrame([(a, b, c) for a, of in found.items() for b, c in of.items()], "sig long, second long, other long")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The similar ones of ``pairs`` (a, b), which have passed the suffix filter; each is verified once."""
         pairs = stash(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-        reps = self.scanned.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).join(ids, "sig", "left_semi")
-        sets = stash(self.docs.join(reps, "doc_id").select("sig", "text").mapInArrow(_sets_of, "sig long, hashes binary"), "sets")
+        reps = self.scanned.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("row")).join(ids, "sig", "left_semi")
+        sets = stash(self.docs.join(reps, "row").select("sig", "text").mapInArrow(_sets_of(self.clashes), "sig long, hashes binary"), "sets")
         left, right = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
         links = stash(pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
         unstash(pairs, sets)
@@ -322,7 +356,7 @@ class Join:
     def components(self) -> DataFrame:
         """(sig, component) of the linked sets; a set that links with none has no row."""
         n_buckets = max(64, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets), POSTED), "posted")
+        posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets, self.clashes), POSTED), "posted")
         inside = posted.where("a IS NOT NULL").select("a", "b")
         met = stash(posted.where("bucket IS NOT NULL").repartition("bucket").select("whole", "data").mapInArrow(_meet, MET), "met")
         left, right = (self.hists.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}")) for x in "ab")
@@ -334,20 +368,25 @@ class Join:
         postings = met.where("token IS NOT NULL").select("token", "sig", "n", "pos").distinct()
         placed = postings.join(known.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         placed = stash(placed, "placed")
-        mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
-        several = stash(placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig"), "mixed")
+        parts = placed.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+        mixed = parts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+        parts = parts.join(mixed, "token")
+        several = placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig")
+        several = stash(several.select("token", "component", "sig", "n", "pos", "hist"), "mixed")
+        p, q = parts.alias("p"), parts.alias("q")
+        apart = (F.col("p.component") < F.col("q.component")) & (100 * F.col("p.most") >= PERCENT * F.col("q.least")) & (100 * F.col("q.most") >= PERCENT * F.col("p.least"))
+        facing = p.join(q, (F.col("p.token") == F.col("q.token")) & apart).select("p.token", F.col("p.component").alias("left"), F.col("q.component").alias("right"))
         x, y = several.alias("x"), several.alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         total = F.col("x.n") + F.col("y.n")
         fit = (
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (F.struct("x.n", "x.sig") < F.struct("y.n", "y.sig"))
-            & (100 * F.col("x.n") >= PERCENT * F.col("y.n"))
+            (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
             & ((100 + PERCENT) * room >= PERCENT * total)
             & may_be_similar(F.col("x.hist"), F.col("y.hist"), total)
         )
-        later = self._verified(x.join(y, fit).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
+        of = lambda side, component: (F.col("f.token") == F.col(f"{side}.token")) & (F.col(f"f.{component}") == F.col(f"{side}.component"))
+        met_again = facing.alias("f").join(x, of("x", "left")).join(y, of("y", "right") & fit)
+        later = self._verified(met_again.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
         # the later links join whole components: only these are looked at again
         of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
         ends = later.join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -357,10 +396,18 @@ class Join:
         return moved.union(joined).groupBy("id").agg(F.min("component").alias("component"))
 
     def labelled(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id), a row for each document."""
+        """(doc_id, n_shingles, component_id, row, kept), a row for each document.
+
+        ``row`` is the row's key of doc_id and text; ``kept`` marks the rows of the group's least id, of several its
+        least row key.
+        """
         classes = stash(self.components(), "classes")
         known = self.scanned.where("sig IS NOT NULL").join(classes.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        known = stash(known.select("doc_id", "n", "component"), "known")
-        least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        some = known.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return some.union(self.scanned.where("sig IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        known = stash(known.select("doc_id", "row", "n", "component"), "known")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+        least = known.groupBy("component").agg(first)
+        some = known.join(spread(least, "component"), "component")
+        kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row") == F.col("first.row"))
+        some = some.select("doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), "row", kept.alias("kept"))
+        none = self.scanned.where("sig IS NULL")
+        return some.union(none.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.lit(True).alias("kept")))

@@ -9,4 +9,4 @@ from folioforge.llm.ngram_join import Join
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Join(table(spark, sf_dir, "documents")).labelled()
+    return Join(table(spark, sf_dir, "documents")).labelled().select("doc_id", "n_shingles", "component_id")

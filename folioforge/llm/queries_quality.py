@@ -5,21 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioforge.llm.common import table
-from folioforge.llm.quality import (
-    ALARMS,
-    BASE_FAILED,
-    GOOD,
-    HITS,
-    LEAST_ALARMS,
-    LEAST_GOOD,
-    LEAST_HITS,
-    MOST_ALARMS,
-    MOST_GOOD,
-    MOST_HITS,
-    ROUNDS,
-    RULES,
-    judge,
-)
+from folioforge.llm.quality import ALARMS, BASE_FAILED, GOOD, HITS, PRIOR, ROUNDS, RULES, STOP_WORDS, judge
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +14,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def measures_sql(source: str = "documents") -> str:
+    stops = ", ".join(f"'{x}'" for x in " ".join(STOP_WORDS).split())
     return rf"""
 texts AS (SELECT doc_id, coalesce(text, '') AS t FROM {source}),
 split_up AS (
@@ -46,7 +33,7 @@ measured AS (
          len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
          length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-         length(t) - length(replace(t, '!', '')) AS n_marks
+         len(list_filter(w, lambda x: x IN ({stops}))) AS n_stops
   FROM split_up s LEFT JOIN covered c USING (doc_id)
 )"""
 
@@ -63,12 +50,12 @@ def verdict_sql() -> str:
     of = lambda name, least, w: f"coalesce(sum(n * {w}) FILTER ({name} >= 0 AND {name} <= {least}), 0)"
     for k in range(ROUNDS):
         fits = ", ".join(
-            f"least({MOST_ALARMS}, greatest({LEAST_ALARMS}, ({of(name, 0, 'p')} + 0.01) / ({of(name, 1, 'p')} + 1))) AS a{j}, "
-            f"least({MOST_HITS}, greatest({LEAST_HITS}, ({of(name, 0, '(1 - p)')} + 1) / ({of(name, 1, '(1 - p)')} + 2))) AS h{j}"
+            f"({of(name, 0, 'p')} + {PRIOR * ALARMS}::DOUBLE) / ({of(name, 1, 'p')} + {PRIOR}) AS a{j}, "
+            f"({of(name, 0, '(1 - p)')} + {PRIOR * HITS}::DOUBLE) / ({of(name, 1, '(1 - p)')} + {PRIOR}) AS h{j}"
             for j, name in enumerate(names)
         )
         parts.append(f"e{k} AS MATERIALIZED (SELECT q.*, 1 / (1 + exp(-({odds}))) AS p FROM patterns q, p{k})")
-        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT {fits}, least({MOST_GOOD}, greatest({LEAST_GOOD}, (coalesce(sum(n * p), 0) + 1) / (coalesce(sum(n), 0) + 2))) AS good FROM e{k})")
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT {fits}, (coalesce(sum(n * p), 0) + {PRIOR * GOOD}::DOUBLE) / (coalesce(sum(n), 0) + {PRIOR}) AS good FROM e{k})")
     parts.append(f"judged AS (SELECT v.*, NOT base_failed AND ({odds}) >= 0 AS kept FROM voted v, p{ROUNDS})")
     return ",\n".join(parts)
 

@@ -81,7 +81,11 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return found
 
 
-def signature(hashes: np.ndarray) -> int:
-    """A signed 64-bit digest of a set of hashes."""
-    place = mix(np.arange(1, len(hashes) + 1, dtype=np.uint64) * STEPS[3])
-    return int(mix((mix(hashes) * (place | np.uint64(1))).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)))[0].astype(np.int64))
+def digests(hashes: np.ndarray) -> tuple[int, int]:
+    """Two independent signed 64-bit digests of a set of hashes."""
+    n = len(hashes)
+    place = mix(np.arange(1, n + 1, dtype=np.uint64) * STEPS[3]) | np.uint64(1)
+    one = (mix(hashes) * place).sum(dtype=np.uint64, keepdims=True)
+    two = (mix(hashes ^ STEPS[4]) * (place + np.uint64(2))).sum(dtype=np.uint64, keepdims=True)
+    both = mix(np.concatenate((one, two)) + np.uint64(n)).astype(np.int64)
+    return int(both[0]), int(both[1])

@@ -11,13 +11,16 @@ A byte is removed when some window of WINDOW bytes that covers it also starts in
    common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours that agree over
    a whole window are compared byte by byte, and the least document of each class owns it.
 3. An anchor with many contents in one block (a common line with any text after it) is split: its windows are
-   sent on by their own content, so that no bucket has to hold them all.
+   sent on by their own content, so that no bucket has to hold them all, and meet by two hashes and their bytes.
 4. The windows found cover the bytes to remove.
 
+A row's address, by which its marks find it, is its doc_id, or a digest of id and text where the id is null or
+stands for several texts; what decides which document is earlier is the doc_id alone.
+
 Defined cases: a null text is empty; texts under WINDOW bytes keep all bytes; matches never cross documents;
-a null doc_id counts as the largest; rows that repeat an id with the same text get the same result each, and of
-rows that repeat an id with different texts the one of least SHA-256 stands for the id, the others are dropped;
-an empty table gives no rows; other columns of the input are ignored.
+a null doc_id counts as the largest; rows that share a doc_id, null included, are documents of their own, none of
+them earlier than another; repeated rows get the same result each; an empty table gives no rows; other columns of
+the input are carried along if ``carry`` names them.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioforge.llm.anchors import SEGMENT, SPAN, WINDOW, pieces, prefix_sums, segments, substring_hash
-from folioforge.llm.common import bucket_keys, stash, unstash
+from folioforge.llm.common import bucket_keys, spread, stash, unstash
 from folioforge.llm.shingles import mix
 
 #: Segments that a block gathers before it sends them.
@@ -43,9 +47,12 @@ NO_ID = (1 << 63) - 1
 
 SENT = "kind int, bucket int, data binary"
 ANCHORS, MARKS, SEGMENTS, WINDOWS = 0, 1, 2, 3
+#: What an address is XORed with to get the number that orders documents: 0 for nearly all.
+SHIFT = [("shift", "<i8")]
 MARK = [("doc", "<i8"), ("start", "<u4"), ("windows", "<u1")]
 ANCHOR = [("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4")]
-BY_CONTENT = [("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<u4")]
+SENT_SEGMENT = SEGMENT + SHIFT
+BY_CONTENT = [("one", "<u8"), ("two", "<u8"), ("doc", "<i8"), ("start", "<u4")] + SHIFT
 WEIGHTS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -94,12 +101,16 @@ def by_bucket(kind: int, fields: dict[str, np.ndarray], key: np.ndarray, buckets
     edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(edges, [*edges[1:], len(order)]):
         some = order[a:b]
-        packed = pack({n: x[some] for n, x in fields.items() if n != "rows"})
+        packed = pack({n: fields[n][some] for n, _ in LAYOUT[kind]})
         if "rows" in fields:
             packed += fields["rows"][some].tobytes()
         yield _batch([(kind, buckets[bucket[some[0]]], packed)])
 
 
+#: Columns of each kind of row, in the order in which they are packed.
+LAYOUT = {ANCHORS: ANCHOR, MARKS: MARK, SEGMENTS: SENT_SEGMENT, WINDOWS: BY_CONTENT}
+
+
 def heads(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before it."""
     new = np.zeros(len(columns[0]), bool)
@@ -195,11 +206,17 @@ def _true_digest(s: dict[str, np.ndarray], rows: np.ndarray) -> bool:
     return False
 
 
-def least_of(s: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """The rows sorted by ``by`` and document, and for each the least document of its group."""
-    s = take(s, np.lexsort((s["doc"], *(s[c] for c in reversed(by)))))
-    new = heads(*(s[c] for c in by))
-    return s, s["doc"][new][np.cumsum(new) - 1]
+def order_of(s: dict[str, np.ndarray]) -> np.ndarray:
+    """The number that orders documents."""
+    return s["doc"] ^ s["shift"]
+
+
+def split_later(s: dict[str, np.ndarray], *by: str) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The rows sorted by ``by`` and document: those of each group's least document, and the later ones."""
+    s = take(s, np.lexsort((s["doc"], order_of(s), *(s[c] for c in reversed(by)))))
+    new, order = heads(*(s[c] for c in by)), order_of(s)
+    later = order > order[new][np.cumsum(new) - 1]
+    return take(s, ~later), take(s, later)
 
 
 def marks(s: dict[str, np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +229,37 @@ def windows_of(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     row = np.repeat(np.arange(len(s["doc"])), s["windows"])
     first = np.cumsum(s["windows"].astype(np.int64)) - s["windows"]
     j = np.arange(len(row)) - first[row]
-    one, two = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+    one, two, rows = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64), np.empty((len(row), WINDOW), np.uint8)
     for a in range(0, len(row), 20_000):
         r, k = row[a : a + 20_000], j[a : a + 20_000]
-        body = s["rows"][r[:, None], k[:, None] + np.arange(WINDOW)].astype(np.uint64) + np.uint64(1)
+        rows[a : a + 20_000] = s["rows"][r[:, None], k[:, None] + np.arange(WINDOW)]
+        body = rows[a : a + 20_000].astype(np.uint64) + np.uint64(1)
         one[a : a + 20_000] = mix((body * WEIGHTS).sum(1, dtype=np.uint64))
-        words = np.ascontiguousarray(s["rows"][r[:, None], k[:, None] + np.arange(48)]).view("<u8")
+        words = np.ascontiguousarray(rows[a : a + 20_000, :48]).view("<u8")
         x = mix(body[:, 48] * np.uint64(257) + body[:, 49])
         for c in range(6):
             x = mix(x ^ words[:, c])
         two[a : a + 20_000] = x
-    return {"one": one, "two": two, "doc": s["doc"][row], "start": (s["start"][row] + j).astype(np.uint32)}
+    return {"one": one, "two": two, "doc": s["doc"][row], "start": (s["start"][row] + j).astype(np.uint32), "shift": s["shift"][row], "rows": rows}
+
+
+def told_apart(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Windows of equal hashes must have equal bytes: compare neighbours; after a collision the bytes themselves are numbered."""
+    w = take(w, np.lexsort((w["two"], w["one"])))
+    same = np.flatnonzero(~heads(w["one"], w["two"]))
+    for a in range(0, len(same), 20_000):
+        k = same[a : a + 20_000]
+        if (w["rows"][k] != w["rows"][k - 1]).any():
+            w["two"] = np.unique(w["rows"].view([("", f"V{WINDOW}")]).ravel(), return_inverse=True)[1].astype(np.uint64)
+            break
+    return w
 
 
 def send_windows(w: dict[str, np.ndarray], buckets: list[int]) -> Iterator[pa.RecordBatch]:
     """Windows by content: the least document of each content goes on, the others are resolved here."""
-    w, least = least_of(w, "one", "two")
-    later = w["doc"] > least
-    yield from marks(take(w, later), buckets)
-    w = take(w, ~later)
+    w, later = split_later(told_apart(w), "one", "two")
+    yield from marks(later, buckets)
+    del later
     yield from by_bucket(WINDOWS, w, w["one"], buckets)
 
 
@@ -242,12 +271,11 @@ def _send_segments(buckets: list[int]):
         parts.clear()
         rows = s.pop("rows")
         s["row"] = np.arange(len(rows))
-        s, least = least_of(s, "anchor", "digest")
-        if _true_digest(s, rows):
-            s, least = least_of(s, "anchor", "digest")
-        later = s["doc"] > least
-        yield from marks(take(s, later), buckets)
-        s = take(s, ~later)
+        s = take(s, np.lexsort((s["digest"], s["anchor"])))
+        _true_digest(s, rows)
+        s, later = split_later(s, "anchor", "digest")
+        yield from marks(later, buckets)
+        del later
         s["rows"] = rows[s.pop("row")]
         del rows
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
@@ -266,6 +294,7 @@ def _send_segments(buckets: list[int]):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 ids, texts = _texts(batch)
+                shifts = batch.column("shift").to_numpy()
                 marked = [unpack(m, MARK[1:])["start"] for m in batch.column("marks").to_pylist()]
                 for piece in pieces(texts):
                     s = segments(piece, list(range(len(ids))))  # documents by their place in the batch
@@ -274,6 +303,7 @@ def _send_segments(buckets: list[int]):
                     if not len(s):
                         continue
                     fields = {n: np.ascontiguousarray(s[n]) for n, _ in SEGMENT} | {"rows": rows_of(s, texts)}
+                    fields["shift"] = shifts[s["doc"]]
                     fields["doc"] = np.array(ids, np.int64)[s["doc"]]
                     parts.append(fields)
                     size += len(s)
@@ -381,7 +411,7 @@ def owned_earlier(s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         w = where[a : a + 50_000]
         span = np.arange(WINDOW)
         equal[w] = (data[at[w][:, None] + span] == data[at[w - 1][:, None] + span]).all(1)
-    doc = s["doc"][row[order]]
+    doc = order_of(s)[row[order]]
     starts = np.flatnonzero(~equal)
     least = np.minimum.reduceat(doc, starts)[np.cumsum(~equal) - 1]
     found = order[doc > least]
@@ -396,14 +426,14 @@ def _meet_segments(buckets: list[int]):
         for batch in batches:
             for kind, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if kind == SEGMENTS:
-                    parts.append(unpack(data, SEGMENT, ROW))
+                    parts.append(unpack(data, SENT_SEGMENT, ROW))
                 else:
                     yield _batch([(kind, bucket, data)])
         if not parts:
             return
         s = join(parts)
         parts.clear()
-        s, _ = least_of(s, "anchor", "digest")
+        s = take(s, np.lexsort((s["digest"], s["anchor"])))
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
         split = np.bincount(anchor_of, weights=s["windows"] == 0)[anchor_of] > 0
         if split.any():
@@ -414,10 +444,9 @@ def _meet_segments(buckets: list[int]):
         s["row"] = np.arange(len(s["doc"]))
         _true_digest(s, s["rows"])
         del s["row"]
-        s, least = least_of(s, "anchor", "digest")
-        later = s["doc"] > least
-        yield from marks(take(s, later), buckets)
-        s = take(s, ~later)
+        s, later = split_later(s, "anchor", "digest")
+        yield from marks(later, buckets)
+        del later
         anchor_of = np.cumsum(heads(s["anchor"])) - 1
         contents = np.bincount(anchor_of, weights=heads(s["anchor"], s["digest"]))
         s = take(s, contents[anchor_of] > 1)
@@ -453,66 +482,82 @@ def _meet_segments(buckets: list[int]):
 
 def _meet_windows(buckets: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(d, BY_CONTENT) for batch in batches for d in batch.column("data").to_pylist()]
+        parts = [unpack(d, BY_CONTENT, WINDOW) for batch in batches for d in batch.column("data").to_pylist()]
         if parts:
-            w, least = least_of(join(parts), "one", "two")
-            yield from marks(take(w, w["doc"] > least), buckets)
+            yield from marks(split_later(told_apart(join(parts)), "one", "two")[1], buckets)
 
     return run
 
 
-CLEANED = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
+CLEANED = "kept {kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spans_of(data: bytes) -> list[tuple[int, int]]:
+    """The runs of bytes that marked windows cover."""
+    m = unpack(data, MARK[1:])
+    begin = m["start"].astype(np.int64)
+    reach = np.maximum.accumulate(begin + m["windows"] + WINDOW - 1)
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return list(zip(begin[first].tolist(), reach[np.append(first[1:], len(begin)) - 1].tolist()))
+
+
+def _cut(carry: list[str], as_text: bool):
     """Each document without the bytes that its marked windows cover."""
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            ids, texts = _texts(batch)
-            out: list[list] = [[], [], [], [], []]
-            for doc, text, copy, data in zip(ids, texts, batch.column("copy").to_pylist(), batch.column("marks").to_pylist()):
-                spans: list[tuple[int, int]] = []
-                if copy and len(text) >= WINDOW:
-                    spans = [(0, len(text))]
-                elif data:
-                    m = unpack(data, MARK[1:])
-                    begin = m["start"].astype(np.int64)
-                    reach = np.maximum.accumulate(begin + m["windows"] + WINDOW - 1)
-                    new = np.ones(len(begin), bool)
-                    new[1:] = begin[1:] > reach[:-1]
-                    first = np.flatnonzero(new)
-                    spans = list(zip(begin[first].tolist(), reach[np.append(first[1:], len(begin)) - 1].tolist()))
-                kept, last = [], 0
-                for a, b in spans:
-                    kept.append(text[last:a])
-                    last = b
-                kept.append(text[last:])
-                rest = b"".join(kept)
-                for column, value in zip(out, (None if doc == NO_ID else doc, rest, len(text), len(text) - len(rest), [{"start": a, "end": b} for a, b in spans])):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["doc_id", "kept", "n_bytes", "n_removed", "spans"])
-
-
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept, n_bytes, n_removed, spans) of ``docs`` (doc_id, text): remaining bytes and removed runs."""
+    kinds = (pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                out: list[list] = [[], [], [], []]
+                for text, copy, data in zip(batch.column("text").to_pylist(), batch.column("copy").to_pylist(), batch.column("marks").to_pylist()):
+                    text = (text or "").encode()
+                    spans = [(0, len(text))] if copy and len(text) >= WINDOW else spans_of(data) if data else []
+                    ends = [0, *(x for span in spans for x in span), len(text)]
+                    rest = b"".join(text[a:b] for a, b in zip(ends[0::2], ends[1::2]))
+                    # as text: characters that a cut went through are left out
+                    kept = rest.decode(errors="ignore") if as_text else rest
+                    for column, value in zip(out, (kept, len(text), len(text) - len(rest), [{"start": a, "end": b} for a, b in spans])):
+                        column.append(value)
+                arrays = [batch.column("others").field(c) for c in carry] + [pa.array(x, k) for x, k in zip(out, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, [*carry, "kept", "n_bytes", "n_removed", "spans"])
+
+    return run
+
+
+def _address(of: Column) -> Column:
+    """An address that no doc_id has in practice: below -2**62."""
+    return F.lit(-(1 << 63)) + F.shiftrightunsigned(of, 2)
+
+
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_text: bool = False) -> DataFrame:
+    """(*carry, kept, n_bytes, n_removed, spans) of ``docs`` (doc_id, text): remaining bytes, or text, and removed runs."""
     spark = docs.sparkSession
     buckets = bucket_keys(spark)
-    docs = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # equal texts: all but the first are removed whole; one text stands for an id
-    hashed = stash(docs.select("doc_id", F.sha2("text", 256).alias("sha")).groupBy("doc_id").agg(F.min("sha").alias("sha")), "hashed")
-    firsts = hashed.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    known = stash(hashed.join(firsts, "sha").select("doc_id", "sha", (F.col("doc_id") != F.col("first")).alias("copy")), "known")
-
-    gather = lambda sent: sent.repartition("bucket").select("data").mapInArrow(_gather_marks, "doc_id long, marks binary")
-    anchors = docs.mapInArrow(_send_anchors(buckets), SENT).repartition("bucket").mapInArrow(_meet_anchors(buckets), SENT)
-    marked = stash(gather(anchors), "marked")
+    text = F.coalesce("text", F.lit(""))
+    # the first address needs the row alone; ids of several texts share it, which marks more segments than there are
+    rows = docs.select(F.coalesce("doc_id", _address(F.xxhash64(text))).alias("address"), text.alias("text"), F.col("doc_id").alias("id"), F.struct(*carry).alias("others"))
+    hashed = rows.select("address", F.coalesce("id", F.lit(NO_ID)).alias("place"), F.sha2("text", 256).alias("sha")).distinct()
+    nth = F.row_number().over(Window.partitionBy("address").orderBy("sha", "place"))
+    own = F.when(nth == 1, F.col("address")).otherwise(_address(F.xxhash64("place", "sha")))
+    hashed = stash(hashed.withColumn("own", own), "hashed")
+    # equal texts: all but those of the least id are removed whole
+    firsts = hashed.groupBy("sha").agg(F.min("place").alias("first"))
+    known = hashed.join(spread(firsts, "sha"), "sha")
+    known = stash(known.select("address", "sha", "own", F.col("place").bitwiseXOR(F.col("own")).alias("shift"), (F.col("place") != F.col("first")).alias("copy")), "known")
     unstash(hashed)
 
-    wanted = known.where("NOT copy").join(marked, "doc_id").select("doc_id", "sha", "marks")
-    held = docs.join(wanted, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "marks")
+    gather = lambda sent: sent.repartition("bucket").select("data").mapInArrow(_gather_marks, "address long, marks binary")
+    sources = rows.select(F.col("address").alias("doc_id"), "text")
+    anchors = sources.mapInArrow(_send_anchors(buckets), SENT).repartition("bucket").mapInArrow(_meet_anchors(buckets), SENT)
+    marked = stash(gather(anchors), "marked")
+
+    same = ["address", "sha"]
+    hashed_rows = rows.withColumn("sha", F.sha2("text", 256))
+    wanted = known.where("NOT copy").join(marked, "address").select("address", "sha", "own", "shift", "marks")
+    held = hashed_rows.select("address", "sha", "text").join(wanted, same).select(F.col("own").alias("doc_id"), "text", "marks", "shift")
     sent = held.mapInArrow(_send_segments(buckets), SENT)
     met = stash(sent.repartition("bucket").mapInArrow(_meet_segments(buckets), SENT), "met")
     unstash(marked)
@@ -521,5 +566,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = stash(gather(by_kind(met, MARKS).union(windows)), "found")
     unstash(met)
 
-    plan = known.join(found, "doc_id", "left")
-    return docs.join(plan, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text", "copy", "marks").mapInArrow(_cut, CLEANED)
+    plan = known.join(found.withColumnRenamed("address", "own"), "own", "left").select("address", "sha", "copy", "marks")
+    schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(CLEANED.format(kind="string" if as_text else "binary"))])
+    return hashed_rows.select("address", "sha", "text", "others").join(plan, same).select("text", "copy", "marks", "others").mapInArrow(_cut(list(carry), as_text), schema)
