@@ -4,8 +4,8 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 last with the columns of ``documents``. ``run`` applies them, each result a written table. A document of the
 result is a run of blocks of a document that the mix takes, so a doc_id may come more than once.
 
-Each stage handles nulls, empty texts and repeated rows as its operator says; rows without a doc_id pass the
-first stage and are left out by the second.
+Each stage handles nulls, empty texts and repeated rows as its operator says; rows without a doc_id, and rows of
+different texts that share one, are documents like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm.byte_bpe import encode_and_decode
-from folioforge.llm.common import stash, table, unstash
+from folioforge.llm.common import row_key, stash, table, unstash
 from folioforge.llm.mixing import mixed_texts
 from folioforge.llm.ngram_join import Join
 from folioforge.llm.quality import judge
@@ -27,24 +27,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that the weakly supervised rules keep."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("word_chars").alias("kept_chars"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.length(F.translate("text", " \t\n\x0b\x0c\r", "")) == F.col("kept_chars"))
-    return docs.join(kept, same, "left_semi").select(*COLUMNS)
+    return judge(docs, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents the one of least id; rows that repeat it count as one."""
-    kept = Join(docs).labelled().where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near-duplicate documents the one of least id; equal rows count as one."""
+    kept = Join(docs).labelled().where("kept").select(F.col("doc_id").alias("kept_id"), "row")
+    keyed = docs.withColumn("row", row_key("doc_id", "text"))
+    same = (keyed["row"] == kept["row"]) & keyed["doc_id"].eqNullSafe(F.col("kept_id"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["row", "doc_id"]).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of earlier documents; characters cut apart and texts that are used up go too."""
-    cut = remove_repeats(docs).select(F.col("doc_id").alias("cut_id"), "kept", (F.size("spans") > 0).alias("changed"))
-    whole = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    both = docs.drop("text", "n_chars").join(cut, F.col("doc_id") == F.col("cut_id"))
-    text = F.when(F.col("changed"), whole).otherwise(F.col("kept").cast("string"))
-    return both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*COLUMNS)
+    cut = remove_repeats(docs, carry=("doc_id", "lang", "source"), as_text=True).withColumnRenamed("kept", "text")
+    return cut.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
