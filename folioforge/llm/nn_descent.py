@@ -5,12 +5,13 @@
    inside short runs of that order; a vector keeps its best neighbours. The number of sets grows with the table, so
    that a pair at the threshold shares a run in one of them; TABLES sets are made at a time.
 3. Descent: every vector lists its neighbours and those it is a neighbour of; all pairs of a list are compared
-   (neighbours of neighbours), and what beats a vector's worst neighbour replaces it. Rounds end when nearly all links
+   (neighbours of neighbours), and what beats a vector's worst neighbour replaces it. A list that is saturated, that
+   is, holds links only, is enlarged: it takes in further links up to ENLARGED neighbours. Rounds end when nearly all links
    of sampled vectors, which an audit compares with all vectors, are in the lists, and in the end in the counts.
    The sample grows until LINKED of its vectors have a link, or has QUERIES vectors or all. A round that is not the
    last adds TABLES new sets of seeds; if MOST_ROUNDS are not enough, that is an error and no result.
 4. Edges of at least the threshold are checked in double precision and make components.
-5. A list that holds links only is saturated: there may be more, also to other components, whose lists are then
+5. An enlarged list that is saturated again may miss links, also to other components, whose lists are then
    saturated too. The components with such a vector are cut into blocks, each with a centre and a radius; two blocks
    are compared, whatever their components, unless centres and radii rule out a link. Blocks give counts and the
    components they connect, never rows of pairs.
@@ -19,9 +20,9 @@ Reverse lists are thinned to LIST slots by hash (a hub's list is never gathered)
 not the result, which the audit measures.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or that hold null or non-finite
-components, and those without a vec_id, link with nothing; rows that repeat a vec_id are separate vectors that
-share an id; an empty table gives
-no rows; other columns of the input are ignored.
+components, and those without a vec_id, link with nothing; rows that repeat a vec_id are separate vectors (inside,
+vectors have numbers of their own) that share an id; of equally near neighbours those of least number are kept;
+an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, stash, unstash
+from folioforge.llm.common import connected_components, spread, stash, unstash
 
 THRESHOLD = 0.95
-#: Neighbours kept, slots of a reverse list.
-LIST = 12
+#: Neighbours kept, slots of a reverse list; neighbours of a list that is enlarged because it holds links only.
+LIST, ENLARGED = 12, 48
 TABLES, PLANES, RUN = 6, 32, 256
 LEAST_ROUNDS, MOST_ROUNDS = 1, 6
 #: The audit's first sample, what each further step adds, the linked vectors it is to hold, its most vectors; the recall that ends the rounds.
@@ -45,7 +46,7 @@ AUDITED, STEP, LINKED, QUERIES, ENOUGH = 400, 4000, 200, 16_400, 0.98
 #: Share of pairs at the threshold that may share no run in any set of seeds.
 MISSED = 0.001
 #: Vectors of a block of an enlarged list, blocks of a tile in which their centres are compared.
-BLOCK, TILE = 1024, 2048
+BLOCK, TILE = 2048, 2048
 SLACK = 1e-4
 #: Angle of a link, rounding included.
 REACH = float(np.arccos(THRESHOLD)) + 1e-6
@@ -86,13 +87,16 @@ def _codes(dim: int, batch_no: int = 0):
     return run
 
 
-def _best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, sim) of the k best columns of each row."""
+def _best(ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, sim) of each row's LIST best columns, and of links up to ENLARGED."""
     np.fill_diagonal(sims, -2)
-    k = min(k, len(ids) - 1)
+    k = min(ENLARGED, len(ids) - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    u = np.repeat(np.arange(len(ids)), k)
-    return ids[u], ids[top.ravel()], sims[u, top.ravel()]
+    near = np.take_along_axis(sims, top, 1)
+    least = np.partition(near, max(0, k - LIST), axis=1)[:, max(0, k - LIST)]  # of the LIST best
+    u, place = np.nonzero((near >= least[:, None]) | (near >= THRESHOLD))
+    v = top[u, place]
+    return ids[u], ids[v], sims[u, v]
 
 
 def _edges(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
@@ -104,7 +108,7 @@ def _seed(dim: int):
 
     def pairs(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ids, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        return _edges(*_best(ids, x @ x.T, LIST))
+        return _edges(*_best(ids, x @ x.T))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, halves = None, []
@@ -125,10 +129,10 @@ def _seed(dim: int):
 
 
 def best(edges: DataFrame) -> DataFrame:
-    """The LIST best neighbours of each vector."""
+    """The LIST best neighbours of each vector; if these are links, further links up to ENLARGED."""
     place = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
     one = edges.where("u != v").groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    return one.withColumn("place", F.row_number().over(place)).where(F.col("place") <= LIST).drop("place")
+    return one.withColumn("place", F.row_number().over(place)).where(F.col("place") <= ENLARGED).where((F.col("place") <= LIST) | (F.col("sim") >= THRESHOLD)).drop("place")
 
 
 def _local_join(dim: int):
@@ -173,7 +177,7 @@ def _local_join(dim: int):
 def refine(graph: DataFrame, vectors: DataFrame, dim: int, n_parts: int) -> DataFrame:
     """One round of neighbours of neighbours."""
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") < LIST, -1.0).otherwise(F.col("worst")).alias("worst"))
+    worst = worst.select(F.col("u").alias("id"), F.when(F.col("n") < LIST, -1.0).when(F.col("n") < ENLARGED, F.least("worst", F.lit(THRESHOLD - SLACK))).otherwise(F.col("worst")).alias("worst"))
     slot = F.pmod(F.xxhash64("u", "v"), F.lit(LIST))
     back = graph.groupBy(F.col("v").alias("w"), slot.alias("slot")).agg(F.max_by("u", F.struct("sim", "u")).alias("id")).select("w", "id")
     lists = graph.select(F.col("u").alias("w"), F.col("v").alias("id")).union(back).distinct()
@@ -216,9 +220,9 @@ def linked_sample(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def audit(graph: DataFrame, sample: DataFrame) -> float:
-    """Recall of the LIST best links of the sampled vectors."""
+    """Recall of the ENLARGED best links of the sampled vectors: links held are links, so numbers tell which are missing."""
     held = graph.where(F.col("sim") >= THRESHOLD).join(F.broadcast(sample.select("u")), "u", "left_semi").groupBy("u").agg(F.count("*").alias("got"))
-    least = sample.select("u", F.least("n", F.lit(LIST)).alias("n"))
+    least = sample.select("u", F.least("n", F.lit(ENLARGED)).alias("n"))
     total = least.join(held, "u", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("got", F.lit(0))))).first()
     return total[1] / total[0] if total[0] else 1.0
 
@@ -295,7 +299,7 @@ def _count_block(dim: int):
 
 def enlarged(parts: DataFrame, degree: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(id, links, other) as of ``_count_block``, of all vectors in components with a saturated list."""
-    full = parts.join(degree.where(F.col("n") >= LIST), "id").select("component").distinct()
+    full = parts.join(degree.where(F.col("n") >= ENLARGED), "id").select("component").distinct()
     sizes = parts.join(full, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("blocks")))
     held = stash(parts.join(sizes, "component").withColumn("x", block).join(vectors, "id").select("component", "id", "v", "weight", "x"), "enlarged")
@@ -324,7 +328,7 @@ def _replaced(graph: DataFrame | None, edges: DataFrame, whole: bool = False) ->
 
 
 def counted(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(v, id, counted, n_links, component_id) of every vector; counted leaves its own copies out."""
+    """(v, id, name, counted, n_links, component) of every vector; counted leaves its own copies out."""
     near = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     x, y = (vectors.select(F.col("id").alias(i), F.col("v").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     links = stash(near.join(x, "a").join(y, "b").mapInArrow(_check(dim), "a long, b long"), "links")
@@ -338,9 +342,9 @@ def counted(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     met = stash(connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "met")
     parts = parts.join(met.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
-    named = vectors.select("v", "id", "weight").join(degree.select("id", "links"), "id", "left").join(sums, "id", "left").join(parts, "id", "left")
+    named = vectors.select("v", "id", "name", "weight").join(degree.select("id", "links"), "id", "left").join(sums, "id", "left").join(parts, "id", "left")
     named = named.withColumn("counted", F.coalesce("all_links", "links", F.lit(0)))
-    return stash(named.select("v", "id", "counted", (F.col("counted") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "named")
+    return stash(named.select("v", "id", "name", "counted", (F.col("counted") + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "named")
 
 
 def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "embedding", log: list | None = None) -> DataFrame:
@@ -355,7 +359,8 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
     dim = lengths["d"]
     rows = rows.withColumn("good", valid("v", dim) & F.col("member").isNotNull())
     good = rows.where("good")
-    vectors = stash(good.groupBy("v").agg(F.min("member").alias("id"), F.count("*").alias("weight")), "vectors")
+    distinct = good.groupBy("v").agg(F.min("member").alias("name"), F.count("*").alias("weight"))
+    vectors = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "vectors")  # numbers that the written table fixes
 
     sample = stash(linked_sample(vectors, dim), "sample")
     graph, first = None, -(-seed_tables(vectors.count()) // TABLES)
@@ -378,6 +383,8 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
             graph = _replaced(graph, seeds(vectors, dim, n_parts, first + n))
         graph = _replaced(graph, refine(graph, vectors, dim, n_parts), whole=True)
 
-    some = good.join(named.drop("id", "counted"), "v").select(F.col("member").alias(key), F.col("n_links").cast("long"), "component_id", (F.col("member") == F.col("component_id")).alias("kept"))
+    least = named.groupBy("component").agg(F.min("name").alias("component_id"))
+    named = named.join(spread(least, "component"), "component").select("v", "n_links", "component_id")
+    some = good.join(named, "v").select(F.col("member").alias(key), F.col("n_links").cast("long"), "component_id", (F.col("member") == F.col("component_id")).alias("kept"))
     unstash(graph)
     return some.unionByName(nothing(rows.where("NOT good")))

@@ -281,6 +281,26 @@ def test_links_between_full_lists(spark):
     assert got == {i: (int(hit[k].sum()), 300 if i >= 300 else 0, i in (0, 300)) for k, (i, _) in enumerate(rows)}
 
 
+def test_two_groups_and_repeated_ids(spark):
+    """Links between two groups larger than a list, among vectors that link with nothing; ids that several vectors share."""
+    rng = np.random.default_rng(12)
+    rows = [(i, p.tolist()) for i, p in enumerate(rng.standard_normal((600, 32)), 1000)]
+    for g in range(2):
+        centre = np.eye(32)[0] + np.eye(32)[1] * 0.25 * g
+        rows += [(10 * i, (centre + 0.003 * rng.standard_normal(32)).tolist()) for i in range(30 * g, 30 * g + 30)]
+    rows += [(1, [1.0] * 32), (1, [1.0] * 31 + [1.1]), (2, [1.0] * 31 + [1.2]), (1, (-np.eye(32)[5]).tolist()), (None, [1.0] * 32)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows[:-1]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = x @ x.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert hit[600:660, 600:660].sum() == 60 * 59
+    log = []
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(df, log=log).where("vec_id IS NOT NULL").collect())
+    want = [(i, int(h.sum()), 0 if 600 <= k < 660 else 1 if i in (1, 2) else i) for k, ((i, _), h) in enumerate(zip(rows[:-1], hit))]
+    assert got == sorted(want) and log[-1] >= nn_descent.ENOUGH
+
+
 def test_audit_of_rare_links(spark, monkeypatch):
     rng = np.random.default_rng(9)
     points = rng.standard_normal((3000, 24))
