@@ -64,13 +64,19 @@ def _shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(DROP_SHUFFLE_FILES, before)
 
 
+def dropped_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted when the program ends."""
+    atexit.register(_drop_at_exit, spark, path)
+    return path
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, losing an executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     with _shuffle_files_dropped(spark):
         df.write.parquet(path)
-    atexit.register(_drop_at_exit, spark, path)
+    dropped_at_exit(spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again.stash_path = path
     return again

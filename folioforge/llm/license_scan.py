@@ -1,13 +1,14 @@
 """Canonical digest lookup of licences.
 
 A text is brought to a canonical form (case, copyright lines, punctuation and white space, equivalent spellings)
-and its SHA-256 looked up among the digests of known licences by a hash join over entire texts. The known table
-is a constant of this package (or the caller's), a few hundred rows at most, and is broadcast for that reason.
+and its SHA-256 looked up among the digests of known licences by a hash join over entire texts. The package's own
+known table is a constant of a few dozen rows and is broadcast for that reason; a caller's may have any size, and
+Spark decides by its size.
 
 Only DataFrame expressions; the steps are data, from which the SQL of the same form is made too.
 
 Defined cases: a null text is empty; a canonical form without words has no licence; texts of any length are
-digested whole; repeated rows give repeated results; of known licences with one digest the first name is given;
+digested whole; a null name of a known licence finds nothing; repeated rows give repeated results; of known licences with one digest the first name is given;
 an empty table gives no rows; other columns of the input are ignored.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.license_texts import KNOWN
+from folioforge.llm.license_texts import KNOWN, KNOWN_DIGESTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,17 +58,24 @@ def canonical(text: Column) -> Column:
     return F.trim(form)
 
 
-def known_licenses(spark, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license_digest, license_id) of the known texts."""
-    rows = list((KNOWN if texts is None else texts).items())
-    known = spark.createDataFrame(rows, "license_id string, known_text string")
-    return known.groupBy(F.sha2(canonical(F.col("known_text")), 256).alias("license_digest")).agg(F.min("license_id").alias("license_id"))
+def digests_of(texts: DataFrame, license_id: str = "license_id", text: str = "text") -> DataFrame:
+    """(license_digest, license_id) of a table of known texts, to be given to ``scan_licenses``."""
+    return texts.select(F.sha2(canonical(F.col(text)), 256).alias("license_digest"), F.col(license_id).alias("license_id"))
+
+
+def known_licenses(spark) -> DataFrame:
+    """(license_digest, license_id) of the licences that the package knows."""
+    short = spark.createDataFrame(list(KNOWN.items()), "license_id string, text string")
+    long = spark.createDataFrame([(digest, name) for name, digest in KNOWN_DIGESTS.items()], "license_digest string, license_id string")
+    return digests_of(short).unionByName(long)
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
-    """(key, n_canonical, license_digest, license_id) of every row of ``docs``."""
-    known = known_licenses(docs.sparkSession) if known is None else known
+    """(key, n_canonical, license_digest, license_id) of every row of ``docs``; ``known``: (license_digest, license_id)."""
+    own = known is None
+    known = known_licenses(docs.sparkSession) if own else known
+    known = known.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
     form = docs.select(key, canonical(F.col(text)).alias("form"))
     found = form.select(key, F.length("form").cast("long").alias("n_canonical"), F.sha2("form", 256).alias("license_digest"))
-    found = found.join(F.broadcast(known), "license_digest", "left")
+    found = found.join(F.broadcast(known) if own else known, "license_digest", "left")
     return found.select(key, "n_canonical", "license_digest", F.when(F.col("n_canonical") > 0, F.col("license_id")).alias("license_id"))

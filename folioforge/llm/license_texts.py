@@ -1,4 +1,4 @@
-"""Texts of short public licences. They must equal the published texts."""
+"""Texts of short public licences and digests of long ones. They must equal the published texts."""
 
 _PERMIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -70,3 +70,21 @@ Unless required by applicable law or agreed to in writing, software distributed
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
+
+#: SHA-256 of the canonical forms (``license_scan``) of long published licences, terms and appendices whole, in plain text; after # the
+#: name of the file below /usr/share/common-licenses of Debian that holds the text. Fixed values.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "3360af12d17fa703a785afc85bb78f79f941720338dcde06e2cca355537a53f9",  # Apache-2.0
+    "Artistic-1.0-Perl": "b35b3a55b33e50ea032c5cae7b428d53b2588c179f6cba5b23a3716a2d16a9e9",  # Artistic
+    "CC0-1.0": "8a58796fb749d87126983cebc26e6619b99601332e2fee24acbad509518cad3f",  # CC0-1.0
+    "GFDL-1.2": "d98cfcb202860aae95d5403bfa950318c37036295febc70f670b77815dc77daf",  # GFDL-1.2
+    "GFDL-1.3": "54910ea1c2f6620f77848db8ad1a71e9d2c3f58d5ada1d7948a671620df787ec",  # GFDL-1.3
+    "GPL-1.0": "9f8e973e64d4d96606c86d98dd66d32b5e7df783531f4276b6fc0f4e76095a89",  # GPL-1
+    "GPL-2.0": "eb0e0103d1dd2c9ddbebd804cdc975d867db465b95383bcd1c0428dc5c2fdb0b",  # GPL-2
+    "GPL-3.0": "1b4c1b566e0188a36d19e966e698897d94e4eca778132faad8328f9578439712",  # GPL-3
+    "LGPL-2.0": "ebb31597fda0907eeaa26122198c9c4478be82a608350d0508a68abd9c488b8c",  # LGPL-2
+    "LGPL-2.1": "a227d36314fee147db438698fedcd26cae6a5ff4893d8bf1030ff546b3050641",  # LGPL-2.1
+    "LGPL-3.0": "f9971a40b39b55b23a81e443f25bde5afd88dcddc5a97e859f3e234c6409bb34",  # LGPL-3
+    "MPL-1.1": "839ed6beabd853c4040be40748f32201b769d64d54ba5cd19027c190327a3c33",  # MPL-1.1
+    "MPL-2.0": "1dd09389d805e1d681cbcbd26077ad4fd9fbff32ff23b4655e8a2dc637008074",  # MPL-2.0
+}

@@ -12,9 +12,11 @@ def op1_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
-OP1_SQL = """
+OP1_SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, role IS NULL AS anonymous, coalesce(text, '') AS content
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, role IS NULL AS anonymous,
+         replace(replace(coalesce(text, ''), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS content,
+         replace(replace(regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g'), '<|', '<' || chr(8203) || '|'), '|>', '|' || chr(8203) || '>') AS shown
   FROM conversations
 ), people AS (
   SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE NOT anonymous AND speaker <> 'system'
@@ -22,7 +24,7 @@ WITH said AS (
   SELECT s.*, p.perspective, NOT anonymous AND speaker = perspective AS own, NOT anonymous AND speaker = 'system' AS rules
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), headed AS (
-  SELECT *, CASE WHEN own THEN '<|assistant|>' WHEN rules THEN '<|system|>' ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+  SELECT *, CASE WHEN own THEN '<|assistant|>' WHEN rules THEN '<|system|>' ELSE '<|user name=' || shown || '|>' END || chr(10) AS head
   FROM views
 )
 SELECT conv_id, perspective, turn,

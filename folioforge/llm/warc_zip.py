@@ -28,12 +28,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import scratch_path, stash
+from folioforge.llm.common import dropped_at_exit, scratch_path, spread, stash
 
 #: Payloads from this size on are written once.
 LEAST_SHARED = 100
 #: Bytes of records after which a task starts another archive, and that one range read asks for at most (about).
 ARCHIVE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Bytes of records that a task of the reader reads, about.
+TASK_BYTES = 64 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -165,14 +167,18 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     digests = stash(pages.select("page_id", F.sha2(body, 256).alias("digest"), F.length(body).alias("n")).where(F.col("n") >= LEAST_SHARED), "digests")
     shared = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1 AND refers_to IS NOT NULL")
-    again = digests.join(shared, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to").distinct()
+    again = digests.join(spread(shared, "digest"), "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), "refers_to").distinct()
     full = pages.select("page_id", "url", body.alias("payload"), F.sha2(body, 256).alias("digest"))
     return full.join(again, (F.coalesce(F.col("page_id"), F.lit(-1)) == F.coalesce(F.col("again_id"), F.lit(-1))) & F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left").drop("again_id", "again_digest")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write each row of ``pages`` (page_id, url, html) as a record; (path, n_records) of the archives."""
-    folder = folder or scratch_path(pages.sparkSession, "archives")
+    """Write each row of ``pages`` (page_id, url, html) as a record; (path, n_records, n_bytes) of the archives.
+
+    Archives in a folder that the caller names stay; the default one is deleted when the program ends, with what
+    failed tasks left in it.
+    """
+    folder = folder or dropped_at_exit(pages.sparkSession, scratch_path(pages.sparkSession, "archives"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
@@ -186,7 +192,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                 lines.write("".join(index).encode())
             archive.close()
             sink.close()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(index)], pa.int64())], ["path", "n_records"])
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([size], pa.int64())], ["path", "n_records", "n_bytes"])
 
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
@@ -208,7 +214,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if archive is not None:
             yield close()
 
-    return stash(with_revisits(pages).mapInArrow(run, "path string, n_records long"), "archives")
+    return stash(with_revisits(pages).mapInArrow(run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,6 +262,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """The records of the archives at ``path``; a revisit's payload is null, its size and digest are the full payload's."""
+    """The records of the ``archives`` (path, n_bytes); a revisit's payload is null, its size and digest are the full payload's."""
+    total = archives.agg(F.sum("n_bytes")).first()[0] or 0
+    n_tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
     ranges = archives.select("path").mapInArrow(_ranges, "path string, at long, length long, lengths array<long>")
-    return ranges.repartition(F.col("path"), F.col("at")).mapInArrow(_records, READ)
+    # ranges are pointers: their own size says nothing about the work, so the number of tasks is fixed here
+    return ranges.repartition(n_tasks, "path", "at").mapInArrow(_records, READ)
