@@ -12,8 +12,8 @@ similarity is at least ``PERCENT`` hundredths.
 3. First round: the postings of a list are shuffled, differently for each shingle, and each is paired with its
    neighbour and with the list's first. That is a linear number of pairs however long the list, and different
    partners from every shingle: their components hold all but stray copies of a group.
-4. Second round: for the shingles whose postings lie in more than one component, each two components that share
-   one meet, and only their postings are paired, never those of one component. Links inside a component cannot change the result, so none between different
+4. Second round: for the shingles whose postings lie in more than one component, the postings outside of the
+   shingle's largest component meet all others: a component is never paired with itself for a stray copy's sake. Links inside a component cannot change the result, so none between different
    components is lost.
 5. Every pair passes the length and positional filters before it is made, then the suffix filter (a lower bound
    of the difference from counts of both sets by hash range), and is verified once on the whole sets.
@@ -368,25 +368,22 @@ class Join:
         postings = met.where("token IS NOT NULL").select("token", "sig", "n", "pos").distinct()
         placed = postings.join(known.withColumnRenamed("id", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         placed = stash(placed, "placed")
-        parts = placed.groupBy("token", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-        mixed = parts.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        parts = parts.join(mixed, "token")
-        several = placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig")
-        several = stash(several.select("token", "component", "sig", "n", "pos", "hist"), "mixed")
-        p, q = parts.alias("p"), parts.alias("q")
-        apart = (F.col("p.component") < F.col("q.component")) & (100 * F.col("p.most") >= PERCENT * F.col("q.least")) & (100 * F.col("q.most") >= PERCENT * F.col("p.least"))
-        facing = p.join(q, (F.col("p.token") == F.col("q.token")) & apart).select("p.token", F.col("p.component").alias("left"), F.col("q.component").alias("right"))
-        x, y = several.alias("x"), several.alias("y")
+        mixed = placed.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("token")
+        several = stash(placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig"), "mixed")
+        counts = several.groupBy("token", "component").agg(F.count("*").alias("k"))
+        largest = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
+        x, y = several.join(spread(largest, "token"), "token").where(F.col("component") != F.col("largest")).alias("x"), several.alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         total = F.col("x.n") + F.col("y.n")
         fit = (
-            (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.component") != F.col("y.component"))
+            & ((F.col("y.component") == F.col("x.largest")) | (F.col("x.sig") < F.col("y.sig")))
+            & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
             & ((100 + PERCENT) * room >= PERCENT * total)
             & may_be_similar(F.col("x.hist"), F.col("y.hist"), total)
         )
-        of = lambda side, component: (F.col("f.token") == F.col(f"{side}.token")) & (F.col(f"f.{component}") == F.col(f"{side}.component"))
-        met_again = facing.alias("f").join(x, of("x", "left")).join(y, of("y", "right") & fit)
-        later = self._verified(met_again.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
+        later = self._verified(x.join(y, fit).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
         # the later links join whole components: only these are looked at again
         of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
         ends = later.join(of("a"), "a", "left").join(of("b"), "b", "left")
