@@ -44,7 +44,7 @@ PERCENT = 80
 #: Cells of the count sketch and rows it is sent in: a fixed size, whatever the corpus.
 CELLS, CELL_ROWS = 1 << 20, 64
 #: Bytes of text whose postings are gathered before they are sent.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Hash ranges of the suffix filter.
 RANGES = 128
 
