@@ -41,19 +41,25 @@ class Stub:
         return text, len(prompt) // 4, len(text) // 4
 
 
-def with_retries(call: Callable[[], tuple], attempts: int = 3, wait: float = 0.0) -> tuple:
-    """The call's result; after a failure another attempt, each after twice the wait."""
+def is_passing(error: Exception) -> bool:
+    """Too many requests, a server's failure (``status`` of the error) or a lost connection: the next attempt may succeed."""
+    status = getattr(error, "status", None)
+    return isinstance(error, (ConnectionError, TimeoutError)) or status == 429 or isinstance(status, int) and status >= 500
+
+
+def with_retries(call: Callable[[], tuple], attempts: int = 3, wait: float = 1.0) -> tuple:
+    """The call's result; after a failure that may pass another attempt, each after twice the wait."""
     for n in range(attempts):
         try:
             return call()
-        except Exception:
-            if n == attempts - 1:
+        except Exception as error:
+            if n == attempts - 1 or not is_passing(error):
                 raise
             time.sleep(wait * 2**n)
     raise AssertionError
 
 
-def ask(prompts: DataFrame, backends: list[Backend], prompt: str = "prompt", at_once: int | None = None, wait: float = 0.0) -> DataFrame:
+def ask(prompts: DataFrame, backends: list[Backend], prompt: str = "prompt", at_once: int | None = None, wait: float = 1.0) -> DataFrame:
     """``prompts`` with the answer of the first backend that gives one: text, model, tokens_in, tokens_out, error.
 
     Rows are split so that at most ``at_once`` calls run together. A prompt that all backends fail has an error.
@@ -74,7 +80,7 @@ def ask(prompts: DataFrame, backends: list[Backend], prompt: str = "prompt", at_
             replies = pd.DataFrame([answer(t) for t in frame[prompt]], columns=["text", "model", "tokens_in", "tokens_out", "error"], index=frame.index)
             yield pd.concat([frame, replies], axis=1)
 
-    source = prompts.coalesce(at_once) if at_once else prompts
+    source = prompts.repartition(at_once) if at_once else prompts
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
     return source.mapInPandas(run, f"{fields}, {ANSWER}")
 

@@ -1,8 +1,13 @@
-"""Sections of papers. Texts become lines, lines get the section they start, sections carry on to the next start."""
+"""Sections of papers. Texts become arrays of lines, lines get the section they start, sections carry on to the next start.
+
+A document is split inside its row, in one scan of the table and without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.text import word_count
@@ -38,56 +43,65 @@ def heading_of(line: Column) -> Column:
     return found
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+PARTS = "array<struct<seq:int,section:string,text:string>>"
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _segments(lines: Column, header: Callable[[Column], Column]) -> Column:
+    """(seq, section, text) of each header line: the lines up to the next header, without blank lines around them."""
+    heads = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("i"), header(line).alias("name"))), lambda h: h["name"].isNotNull())
+
+    def bodies(found: Column) -> Column:
+        stop = lambda j: F.coalesce(F.get(found, j + 1)["i"], F.size(lines))
+        body = lambda h, j: F.array_join(F.slice(lines, h["i"] + 2, stop(j) - h["i"] - 1), "\n")
+        each = F.transform(found, lambda h, j: F.struct(h["i"].alias("seq"), h["name"].alias("section"), F.regexp_replace(body(h, j), r"^\s+|\s+$", "").alias("text")))
+        return F.filter(each, lambda part: part["text"] != "")
+
+    return _once(heads, bodies)
+
+
+def _named(parts: Column, pick: Callable[[Column, Column], Column]) -> Column:
+    """One part for each section name, picked from those of that name."""
+    return _once(parts, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["section"])), lambda name: pick(name, F.filter(p, lambda x: x["section"] == name))))
 
 
-def _carried(marked: DataFrame, key: str) -> DataFrame:
-    """(key, line_no, line, section, start): each line under the header before it; header lines themselves go."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    start = F.last(F.when(F.col("header").isNotNull(), F.col("line_no")), True).over(w)
-    named = marked.withColumn("section", F.last("header", True).over(w)).withColumn("start", start)
-    return named.where("section IS NOT NULL AND header IS NULL").drop("header")
+def pattern_parts(lines: Column, patterns: dict[str, str] = SECTION_PATTERNS) -> Column:
+    """Segments of one type are joined by a blank line, in order."""
+    joined = lambda name, same: F.struct(same[0]["seq"].alias("seq"), name.alias("section"), F.array_join(F.transform(same, lambda x: x["text"]), "\n\n").alias("text"))
+    return _named(_segments(lines, lambda line: section_of(line, patterns)), joined)
 
 
-def _segments(lines: DataFrame, key: str) -> DataFrame:
-    body = F.sort_array(F.collect_list(F.struct("line_no", "line")))
-    joined = lines.groupBy(key, "section", "start").agg(body.alias("b"))
-    # blank lines around a body go
-    return joined.select(key, "section", "start", F.regexp_replace(F.array_join(F.col("b.line"), "\n"), r"^\s+|\s+$", "").alias("body")).where("body <> ''")
+def heading_parts(lines: Column) -> Column:
+    """Segments by numbered or capital headings; of equal names the later one counts."""
+    header = lambda line: _once(heading_of(line), lambda h: F.when(h.isNotNull(), snake_name(h)))
+    return _named(_segments(lines, header), lambda name, same: F.element_at(same, -1))
 
 
-def by_patterns(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: dict[str, str] = SECTION_PATTERNS) -> DataFrame:
-    """(key, seq, section, text); segments of one type are joined by a blank line, in order."""
-    marked = _lines(docs, key, text).withColumn("header", section_of(F.col("line"), patterns))
-    parts = _segments(_carried(marked, key), key)
-    grouped = parts.groupBy(key, "section").agg(F.min("start").alias("seq"), F.sort_array(F.collect_list(F.struct("start", "body"))).alias("p"))
-    return grouped.select(key, "seq", "section", F.array_join(F.col("p.body"), "\n\n").alias("text"))
+def parts_of(text: Column, patterns: dict[str, str] = SECTION_PATTERNS) -> Column:
+    """Sections by pattern where a text has several, else by heading, else the whole text."""
+    whole = F.array(F.struct(F.lit(0).alias("seq"), F.lit("full_text").alias("section"), text.alias("text"))).cast(PARTS)
+    by_heading = lambda lines: _once(heading_parts(lines).cast(PARTS), lambda p: F.when(F.size(p) > 1, p).otherwise(whole))
+    return _once(F.split(text, "\n"), lambda lines: _once(pattern_parts(lines, patterns).cast(PARTS), lambda p: F.when(F.size(p) > 1, p).otherwise(by_heading(lines))))
 
 
 def by_headings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, seq, section, text) by numbered or capital headings; of equal names the later one counts."""
-    lines = _lines(docs, key, text)
-    heading = heading_of(F.col("line"))
-    marked = lines.withColumn("header", F.when(heading.isNotNull(), snake_name(heading)))
-    last = Window.partitionBy(key, "section").orderBy(F.col("start").desc())
-    parts = _segments(_carried(marked, key), key).withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return parts.select(key, F.col("start").alias("seq"), "section", F.col("body").alias("text"))
+    """(key, seq, section, text) by headings alone."""
+    return docs.select(key, F.inline(_once(F.split(text, "\n"), heading_parts).cast(PARTS)))
 
 
 def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", patterns: dict[str, str] = SECTION_PATTERNS) -> DataFrame:
-    """Sections by pattern where a document has several, else by heading, else the whole text."""
-    several = lambda parts: parts.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n > 1").drop("_n")
-    first = several(by_patterns(docs, key, text, patterns))
-    rest = docs.join(first.select(key).distinct(), key, "left_anti")
-    second = several(by_headings(rest, key, text))
-    whole = rest.join(second.select(key).distinct(), key, "left_anti").select(key, F.lit(0).alias("seq"), F.lit("full_text").alias("section"), F.col(text).alias("text"))
-    return first.unionByName(second).unionByName(whole)
+    """(key, seq, section, text), a row for each section."""
+    return docs.select(key, F.inline(parts_of(F.col(text), patterns)))
 
 
-def section_map(sections: DataFrame, key: str = "doc_id") -> DataFrame:
+def section_map(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sections): a map of name to text, at the edge only."""
-    return sections.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "text"))).alias("sections"))
+    entries = F.transform(parts_of(F.col(text)), lambda p: F.struct(p["section"], p["text"]))
+    return docs.select(key, F.map_from_entries(entries).alias("sections"))
 
 
 def first_section(sections: Column, names: list[str]) -> Column:

@@ -90,12 +90,21 @@ def insert_rows(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return base.unionByName(new.select(*base.columns))
 
 
-def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Fields of ``patch`` that are not null replace those of the row with the same key."""
-    fields = [c for c in patch.columns if c != key]
+def last_changes(changes: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row a key: of several the last by ``order``, which is no field of the table; without an order any one."""
+    if order is None:
+        return changes.dropDuplicates([key])
+    fields = [c for c in changes.columns if c not in (key, order)]
+    held = changes.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(order)).alias("_last"))
+    return held.select(key, *(F.col("_last")[c].alias(c) for c in fields))
+
+
+def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Fields of ``patch`` that are not null replace those of the row with the same key; of several patches the last counts."""
+    fields = [c for c in patch.columns if c not in (key, order)]
     if not fields:
         raise ValueError("nothing to update")
-    new = patch.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields))
+    new = last_changes(patch, key, order).select(key, *(F.col(c).alias(f"_new_{c}") for c in fields))
     both = base.join(new, key, "left")
     return both.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in base.columns))
 
@@ -105,8 +114,9 @@ def delete_cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) ->
     return {name: df.join(gone.select(F.col("key").alias(column)), column, "left_anti") for name, (df, column) in tables.items()}
 
 
-def upsert(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows replace those of the same key."""
+def upsert(base: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows replace those of the same key; of several rows of a key the last counts."""
+    rows = last_changes(rows, key, order)
     return base.join(rows.select(key), key, "left_anti").unionByName(rows)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.functions import classify, diagrams, json_tools, reports, search, sections, text
@@ -50,10 +51,9 @@ def _(spark, sf):
     return _papers_text(spark, sf).select("doc_id", text.latest_year(F.col("text")).alias("year"))
 
 
-@register("txt05_journal", rf"SELECT doc_id, coalesce(nullif(trim(regexp_extract(t[1:2000], '(?i)(?:Published in|Journal of|Proceedings of)\s+(.+?)[\.\n]'))[1:100], ''), nullif(trim(regexp_extract(t[1:2000], '(?i)(?:Nature|Science|ACS|IEEE|Optics|Applied|Physical Review)\s*[0-9A-Za-z_]*'))[1:100], '')) AS journal FROM (SELECT doc_id, {PAPER_TEXT} AS t FROM documents WHERE lang = 'en')")
+@register("txt05_journal", rf"SELECT doc_id, coalesce(nullif(trim(regexp_extract(t[1:2000], '(?i)(?:Published in|Journal of|Proceedings of)\s+(.+?)[\.\n]'))[1:100], ''), nullif(trim(regexp_extract(t[1:2000], '(?i)(?:Nature|Science|ACS|IEEE|Optics|Applied|Physical Review)\s*[0-9A-Za-z_]*'))[1:100], '')) AS journal FROM (SELECT doc_id, {PAPER_TEXT} AS t FROM documents)")
 def _(spark, sf):
-    english = table(spark, sf, DOCS).where("lang = 'en'").select("doc_id")
-    return _papers_text(spark, sf).join(english, "doc_id", "left_semi").select("doc_id", text.journal(F.col("text")).alias("journal"))
+    return _papers_text(spark, sf).select("doc_id", text.journal(F.col("text")).alias("journal"))
 
 
 @register("txt06_authors", "SELECT * FROM (VALUES (1, 'Ada Lovelace|Alan M. Turing'), (2, '')) t(doc_id, authors)")
@@ -65,15 +65,21 @@ def _(spark, sf):
 SECTIONED = "'front' || chr(10) || 'Abstract' || chr(10) || {a} || chr(10) || 'Introduction' || chr(10) || {b} || chr(10) || 'Results and Discussion' || chr(10) || {c} || chr(10) || 'Conclusions' || chr(10) || {d}"
 
 
-def _paper_sections(spark, sf):
-    """Documents dressed as papers: four parts of the text under known headers."""
+def _quarters() -> list[Column]:
+    """The four quarters of a whole text's letters."""
     flat = F.trim(F.regexp_replace("text", r"[^a-z]+", " "))
-    part = lambda i: F.concat(F.lit("p "), F.trim(F.substring(flat, 1 + 60 * i, 60)))
-    parts = [F.lit("front\nAbstract\n"), part(0), F.lit("\nIntroduction\n"), part(1), F.lit("\nResults and Discussion\n"), part(2), F.lit("\nConclusions\n"), part(3)]
+    size = F.ceil(F.length(flat) / 4).cast("int")
+    return [F.concat(F.lit("p "), F.trim(F.substr(flat, size * i + 1, size))) for i in range(4)]
+
+
+def _paper_sections(spark, sf):
+    """Documents dressed as papers: the quarters of the text under known headers."""
+    p = _quarters()
+    parts = [F.lit("front\nAbstract\n"), p[0], F.lit("\nIntroduction\n"), p[1], F.lit("\nResults and Discussion\n"), p[2], F.lit("\nConclusions\n"), p[3]]
     return table(spark, sf, DOCS).select("doc_id", F.concat(*parts).alias("text"))
 
 
-FLAT = "WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) AS f FROM documents), parts AS (SELECT doc_id, ['p ' || trim(f[1 + 60 * i:60 * i + 60]) FOR i IN [0, 1, 2, 3]] AS p FROM flat) "
+FLAT = "WITH flat AS (SELECT doc_id, f, ((length(f) + 3) // 4)::BIGINT AS n FROM (SELECT doc_id, trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) AS f FROM documents)), parts AS (SELECT doc_id, ['p ' || trim(f[1 + n * i:n * i + n]) FOR i IN [0, 1, 2, 3]] AS p FROM flat) "
 
 
 @register("txt13_sections", FLAT + "SELECT doc_id, unnest(['abstract', 'introduction', 'results_discussion', 'conclusion']) AS section, unnest([rtrim(x) FOR x IN p]) AS text FROM parts")
@@ -83,9 +89,8 @@ def _(spark, sf):
 
 @register("txt14_heading_sections", FLAT + "SELECT doc_id, unnest(['gap_study', 'lens_setup']) AS section, unnest([rtrim(p[1]), rtrim(p[3])]) AS text FROM parts")
 def _(spark, sf):
-    flat = F.trim(F.regexp_replace("text", r"[^a-z]+", " "))
-    part = lambda i: F.concat(F.lit("p "), F.trim(F.substring(flat, 1 + 60 * i, 60)))
-    docs = table(spark, sf, DOCS).select("doc_id", F.concat(F.lit("0\n1. Gap Study\n"), part(0), F.lit("\n2. Lens Setup\n"), part(1), F.lit("\n3. Lens Setup\n"), part(2)).alias("text"))
+    p = _quarters()
+    docs = table(spark, sf, DOCS).select("doc_id", F.concat(F.lit("0\n1. Gap Study\n"), p[0], F.lit("\n2. Lens Setup\n"), p[1], F.lit("\n3. Lens Setup\n"), p[2]).alias("text"))
     return sections.by_headings(docs).select("doc_id", "section", "text")
 
 
@@ -95,15 +100,15 @@ def _(spark, sf):
     return names.select("id", sections.snake_name(F.col("h"), {k: v for k, v in sections.SECTION_PATTERNS.items() if k == "method"}).alias("name"))
 
 
-@register("txt16_whole_text_fallback", "SELECT doc_id, 'full_text' AS section, length(text) AS n FROM documents WHERE NOT contains(text, chr(10)) AND lang = 'de'")
+@register("txt16_whole_text_fallback", "SELECT doc_id, 'full_text' AS section, length(text) AS n FROM documents WHERE NOT contains(text, chr(10))")
 def _(spark, sf):
-    docs = table(spark, sf, DOCS).where("NOT contains(text, '\\n') AND lang = 'de'")
+    docs = table(spark, sf, DOCS).where("NOT contains(text, '\\n')")
     return sections.split_sections(docs).select("doc_id", "section", F.length("text").alias("n"))
 
 
 @register("txt18_phase_inputs", FLAT + "SELECT doc_id, '=== ABSTRACT ===' || chr(10) || rtrim(p[1]) || chr(10) || chr(10) || '=== CONCLUSION ===' || chr(10) || rtrim(p[4]) AS screening, 'results_discussion' AS visual, '' AS recipe, '=== INTRODUCTION ===' || chr(10) || rtrim(p[2]) || chr(10) || chr(10) || '=== RESULTS & DISCUSSION ===' || chr(10) || rtrim(p[3]) AS deep_dive FROM parts")
 def _(spark, sf):
-    held = sections.section_map(sections.split_sections(_paper_sections(spark, sf)))
+    held = sections.section_map(_paper_sections(spark, sf))
     return held.select("doc_id", *(c.alias(n) for n, c in sections.phase_inputs(F.col("sections")).items()))
 
 
@@ -112,9 +117,11 @@ def _(spark, sf):
     return sections.section_sizes(sections.split_sections(_paper_sections(spark, sf))).select("doc_id", "section", "n_words")
 
 
-@register("agg24_tokens_saved", "SELECT doc_id, CASE WHEN n > 0 THEN round((n * 1.3::DOUBLE - m * 1.3::DOUBLE) / (n * 1.3::DOUBLE) * 100, 1) END AS saved FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n, len(regexp_extract_all(text[1:500], '[^\\x20\\x09-\\x0D]+')) AS m FROM documents)")
+@register("agg24_tokens_saved", FLAT + ", dressed AS (SELECT doc_id, len(string_split(p[1] || ' ' || p[2] || ' ' || p[3] || ' ' || p[4], ' ')) + 7 AS n, len(string_split(p[1] || ' ' || p[4], ' ')) + 6 AS m FROM (SELECT doc_id, [rtrim(x) FOR x IN p] AS p FROM parts)) SELECT doc_id, round((n * 1.3::DOUBLE - m * 1.3::DOUBLE) / (n * 1.3::DOUBLE) * 100, 1) AS saved FROM dressed")
 def _(spark, sf):
-    return table(spark, sf, DOCS).select("doc_id", text.saved_percent(F.col("text"), F.substring("text", 1, 500)).alias("saved"))
+    docs = _paper_sections(spark, sf).select("doc_id", "text", sections.parts_of(F.col("text")).alias("parts"))
+    held = F.map_from_entries(F.transform("parts", lambda p: F.struct(p["section"], p["text"])))
+    return docs.select("doc_id", text.saved_percent(F.col("text"), sections.phase_inputs(held)["screening"]).alias("saved"))
 
 
 @register("txt20_word_counts", "SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))::INT AS n_words FROM documents")
@@ -122,9 +129,9 @@ def _(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", text.word_count(F.col("text")).alias("n_words"))
 
 
-@register("txt21_method_excerpt", "SELECT doc_id, CASE WHEN i > 1 THEN t[1:3000] || chr(10) || chr(10) || '...' || chr(10) || chr(10) || t[greatest(1, i - 500):greatest(1, i - 500) + 17999] ELSE t[1:20000] END AS excerpt FROM (SELECT doc_id, t, instr(t, 'methods') AS i FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' methods of work ' || text ELSE 'methods ' || text END AS t FROM documents WHERE lang = 'es'))")
+@register("txt21_method_excerpt", "SELECT doc_id, CASE WHEN i > 1 THEN t[1:3000] || chr(10) || chr(10) || '...' || chr(10) || chr(10) || t[greatest(1, i - 500):greatest(1, i - 500) + 17999] ELSE t[1:20000] END AS excerpt FROM (SELECT doc_id, t, instr(t, 'methods') AS i FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || ' methods of work ' || text ELSE 'methods ' || text END AS t FROM documents))")
 def _(spark, sf):
-    docs = table(spark, sf, DOCS).where("lang = 'es'")
+    docs = table(spark, sf, DOCS)
     t = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" methods of work "), "text")).otherwise(F.concat(F.lit("methods "), "text"))
     return docs.select("doc_id", text.method_excerpt(t).alias("excerpt"))
 
@@ -134,9 +141,9 @@ def _(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", text.window(F.col("text"), 800).alias("head"), text.window(F.col("text"), 500, 200).alias("ends"))
 
 
-@register("txt23_safe_names", "SELECT doc_id, regexp_replace(regexp_replace(text[1:60], '[^\\p{L}\\p{M}\\p{N}_\\-.]', '_', 'g'), '_+', '_', 'g')[1:80] AS name FROM documents")
+@register("txt23_safe_names", "SELECT doc_id, regexp_replace(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}_\\-.]', '_', 'g'), '_+', '_', 'g')[1:80] AS name FROM documents")
 def _(spark, sf):
-    return table(spark, sf, DOCS).select("doc_id", text.safe_name(F.substring("text", 1, 60)).alias("name"))
+    return table(spark, sf, DOCS).select("doc_id", text.safe_name(F.col("text")).alias("name"))
 
 
 @register("txt24_folder_names", "SELECT doc_id, '2024_' || regexp_replace(regexp_replace(source || ' ' || lang, '[^A-Za-z0-9_\\-.]', '_', 'g'), '_+', '_', 'g')[1:40] || '_' || md5(doc_id::VARCHAR)[1:8] AS folder FROM documents")
@@ -177,7 +184,7 @@ def _(spark, sf):
     return classify.domain_sizes(spark)
 
 
-@register("txt30_search", """WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS w FROM documents),
+@register("txt30_search", """WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+') IF x <> ''] AS w FROM documents),
 c AS (SELECT doc_id, len(w) AS n, len([x FOR x IN w IF x = 'the']) AS a, len([x FOR x IN w IF x = 'anthat']) AS b FROM w),
 s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
 SELECT doc_id, round(0 - greatest(ln((docs - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) - greatest(ln((docs - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 AND b > 0""")
@@ -192,10 +199,9 @@ def _(spark, sf):
     return df.select("id", F.when(F.col("id") == 4, json_tools.fenced(F.col("t"), "mermaid")).otherwise(json_tools.without_fence(F.col("t"))).alias("body"))
 
 
-@register("txt35_node_ids", "SELECT doc_id, CASE WHEN c = '' THEN 'X' WHEN regexp_matches(c, '^[0-9]') THEN 'N' || c ELSE c END AS node, translate(h, '\";#', ''',') AS label FROM (SELECT doc_id, regexp_replace(text[1:12], '[^a-zA-Z0-9_]', '_', 'g') AS c, text[1:12] AS h FROM documents)")
+@register("txt35_node_ids", "SELECT doc_id, CASE WHEN c = '' THEN 'X' WHEN regexp_matches(c, '^[0-9]') THEN 'N' || c ELSE c END AS node, translate(h, '\";#', ''',') AS label FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_]', '_', 'g') AS c, text AS h FROM documents)")
 def _(spark, sf):
-    head = F.substring("text", 1, 12)
-    return table(spark, sf, DOCS).select("doc_id", diagrams.node_id(head).alias("node"), diagrams.label_text(head).alias("label"))
+    return table(spark, sf, DOCS).select("doc_id", diagrams.node_id(F.col("text")).alias("node"), diagrams.label_text(F.col("text")).alias("label"))
 
 
 @register("txt36_node_colours", "SELECT p_partkey AS id, CASE WHEN contains(n, 'source') THEN '#e1f5fe' WHEN contains(n, 'lens') THEN '#f3e5f5' WHEN contains(n, 'end') THEN '#efebe9' ELSE '#f5f5f5' END AS colour FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Light Source end' WHEN 1 THEN 'lens' WHEN 2 THEN 'the END' ELSE 'x' END AS l, lower(l) AS n FROM part)")
@@ -314,10 +320,10 @@ def _(spark, sf):
     return table(spark, sf, DOCS).select("doc_id", classify.renderer(F.lit(""), F.col("text")).alias("target"))
 
 
-@register("viz02_step_chains", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE lang = 'fr') SELECT doc_id, len(s)::INT AS n_nodes, CASE WHEN len(s) > 0 THEN 'A' END AS first_id, (len(s) - 1)::INT AS n_edges FROM s")
+@register("viz02_step_chains", "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents) SELECT doc_id, len(s)::INT AS n_nodes, CASE WHEN len(s) > 0 THEN 'A' END AS first_id, (len(s) - 1)::INT AS n_edges FROM s")
 def _(spark, sf):
     nodes = diagrams.step_nodes(F.split("text", "\n"))
-    held = table(spark, sf, DOCS).where("lang = 'fr'").select("doc_id", nodes.alias("n"))
+    held = table(spark, sf, DOCS).select("doc_id", nodes.alias("n"))
     return held.select("doc_id", F.size("n").alias("n_nodes"), F.get("n", F.lit(0))["id"].alias("first_id"), F.size(diagrams.chain(F.col("n"))).alias("n_edges"))
 
 

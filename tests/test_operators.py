@@ -83,8 +83,10 @@ def test_topics(spark):
 
 def test_search_terms():
     assert search.query_terms("The AND the, Laser!") == ["the", "laser"]
+    assert search.query_terms("l'État") == ["l", "etat"]
+    assert search.query_groups("a b OR c NOT d AND e") == [(["a", "b"], []), (["c"], ["d", "e"])]
     with pytest.raises(ValueError):
-        search.query_terms("a OR b")
+        search.query_groups("a NEAR b")
 
 
 def test_caption_matches_use_each_caption_once(spark):
