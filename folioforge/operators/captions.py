@@ -86,3 +86,40 @@ def references(pages: DataFrame) -> DataFrame:
     groups = [F.regexp_extract_all(texts, F.lit(pattern), F.lit(g)) for g in range(3)]
     found = pages.select("doc_id", "page_no", F.explode(F.arrays_zip(*(g.alias(n) for g, n in zip(groups, ("sentence", "number", "label"))))).alias("r"))
     return found.select("doc_id", "page_no", F.trim("r.sentence").alias("sentence"), F.col("r.number").cast("int").alias("number"), F.upper("r.label").alias("label"))
+
+
+#: A caption at the start of a line, and what ends a running caption in a whole text.
+BLOCK_START = r"(?im)^(?:Figure|Fig\.?)\s+(\d+[a-zA-Z]?)\s*[|.:\-]"
+RUNNING = r"(?is)(?:{kind}|{short}\.?)\s+(\d+[a-zA-Z]?)[:.\s]+(.+?)(?=\n\n|{kind}|{short}\.|{other}|\n[A-Z][a-z]+\s+\d+|$)"
+FIGURES = RUNNING.format(kind="Figure", short="Fig", other="Table")
+TABLES = RUNNING.format(kind="Table", short="Tbl", other="Figure")
+
+
+def block_number(block: Column) -> Column:
+    """The number of the figure whose caption starts a line of the block; null if none does."""
+    return F.nullif(F.regexp_extract(block, BLOCK_START, 1), F.lit(""))
+
+
+def running_captions(texts: DataFrame, pattern: str = FIGURES) -> DataFrame:
+    """(doc_id, number, pos, caption): each caption of a whole text with its white space squeezed."""
+    groups = F.arrays_zip(*(F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in ((1, "number"), (2, "caption"))))
+    found = texts.select("doc_id", F.posexplode(groups).alias("pos", "c"))
+    return found.select("doc_id", F.col("c.number").alias("number"), "pos", F.trim(F.regexp_replace("c.caption", r"\s+", " ")).alias("caption"))
+
+
+def with_references(figures: DataFrame, refs: DataFrame) -> DataFrame:
+    """``figures`` (doc_id, number, labels) as a row for each figure (label null) and each of its parts, with references.
+
+    A part takes the sentences that name it, a figure those that name no part; both in page order.
+    """
+    one = refs.select("doc_id", F.col("number").cast("string").alias("number"), F.coalesce(F.nullif("label", F.lit("")), F.lit("")).alias("_part"), F.struct("page_no", "sentence").alias("r"))
+    named = one.groupBy("doc_id", "number", "_part").agg(F.sort_array(F.collect_list("r")).alias("references"))
+    parts = F.concat(F.array(F.lit("")), F.transform("labels", lambda x: F.upper(x)))
+    rows = figures.select("doc_id", F.col("number").cast("string").alias("number"), F.explode(parts).alias("_part"))
+    both = rows.join(named, ["doc_id", "number", "_part"], "left")
+    return both.select("doc_id", "number", F.nullif("_part", F.lit("")).alias("label"), F.coalesce("references", F.array().cast("array<struct<page_no:int,sentence:string>>")).alias("references"))
+
+
+def filled_structure(caption: Column, stored: Column) -> Column:
+    """The stored structure, else that of the caption; null without a caption."""
+    return F.coalesce(stored, F.when(F.coalesce(caption, F.lit("")) != "", structured(caption)))
