@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.json_tools import valid_or_wrapped, without_fence
+from folioforge.functions.viz_targets import batch_input
 from folioforge.operators.cost import call_cost
 
 ANSWER = "text string, model string, tokens_in long, tokens_out long, error string"
@@ -98,3 +99,9 @@ def explanations(figures: DataFrame, backends: list[Backend]) -> DataFrame:
     open_ = figures.where("detailed_explanation IS NULL").withColumn("prompt", F.concat(F.lit("Explain "), "figure_num", F.lit(": "), F.coalesce("caption", F.lit(""))))
     asked = ask(open_, backends).withColumn("detailed_explanation", F.col("text")).withColumn("source", F.lit("model"))
     return stored.unionByName(asked.select(*stored.columns))
+
+
+def batch_phase(papers: DataFrame, phase: str, backends: list[Backend], at: str) -> DataFrame:
+    """Result rows of a phase of a batch run over (paper_id, sections, full_text): its input, the call, the stored answer."""
+    prompts = papers.select("paper_id", F.concat(F.lit(f"Phase {phase}\n"), batch_input(phase, F.col("sections"), F.coalesce("full_text", F.lit("")))).alias("prompt"))
+    return phase_rows(ask(prompts, backends), phase, at)

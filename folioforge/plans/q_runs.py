@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioforge.functions import backend
-from folioforge.plans.library import LIBRARY_SQL, papers, results
+from folioforge.plans.library import COST_SQL, LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
 from folioforge.session import table
 from folioforge.sources import files
@@ -14,6 +14,15 @@ from folioforge.streaming import run_state
 L = LIBRARY_SQL
 
 
+def answered(prompt: str, rows: str, key: str, phase: str) -> str:
+    """SQL of the stub's answers to prompts: JSON of a digest of the prompt, and what the call costs."""
+    cost = COST_SQL.replace("model_used", "'gemini-3-flash-preview'")
+    return f"""WITH p AS (SELECT {key} AS paper_id, {prompt} AS prompt FROM {rows}), h AS (SELECT *, sha256(prompt) AS h FROM p),
+r AS (SELECT *, '{{"summary": "' || h[1:12] || '", "relevance_score": ' || (('0x' || h[1:2])::INT / 255::DOUBLE)::VARCHAR || '}}' AS result FROM h),
+t AS (SELECT *, length(prompt) // 4 AS tokens_in, (length(result) + 12) // 4 AS tokens_out FROM r)
+SELECT paper_id, '{phase}' AS phase, result, 'gemini-3-flash-preview' AS model_used, tokens_in::BIGINT AS tokens_in, tokens_out::BIGINT AS tokens_out, {cost} AS cost_usd, TIMESTAMP '2025-01-01' AS created_at FROM t"""
+
+
 @register("str02_run_state", L + "SELECT paper_id, max(CASE phase WHEN 'screening' THEN 20 WHEN 'visual' THEN 40 WHEN 'recipe' THEN 60 WHEN 'deep_dive' THEN 80 WHEN 'visualization' THEN 100 ELSE 0 END)::INT AS progress, count(*) FILTER (phase IN ('screening', 'visual', 'recipe', 'deep_dive', 'visualization')) AS phases, round(sum(cost_usd::DECIMAL(20, 8)), 6)::DOUBLE AS cost_usd, bool_or(phase = 'cancel') AS cancelled FROM results GROUP BY paper_id")
 def _(spark, sf):
     return run_state.run_state(results(spark, sf))
@@ -24,13 +33,13 @@ def _(spark, sf):
     return run_state.first_completions(results(spark, sf)).select("paper_id", "phase")
 
 
-@register("udf01_phase_calls")
+@register("udf01_phase_calls", answered("'Screen: ' || c_name", "customer", "c_custkey", "screening"))
 def _(spark, sf):
     prompts = papers(spark, sf).select(F.col("id").alias("paper_id"), F.concat(F.lit("Screen: "), "title").alias("prompt"))
     return backend.phase_rows(backend.ask(prompts, [backend.Stub()]), "screening", "2025-01-01 00:00:00")
 
 
-@register("udf03_model_fallback")
+@register("udf03_model_fallback", "SELECT c_custkey AS paper_id, CASE WHEN c_custkey % 5 > 0 THEN 'gemini-3-flash-preview' END AS model, c_custkey % 5 = 0 AS failed FROM customer")
 def _(spark, sf):
     class Down(backend.Stub):
         def call(self, prompt):
@@ -41,7 +50,7 @@ def _(spark, sf):
     return answers.select("paper_id", "model", F.col("error").isNotNull().alias("failed"))
 
 
-@register("udf08_cached_explanations")
+@register("udf08_cached_explanations", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'cached' ELSE 'model' END AS source FROM part")
 def _(spark, sf):
     figures = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("p1_fig"), "p_partkey").alias("figure_num"), F.col("p_name").alias("caption"), F.when(F.col("p_partkey") % 2 == 0, "known").alias("detailed_explanation"))
     return backend.explanations(figures, [backend.Stub()]).select("id", "source")
@@ -64,3 +73,10 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", files.content_hash(F.col("text").cast("binary")).alias("hash"))
     return files.cache_rows(docs, "2025-01-01 00:00:00").select("doc_id", "hash", "char_count")
+
+
+@register("udf05_batch_phases", answered("'Phase deep_dive' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '=== Introduction ===' || chr(10) || text ELSE CASE WHEN length(text) = 0 THEN '' ELSE '=== Introduction (estimated) ===' || chr(10) || text[1:3000] || CASE WHEN length(text) > 6000 THEN chr(10) || chr(10) || '=== Results & Discussion (estimated) ===' || chr(10) || text[length(text) // 2 + 1:] ELSE '' END END END", "documents", "doc_id", "deep_dive"))
+def _(spark, sf):
+    named = F.create_map(F.when(F.col("doc_id") % 2 == 0, "introduction").otherwise("other"), F.col("text"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), named.alias("sections"), F.col("text").alias("full_text"))
+    return backend.batch_phase(docs, "deep_dive", [backend.Stub()], "2025-01-01 00:00:00")

@@ -156,3 +156,47 @@ def test_streams(spark, tmp_path):
     assert rows(run_state.run_state(stream), "state", "complete") == [(1, 60, 3, 0.5, False), (2, 40, 1, 0.3, False)]
     assert len(rows(run_state.first_completions(stream, "1 hour").select("paper_id", "phase"), "firsts", "append")) == 3
     assert rows(run_state.live_runs(stream), "live", "update") == [(1, 60, "running"), (2, 40, "running")]
+
+
+@pytest.mark.parametrize("query", ["the AND anthat", "the OR nosuchword", "the NOT anthat", "nosuchword"])
+def test_written_index_ranks_as_the_scan_does(spark, tmp_path, query):
+    from folioforge.functions import search, search_index
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    search_index.write_index(search_index.postings(docs), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    got = search_index.rank_indexed(index, search_index.sizes(docs), query)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.rank(docs, query).collect()))
+
+
+def test_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
+    from folioforge.functions import search_index
+
+    docs = spark.createDataFrame([(1, "état général"), (2, "etat"), (3, ""), (4, None)], "doc_id long, text string")
+    search_index.write_index(search_index.postings(docs), str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert {(r.term, r.doc_id, r.n) for r in index.collect()} == {("etat", 1, 2), ("general", 1, 2), ("etat", 2, 1)}
+    found = search_index.rank_indexed(index, search_index.sizes(docs), "état")
+    assert sorted(r.doc_id for r in found.collect()) == [1, 2]
+    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString()
+    assert all(r.bucket == search_index.bucket_of(r.term) for r in index.collect())
+
+
+def test_phase_sections_without_an_answer_or_fields(spark):
+    from folioforge.functions import phase_markdown as md
+
+    nothing = F.lit(None).cast("string")
+    for section, n in ((md.screening_section, 1), (md.visual_section, 2), (md.recipe_section, 3), (md.deep_dive_section, 4)):
+        assert one(spark, section(nothing)).endswith(f"\n\n*Phase {n} was not completed.*")
+        assert one(spark, section(F.lit("{}"))).startswith(f"## Phase {n}: ")
+    assert one(spark, md.live_phase(F.lit("screening"), F.lit("{}"))).count("N/A") == 5
+    assert one(spark, md.live_phase(F.lit("other"), F.lit('{"a":1}'))) == '{"a":1}'
+    mixed = F.lit('{"parameters": [{"name": "T", "value": 5}, "plain"], "steps": ["a"]}')
+    assert "- **T:** 5 \n- plain" in one(spark, md.live_phase(F.lit("recipe"), mixed))
+    assert one(spark, md.cost_section(F.array().cast("array<struct<phase:string,model:string,cost:double,seconds:double,failed:boolean>>"), F.lit(0.0), F.lit(0), F.lit(0))) is None
+
+
+def test_running_captions_stop_and_the_parts_of_figures(spark):
+    docs = spark.createDataFrame([(1, "Fig. 1: first\n  line Figure 2a. second Table 3: grid\n\nrest"), (2, None), (3, "")], "doc_id long, text string")
+    assert {(r.number, r.caption) for r in captions.running_captions(docs).collect()} == {("1", "first line"), ("2a", "second")}
+    assert [(r.number, r.caption) for r in captions.running_captions(docs, captions.TABLES).collect()] == [("3", "grid")]
