@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions.classify import renderer
@@ -81,3 +81,29 @@ def batch_input(phase: str, sections: Column, full: Column) -> Column:
     else:
         parts = [titled("Introduction (estimated)", F.substring(full, 1, 3000)), F.when(n > 6000, titled("Results & Discussion (estimated)", F.substr(full, half + 1)))]
     return F.when(named != "", named).when(n > 0, F.concat_ws("\n\n", *parts)).otherwise("")
+
+
+def words_joined(title: Column) -> Column:
+    """A title as one name: word characters only, blanks and hyphens as one underscore."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"(?U)[^\w\s-]", "")), r"(?U)[-\s]+", "_")
+
+
+def diagram_files(diagrams: DataFrame) -> DataFrame:
+    """(paper_id, seq, file_name, content) of diagrams (paper_id, seq, title, description, code).
+
+    Diagrams of a paper whose titles give one name get counters in order: name.md, name_1.md and so on. A counted name
+    that another title gives too is not looked for.
+    """
+    name = F.coalesce(F.nullif(F.lower(words_joined(F.col("title"))), F.lit("")), F.lit("diagram"))
+    nth = F.row_number().over(Window.partitionBy("paper_id", "_name").orderBy("seq")) - 1
+    note = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("> "), "description", F.lit("\n\n"))).otherwise("")
+    content = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), note, F.lit("```mermaid\n"), "code", F.lit("\n```\n"))
+    named = diagrams.withColumn("_name", name).withColumn("_nth", nth)
+    file_name = F.concat("_name", F.when(F.col("_nth") > 0, F.concat(F.lit("_"), F.col("_nth").cast("string"))).otherwise(""), F.lit(".md"))
+    return named.select("paper_id", "seq", file_name.alias("file_name"), content.alias("content"))
+
+
+def moved_folder(year: Column, title: Column, key: Column) -> Column:
+    """The folder of a paper that is moved into the library: {year}_{title, 40 characters}, else paper_{key}."""
+    safe = F.substring(words_joined(title), 1, 40)
+    return F.when(safe != "", F.concat(F.coalesce(F.concat(year.cast("string"), F.lit("_")), F.lit("")), safe)).otherwise(F.concat(F.lit("paper_"), key.cast("string")))

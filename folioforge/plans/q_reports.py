@@ -203,3 +203,27 @@ def _(spark, sf):
     repeated = lambda c, n: F.array_repeat(c, (F.col("p_size") % n).cast("int"))
     card = md.card_lines(F.col("p_name"), F.col("p_brand"), repeated(F.col("p_type"), 12), repeated(F.col("p_brand"), 5), F.array(F.lit("x"), F.lit("y")), 800)
     return table(spark, sf, "part").select("p_partkey", F.array_join(card, "\n").alias("card"))
+
+
+NAME = "lower(regexp_replace(trim(regexp_replace(l_returnflag || ': ' || l_linestatus || ' - run', '[^A-Za-z0-9_\\s-]', '', 'g')), '[-\\s]+', '_', 'g'))"
+
+
+@register("snk03_diagram_files", f"SELECT paper_id, seq, n || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END || '.md' AS file_name, '# ' || t || chr(10) || chr(10) || CASE WHEN seq % 2 = 0 THEN '> d' || chr(10) || chr(10) ELSE '' END || '```mermaid' || chr(10) || 'graph LR' || chr(10) || '```' || chr(10) AS content FROM (SELECT l_orderkey AS paper_id, l_linenumber * 1000000 + l_partkey AS seq, l_returnflag || ': ' || l_linestatus || ' - run' AS t, {NAME} AS n, row_number() OVER (PARTITION BY l_orderkey, {NAME} ORDER BY l_linenumber * 1000000 + l_partkey, l_suppkey) AS k FROM lineitem)")
+def _(spark, sf):
+    seq = F.col("l_linenumber") * 1000000 + F.col("l_partkey")
+    diagrams = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), seq.alias("seq"), F.concat("l_returnflag", F.lit(": "), "l_linestatus", F.lit(" - run")).alias("title"), F.when(seq % 2 == 0, "d").alias("description"), F.lit("graph LR").alias("code"))
+    return vt.diagram_files(diagrams)
+
+
+@register("dml13_moved_folders", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'paper_' || p_partkey ELSE CASE WHEN p_partkey % 2 = 0 THEN '2020_' ELSE '' END || replace(p_name, ' ', '_')[1:40] END AS folder FROM part")
+def _(spark, sf):
+    title = F.when(F.col("p_partkey") % 3 == 0, "?!").otherwise(F.concat("p_name", F.lit("?")))
+    return table(spark, sf, "part").select("p_partkey", vt.moved_folder(F.when(F.col("p_partkey") % 2 == 0, 2020), title, F.col("p_partkey")).alias("folder"))
+
+
+@register("jsn10_stored_captions", "SELECT p_partkey, '{\"title\":\"' || p_name || '\",\"sub_captions\":[{\"label\":\"A\",\"text\":\"one\"},{\"label\":\"B\",\"text\":\"two\"}]}' AS stored, p_name AS title, 2 AS n FROM part")
+def _(spark, sf):
+    stored = F.to_json(captions.structured(F.concat("p_name", F.lit(" (a) one, (b) two"))))
+    read = F.from_json("stored", "title string, sub_captions array<struct<label:string,text:string>>")
+    held = table(spark, sf, "part").select("p_partkey", stored.alias("stored"))
+    return held.select("p_partkey", "stored", read["title"].alias("title"), F.size(read["sub_captions"]).alias("n"))
