@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from folioforge.llm.common import Query
+from folioforge.llm.queries_audit import OP13_SQL, op13_filter_audit
 from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
 from folioforge.llm.queries_html import op10_html_text
@@ -28,6 +29,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -39,4 +41,5 @@ def oracles() -> dict[str, str]:
         "op4_warc_zip": OP4_SQL,
         "op6_quality_rules": OP6_SQL,
         "op8_license_scan": OP8_SQL,
+        "op13_filter_audit": OP13_SQL,
     }
