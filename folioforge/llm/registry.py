@@ -12,6 +12,7 @@ from folioforge.llm.queries_license import OP8_SQL, op8_license_scan
 from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
 from folioforge.llm.queries_quality import OP6_SQL, op6_quality_rules
+from folioforge.llm.queries_spelling import OP11_SQL, op11_spelling_variants
 from folioforge.llm.queries_suffix import op5_suffix_dedup
 from folioforge.llm.queries_vectors import op3_nn_descent
 from folioforge.llm.queries_warc import OP4_SQL, op4_warc_zip
@@ -29,6 +30,7 @@ def queries() -> dict[str, Query]:
         "op8_license_scan": op8_license_scan,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
+        "op11_spelling_variants": op11_spelling_variants,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
@@ -41,5 +43,7 @@ def oracles() -> dict[str, str]:
         "op4_warc_zip": OP4_SQL,
         "op6_quality_rules": OP6_SQL,
         "op8_license_scan": OP8_SQL,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op11_spelling_variants": OP11_SQL,
         "op13_filter_audit": OP13_SQL,
     }
