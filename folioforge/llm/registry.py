@@ -8,6 +8,7 @@ from folioforge.llm.queries_audit import OP13_SQL, op13_filter_audit
 from folioforge.llm.queries_bpe import op9_byte_bpe
 from folioforge.llm.queries_chat import OP1_SQL, op1_perspectives
 from folioforge.llm.queries_html import op10_html_text
+from folioforge.llm.queries_language import op12_word_languages
 from folioforge.llm.queries_license import OP8_SQL, op8_license_scan
 from folioforge.llm.queries_mixing import OP2_SQL, op2_source_mix
 from folioforge.llm.queries_ngram import op7_ngram_join
@@ -31,6 +32,7 @@ def queries() -> dict[str, Query]:
         "op9_byte_bpe": op9_byte_bpe,
         "op10_html_text": op10_html_text,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_word_languages": op12_word_languages,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
