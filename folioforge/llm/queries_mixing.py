@@ -33,28 +33,31 @@ WITH sizes AS (
          ELSE (weight * (3 * t - 4 * full_size))::DOUBLE / (2 * (w - full_weight))::DOUBLE END AS target
   FROM even
 ), cut AS (
-  SELECT greatest(32, floor(sqrt(max(t)))::BIGINT // 8) AS b, max(t) AS t FROM targets
+  SELECT *, greatest(1, least(floor(sqrt(source_size) / 8), floor(target / 64)))::BIGINT AS b FROM targets
+), blocked AS (
+  SELECT *, ceil(source_size / b)::BIGINT AS blocks FROM cut
+), slotted AS (
+  SELECT *, CASE WHEN blocks > 0 THEN ceil(target / source_size * blocks)::BIGINT ELSE 0 END AS n FROM blocked
 ), edges AS (
-  SELECT sidx, ceil(source_size / b)::BIGINT AS blocks,
-         floor(sum(round(target)::BIGINT) OVER (ORDER BY sidx)::BIGINT::DOUBLE / sum(round(target)::BIGINT) OVER ()::BIGINT::DOUBLE * {float(SPAN)}::DOUBLE)::BIGINT AS hi
-  FROM targets, cut
+  SELECT sidx, blocks, n, floor(sum(n) OVER (ORDER BY sidx)::BIGINT::DOUBLE / sum(n) OVER ()::BIGINT::DOUBLE * {float(SPAN)}::DOUBLE)::BIGINT AS hi
+  FROM slotted
 ), ranges AS (
   SELECT *, coalesce(lag(hi) OVER (ORDER BY sidx), 0) AS lo FROM edges
 ), slots AS (
-  SELECT k, k * {GOLDEN} % {SPAN} AS u FROM cut, unnest(range(0, ((3 * t + 2 * b - 1) // (2 * b))::BIGINT)) AS r(k)
+  SELECT k, k * {GOLDEN} % {SPAN} AS u FROM unnest(range(0, (SELECT sum(n) FROM edges)::BIGINT)) AS r(k)
 ), ranked AS (
   SELECT sidx, blocks, row_number() OVER (PARTITION BY sidx ORDER BY k) - 1 AS rank
   FROM slots JOIN ranges ON u >= lo AND u < hi WHERE blocks > 0
 ), takes AS (
   SELECT sidx, rank % blocks AS block, count(*) AS times FROM ranked WHERE rank < 2 * blocks GROUP BY ALL
 ), placed AS (
-  SELECT s.doc_id, s.size, t.sidx, t.source_size, t.target,
+  SELECT s.doc_id, s.size, t.sidx, t.source_size, t.target, t.b,
          coalesce(sum(s.size) OVER (PARTITION BY t.sidx ORDER BY md5(coalesce(s.doc_id::VARCHAR, 'null')), s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  FROM sizes s JOIN blocked t ON s.source IS NOT DISTINCT FROM t.source
 ), met AS (
-  SELECT p.*, b, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM placed p, cut WHERE size > 0
+  SELECT p.*, unnest(range(start // b, (start + size - 1) // b + 1)) AS block FROM placed p WHERE size > 0
 ), used AS (
-  SELECT m.sidx, m.start, m.doc_id, sum((least((m.block + 1) * b, m.start + m.size) - greatest(m.block * b, m.start)) * coalesce(times, 0))::BIGINT AS taken
+  SELECT m.sidx, m.start, m.doc_id, sum((least((m.block + 1) * m.b, m.start + m.size) - greatest(m.block * m.b, m.start)) * coalesce(times, 0))::BIGINT AS taken
   FROM met m LEFT JOIN takes USING (sidx, block) GROUP BY ALL
 )
 SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, p.target, coalesce(u.taken, 0)::BIGINT AS taken
