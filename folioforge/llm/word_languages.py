@@ -36,6 +36,7 @@ from pyspark.sql.types import StructType
 UNKNOWN = "und"
 #: The training sample: documents of a language, runs of a document, words of a run.
 DOCS, RUNS, RUN = 300, 8, 32
+SHARES = 64
 #: Hash buckets of the n-grams (a power of two), longest n-gram, entries of the lexicon, least count of an entry.
 BUCKETS, LONGEST, LEXICON, ENTRY_COUNT = 1 << 17, 4, 8192, 3
 #: Pieces of one language in a training chain have these lengths; a step learns from STEP words in chains of CHAIN.
@@ -293,7 +294,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_runs(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """The bounded sample of labelled documents (see above): at most DOCS * RUNS * RUN words of a language."""
     keyed = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    ranked = keyed.select("lang", "key").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("place") <= DOCS)
+    # the first of each share of a language, then of the language: no task sees all keys of a common language
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    shares = keyed.select("lang", "key").distinct().withColumn("share", F.pmod("key", F.lit(SHARES)))
+    ranked = shares.withColumn("place", place("lang", "share")).where(F.col("place") <= DOCS).withColumn("place", place("lang")).where(F.col("place") <= DOCS)
     last = ranked.groupBy("lang").agg(F.max("key").alias("last"))
     chosen = keyed.join(F.broadcast(last), "lang").where("key <= last")  # one row a language
     one_each = chosen.groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", F.col("text").cast("binary").alias("text"))
