@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from folioforge.llm.shingles import SLICE_BYTES, mix, powers
+from folioforge.llm.shingles import SLICE_BYTES, mix
 
 WINDOW = 50
 GRAM = 24
@@ -19,6 +19,21 @@ SPAN = WINDOW - GRAM + 1
 PLACE = np.uint64((1 << 22) - 1)
 
 SEGMENT = [("anchor", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "u1"), ("at", "u1"), ("digest", "<u8")]
+BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**i and its inverse modulo 2**64 for i below n."""
+    if len(_powers.get("up", ())) < n:
+        size = max(n, 2 * SLICE_BYTES)
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        for name, step in (("up", BASE), ("down", inverse)):
+            each = np.full(size, step, np.uint64)
+            each[0] = 1
+            _powers[name] = np.multiply.accumulate(each)
+    return _powers["up"][:n], _powers["down"][:n]
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:

@@ -16,7 +16,11 @@ similarity is at least ``PERCENT`` hundredths.
    shingle's largest component meet all others: a component is never paired with itself for a stray copy's sake. Links inside a component cannot change the result, so none between different
    components is lost.
 5. Every pair passes the length and positional filters before it is made, then the suffix filter (a lower bound
-   of the difference from counts of both sets by hash range), and is verified once on the whole sets.
+   of the difference from counts of both sets by hash range), and is verified once on the whole sets: the second
+   round leaves out what the first has tried. Its postings meet by shingle and length class.
+
+Sets are sets of 64-bit hashes of shingles. A word's hash is a sum of mixed values of its bytes and their places, a
+shingle's one of its words, so two shingles share a hash by chance only: once in 2**64 pairs.
 
 Only components are computed: which sets of one component link directly is not.
 
@@ -48,6 +52,10 @@ BLOCK_BYTES = 16 << 20
 #: Hash ranges of the suffix filter.
 RANGES = 128
 
+#: Postings bytes of a partition in which buckets meet; logarithm of the length of a class.
+MEET_BYTES = 32 << 20
+CLASS_STEP = float(np.log(100 / PERCENT))
+
 #: Replacements by first and second digest, of the sets that share a first digest.
 Clashes = dict[int, dict[int, int]]
 
@@ -61,6 +69,11 @@ def needed(a, b):
     return -(-PERCENT * (a + b) // (100 + PERCENT))
 
 
+def length_class(n):
+    """Steps of 5/4 up to a size: sizes of similar sets lie in the same or in neighbouring classes."""
+    return np.floor(np.log(n) / CLASS_STEP + 1e-9).astype(np.int64)
+
+
 def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
@@ -343,26 +356,29 @@ class Join:
         return found, self.spark.createDataFrame([(a, b, c) for a, of in found.items() for b, c in of.items()], "sig long, second long, other long")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The similar ones of ``pairs`` (a, b), which have passed the suffix filter; each is verified once."""
-        pairs = stash(pairs.distinct(), "pairs")
+        """The similar ones of the distinct ``pairs`` (a, b), a written table; they have passed the suffix filter."""
         ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         reps = self.scanned.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("row")).join(ids, "sig", "left_semi")
         sets = stash(self.docs.join(reps, "row").select("sig", "text").mapInArrow(_sets_of(self.clashes), "sig long, hashes binary"), "sets")
         left, right = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
         links = stash(pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
-        unstash(pairs, sets)
+        unstash(sets)
         return links
 
     def components(self) -> DataFrame:
         """(sig, component) of the linked sets; a set that links with none has no row."""
-        n_buckets = max(64, 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        posting_bytes = self.hists.agg(F.sum(24 * (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1))).first()[0] or 0
+        partitions = max(partitions, -(-posting_bytes // MEET_BYTES))
+        n_buckets = max(64, 4 * partitions)
         posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets, self.clashes), POSTED), "posted")
         inside = posted.where("a IS NOT NULL").select("a", "b")
-        met = stash(posted.where("bucket IS NOT NULL").repartition("bucket").select("whole", "data").mapInArrow(_meet, MET), "met")
+        met = stash(posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("whole", "data").mapInArrow(_meet, MET), "met")
         left, right = (self.hists.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}")) for x in "ab")
         across = met.where("a IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b")
         across = across.where(may_be_similar(F.col("hist_a"), F.col("hist_b"), F.col("n_a") + F.col("n_b"))).select("a", "b")
-        first = stash(inside.union(self._verified(across)), "links")
+        tried = stash(across, "pairs")
+        first = stash(inside.union(self._verified(tried)), "links")
         unstash(posted)
         known = stash(connected_components(first), "components")
         postings = met.where("token IS NOT NULL").select("token", "sig", "n", "pos").distinct()
@@ -372,18 +388,25 @@ class Join:
         several = stash(placed.join(mixed, "token").join(self.hists.select("sig", "hist"), "sig"), "mixed")
         counts = several.groupBy("token", "component").agg(F.count("*").alias("k"))
         largest = counts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"))
-        x, y = several.join(spread(largest, "token"), "token").where(F.col("component") != F.col("largest")).alias("x"), several.alias("y")
+        # a token's postings meet by length class, so a frequent token is as many keys as there are lengths
+        size = F.floor(F.log("n") / CLASS_STEP + 1e-9).cast("int")
+        x = several.join(spread(largest, "token"), "token").where(F.col("component") != F.col("largest")).withColumn("size", size).alias("x")
+        y = several.withColumn("size", F.explode(F.array(size - 1, size, size + 1))).alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         total = F.col("x.n") + F.col("y.n")
         fit = (
             (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.size") == F.col("y.size"))
             & (F.col("x.component") != F.col("y.component"))
             & ((F.col("y.component") == F.col("x.largest")) | (F.col("x.sig") < F.col("y.sig")))
             & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
             & ((100 + PERCENT) * room >= PERCENT * total)
             & may_be_similar(F.col("x.hist"), F.col("y.hist"), total)
         )
-        later = self._verified(x.join(y, fit).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")))
+        found = x.join(y, fit).select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+        again = stash(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        later = self._verified(again)
+        unstash(tried, again)
         # the later links join whole components: only these are looked at again
         of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
         ends = later.join(of("a"), "a", "left").join(of("b"), "b", "left")

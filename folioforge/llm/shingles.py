@@ -9,26 +9,10 @@ import numpy as np
 WIDTH = 5
 #: Bytes of text that are hashed together.
 SLICE_BYTES = 1 << 19
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 STEPS = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and its inverse modulo 2**64 for i below n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for name, step in (("up", BASE), ("down", inverse)):
-            each = np.full(size, step, np.uint64)
-            each[0] = 1
-            _powers[name] = np.multiply.accumulate(each)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * STEPS[0]
     x = (x ^ (x >> np.uint64(27))) * STEPS[1]
@@ -59,10 +43,14 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     begin, end = edge[0::2], edge[1::2]
     if not len(begin):
         return [np.empty(0, np.uint64) for _ in texts]
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    words = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64) * STEPS[2])
+    # a word is the sum of one mixed value for each byte and its place in the word: no polynomial, which
+    # has colliding words of its own for every base modulo a power of two
+    place = np.arange(len(data), dtype=np.uint64)
+    from_word = np.concatenate(([0], begin))
+    place -= np.repeat(place[from_word], np.diff(np.append(from_word, len(data))))
+    each = mix((place << np.uint64(8) | data) * STEPS[3] + STEPS[4])
+    each[space] = 0
+    words = mix(np.add.reduceat(each, begin) + (end - begin).astype(np.uint64) * STEPS[2])
     stops = np.cumsum([len(t) + 1 for t in texts])
     of = np.searchsorted(stops, begin, side="right")
     first = np.searchsorted(of, np.arange(len(texts) + 1))

@@ -74,6 +74,16 @@ def test_mix(spark):
     assert +words == +taken
 
 
+def test_small_sources_beside_a_large_one(spark):
+    """Every source comes near its target, whatever its size."""
+    rows = [(i, f"s{i:03d}", "w " * 400) for i in range(60)] + [(500 + i, f"t{i}", "w " * n) for i, n in enumerate([15, 2, 1, 7, 30, 100])]
+    large = spark.range(2000).select((F.col("id") + 1000).alias("doc_id"), F.lit("a").alias("source"), F.repeat(F.lit("w "), 10_000).alias("text"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").unionByName(large)
+    got = Mix(docs).taken().groupBy("source").agg(F.any_value("source_size").alias("n"), F.any_value("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert len(got) == 67 and {r.target for r in got if r.n == 400} == {800.0}
+    assert all(abs(r.taken - r.target) <= max(1, 0.1 * r.target) for r in got)
+
+
 def test_quality(spark):
     texts = [None, "", "short text", prose(200, 1), prose(200, 2) + "\n" + "dup line here\n" * 90, "A! " * 100, " ".join(w + "###" for w in prose(100, 3).split()), prose(120, 4), prose(5000, 5), "a b c " * 40, "x y " * 60, "\n".join([prose(20, 6)] * 9)]
     texts += [" ".join(("" if k % 4 else "the ") + w for k, w in enumerate(prose(60, 20 + i).split())) for i in range(30)] + [" ".join(w + "###" for w in prose(100, 60 + i).split()) for i in range(4)]
@@ -166,6 +176,26 @@ def test_components_that_share_a_shingle(spark, monkeypatch):
     assert got == {i: i // 100 * 100 if i < 900 else i for i, _ in rows}
 
 
+def test_words_of_thue_and_morse(spark):
+    """Long words that collide for any polynomial modulo a power of two are different words."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{word} x y z w {other} x y z w", f"{other} x y z w {word} x y z w"]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in Join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).labelled().collect()}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (6, 2), 3: (6, 3)}
+
+
+def test_lengths_that_meet():
+    """Sets that pass the length filter have neighbouring length classes."""
+    from folioforge.llm.ngram_join import length_class
+
+    sizes = np.unique(np.concatenate([np.arange(1, 3000), np.geomspace(3000, 10**9, 500).astype(np.int64)]))
+    most = (sizes * 100) // 80
+    assert (length_class(most) - length_class(sizes) <= 1).all() and (np.diff(length_class(sizes)) >= 0).all()
+
+
 def test_sets_that_share_a_digest(spark, monkeypatch):
     from folioforge.llm import ngram_join
 
