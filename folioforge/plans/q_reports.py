@@ -186,18 +186,6 @@ def _(spark, sf):
     return md.figure_rows(answers, paths).select("paper_id", "figure_num", "caption", "file_path")
 
 
-NEW_TEXT = "CASE WHEN doc_id % 3 = 0 THEN 'Zebra ' || text ELSE text END"
-WORDS = "[x FOR x IN string_split_regex(translate(lower(t), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+') IF x <> '']"
-
-
-@register("txt32_index_upkeep", f"WITH d AS (SELECT doc_id, {NEW_TEXT} AS t FROM documents WHERE doc_id % 7 > 0), w AS (SELECT doc_id, unnest({WORDS}) AS term FROM d) SELECT doc_id, count(DISTINCT term) AS n_terms, count(*)::BIGINT AS n_words, count(*) FILTER (term = 'zebra')::BIGINT AS zebras FROM w GROUP BY doc_id")
-def _(spark, sf):
-    docs = table(spark, sf, "documents")
-    changed = docs.where("doc_id % 3 = 0 AND doc_id % 7 > 0").select("doc_id", F.concat(F.lit("Zebra "), "text").alias("text"))
-    index = search_index.changed_postings(search_index.postings(docs), changed, docs.where("doc_id % 7 = 0"))
-    return index.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_words"), F.coalesce(F.sum(F.when(F.col("term") == "zebra", F.col("tf"))), F.lit(0)).alias("zebras"))
-
-
 @register("rpt10_summary_cards", "SELECT p_partkey, array_to_string(list_concat([p_name], ['Objective: ' || p_brand], [i || '. ' || p_type FOR i IN range(1, least(p_size % 12, 8) + 1)], ['+ ' || p_brand FOR i IN range(least(p_size % 5, 3))], ['- x', '- y']), chr(10)) AS card FROM part")
 def _(spark, sf):
     repeated = lambda c, n: F.array_repeat(c, (F.col("p_size") % n).cast("int"))

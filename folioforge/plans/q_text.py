@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioforge.functions import classify, diagrams, json_tools, reports, search, sections, text
+from folioforge.functions import classify, diagrams, json_tools, reports, sections, text
 from folioforge.functions.vocabulary import MERMAID_WORDS, PICTURE_WORDS, ROUTER_WORDS, TOPIC_WORDS
 from folioforge.operators import captions, geometry
 from folioforge.operators.relational import latest
@@ -184,14 +184,6 @@ def _(spark, sf):
     return classify.domain_sizes(spark)
 
 
-@register("txt30_search", """WITH w AS (SELECT doc_id, [x FOR x IN string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+') IF x <> ''] AS w FROM documents),
-c AS (SELECT doc_id, len(w) AS n, len([x FOR x IN w IF x = 'the']) AS a, len([x FOR x IN w IF x = 'anthat']) AS b FROM w),
-s AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
-SELECT doc_id, round(0 - greatest(ln((docs - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) - greatest(ln((docs - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, s WHERE a > 0 AND b > 0""")
-def _(spark, sf):
-    return search.rank(table(spark, sf, DOCS), "the AND anthat")
-
-
 @register("txt33_fences", "SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"a\":1}'), (3, 'plain'), (4, 'graph LR')) t(id, body)")
 def _(spark, sf):
     rows = [(1, '{"a": 1}'), (2, '```json\n{"a":1}\n```'), (3, " plain "), (4, "text\n```mermaid\ngraph LR\n```\nmore")]

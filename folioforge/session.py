@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -28,3 +31,29 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of the data set at ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop's file system, whatever store it is in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        if not spark.sparkContext._jsc.sc().isStopped():
+            drop_path(spark, path)
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        pass
+
+
+def dropped_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, to be deleted when the program ends."""
+    atexit.register(_drop_at_exit, spark, path)
+    return path

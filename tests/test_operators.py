@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import backend, classify, diagrams, json_tools, reports, search, sections, text
+from folioforge.functions import backend, classify, diagrams, json_tools, reports, sections, text
 from folioforge.operators import captions, cost, geometry
 from folioforge.operators import relational as rel
 from folioforge.sources import files
@@ -81,14 +81,6 @@ def test_topics(spark):
     assert got == {1: "optics", 2: "bio", 3: "general", 4: "materials", 5: "general"}
 
 
-def test_search_terms():
-    assert search.query_terms("The AND the, Laser!") == ["the", "laser"]
-    assert search.query_terms("l'État") == ["l", "etat"]
-    assert search.query_groups("a b OR c NOT d AND e") == [(["a", "b"], []), (["c"], ["d", "e"])]
-    with pytest.raises(ValueError):
-        search.query_groups("a NEAR b")
-
-
 def test_caption_matches_use_each_caption_once(spark):
     figures = spark.createDataFrame([(1, i, f"p{1 + i % 3}_fig{i}") for i in range(9)], "doc_id long, seq int, figure_num string")
     found = spark.createDataFrame([(1, 1 + i % 3, i, f"c{i}") for i in range(5)], "doc_id long, page_no int, fig_num int, caption string")
@@ -158,30 +150,6 @@ def test_streams(spark, tmp_path):
     assert rows(run_state.live_runs(stream), "live", "update") == [(1, 60, "running"), (2, 40, "running")]
 
 
-@pytest.mark.parametrize("query", ["the AND anthat", "the OR nosuchword", "the NOT anthat", "nosuchword"])
-def test_written_index_ranks_as_the_scan_does(spark, tmp_path, query):
-    from folioforge.functions import search, search_index
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    search_index.write_index(search_index.postings(docs), str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    got = search_index.rank_indexed(index, search_index.sizes(docs), query)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.rank(docs, query).collect()))
-
-
-def test_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
-    from folioforge.functions import search_index
-
-    docs = spark.createDataFrame([(1, "état général"), (2, "etat"), (3, ""), (4, None)], "doc_id long, text string")
-    search_index.write_index(search_index.postings(docs), str(tmp_path / "index"))
-    index = spark.read.parquet(str(tmp_path / "index"))
-    assert {(r.term, r.doc_id, r.n) for r in index.collect()} == {("etat", 1, 2), ("general", 1, 2), ("etat", 2, 1)}
-    found = search_index.rank_indexed(index, search_index.sizes(docs), "état")
-    assert sorted(r.doc_id for r in found.collect()) == [1, 2]
-    assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().executedPlan().toString()
-    assert all(r.bucket == search_index.bucket_of(r.term) for r in index.collect())
-
-
 def test_phase_sections_without_an_answer_or_fields(spark):
     from folioforge.functions import phase_markdown as md
 
