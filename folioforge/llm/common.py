@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-DROP_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a phase is written, Spark deletes its shuffle files when it ends, not when the driver's garbage is next
+#: collected, and a Python worker is sent few bytes at a time, however long the rows.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,14 +56,16 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _shuffle_files_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, Spark deletes an execution's shuffle files when it ends, not when the driver's garbage is next collected."""
-    before = spark.conf.get(DROP_SHUFFLE_FILES)
-    spark.conf.set(DROP_SHUFFLE_FILES, "true")
+def _while_writing(spark: SparkSession) -> Iterator[None]:
+    """Inside, the settings of WRITING hold."""
+    before = {k: spark.conf.get(k) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(DROP_SHUFFLE_FILES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def dropped_at_exit(spark: SparkSession, path: str) -> str:
@@ -74,7 +78,7 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, losing an executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with _shuffle_files_dropped(spark):
+    with _while_writing(spark):
         df.write.parquet(path)
     dropped_at_exit(spark, path)
     again = spark.read.schema(df.schema).parquet(path)
