@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioforge.functions import backend
 from folioforge.plans.library import COST_SQL, LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
-from folioforge.session import table
+from folioforge.session import dropped_at_exit, shared_path, table, table_stream
 from folioforge.sources import files
 from folioforge.streaming import run_state
 
@@ -33,6 +33,47 @@ def _(spark, sf):
     return run_state.first_completions(results(spark, sf)).select("paper_id", "phase")
 
 
+#: Events as the log of runs: users are papers.
+PHASE_OF_EVENT = {"view": "screening", "click": "recipe", "purchase": "visualization", "error": "cancel", "signup": "start"}
+_PHASE_SQL = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in PHASE_OF_EVENT.items()) + " END"
+_OVER = "s.ended IS NOT NULL AND e.ts >= s.ended + INTERVAL 1 HOUR"
+
+
+@register(
+    "str03_run_expiry",
+    f"""WITH RECURSIVE e AS (SELECT user_id AS paper_id, {_PHASE_SQL} AS phase, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, {_PHASE_SQL}) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+steps AS (
+  SELECT DISTINCT paper_id, 0::BIGINT AS k, 0 AS progress, 'running' AS state, NULL::TIMESTAMP AS ended, false AS cancel, NULL::TIMESTAMP AS moment, NULL::INT AS lost, NULL::TIMESTAMP AS lost_at FROM e
+  UNION ALL
+  SELECT paper_id, k, progress, CASE WHEN NOT acts THEN state WHEN cancel THEN 'cancelled' WHEN progress = 100 THEN 'completed' ELSE 'running' END,
+         CASE WHEN acts AND (cancel OR progress = 100) THEN ts ELSE ended END, cancel, CASE WHEN acts THEN ts END, lost, lost_at
+  FROM (
+    SELECT *, CASE WHEN acts AND NOT cancel THEN greatest(was, CASE phase WHEN 'screening' THEN 20 WHEN 'recipe' THEN 60 ELSE 100 END) ELSE was END AS progress
+    FROM (
+      SELECT paper_id, k, ts, phase, ended, state, CASE WHEN ended IS NULL AND phase = 'cancel' THEN true ELSE cancel END AS cancel, was, lost, lost_at, ended IS NULL AND phase NOT IN ('cancel', 'start') AS acts
+      FROM (
+        SELECT e.paper_id, e.k, e.ts, e.phase, anew, CASE WHEN NOT anew THEN s.ended END AS ended, CASE WHEN anew THEN 'running' ELSE s.state END AS state, NOT anew AND s.cancel AS cancel, CASE WHEN anew THEN 0 ELSE s.progress END AS was,
+               CASE WHEN {_OVER} THEN s.progress END AS lost, CASE WHEN {_OVER} THEN s.ended + INTERVAL 1 HOUR END AS lost_at
+        FROM (SELECT s.*, e.ts, ({_OVER}) OR (s.ended IS NOT NULL AND e.phase = 'start') AS anew FROM steps s JOIN e ON e.paper_id = s.paper_id AND e.k = s.k + 1) s JOIN e ON e.paper_id = s.paper_id AND e.k = s.k + 1
+      )
+    )
+  )
+),
+rows AS (
+  SELECT paper_id, progress, state, moment FROM steps WHERE moment IS NOT NULL
+  UNION ALL SELECT paper_id, lost, 'expired', lost_at FROM steps WHERE lost_at IS NOT NULL
+  UNION ALL SELECT paper_id, progress, 'expired', ended + INTERVAL 1 HOUR FROM (SELECT *, max(k) OVER (PARTITION BY paper_id) AS last FROM steps)
+  WHERE k = last AND ended + INTERVAL 1 HOUR < (SELECT max(ts) - INTERVAL 10 MINUTE FROM e)
+)
+SELECT paper_id, progress, state, count(*) AS n, epoch_ms(max(moment)) // 1000 AS last_second FROM rows GROUP BY ALL""",
+)
+def _(spark, sf):
+    named = F.create_map(*(F.lit(x) for pair in PHASE_OF_EVENT.items() for x in pair))
+    log = table_stream(spark, sf, "events").select(F.col("user_id").alias("paper_id"), F.try_element_at(named, F.col("event_type")).alias("phase"), "ts")
+    changes = run_state.drained(run_state.live_runs(log), dropped_at_exit(spark, shared_path(spark, "runs")))
+    return changes.groupBy("paper_id", "progress", "state").agg(F.count("*").alias("n"), F.unix_seconds(F.max("at")).alias("last_second"))
+
+
 @register("udf01_phase_calls", answered("'Screen: ' || c_name", "customer", "c_custkey", "screening"))
 def _(spark, sf):
     prompts = papers(spark, sf).select(F.col("id").alias("paper_id"), F.concat(F.lit("Screen: "), "title").alias("prompt"))

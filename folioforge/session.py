@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The Parquet table ``name`` as a stream of its files. As a pattern, the path may be that of one file."""
+    source = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source[:-1]}[t]")
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
