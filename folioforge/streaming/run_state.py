@@ -109,7 +109,10 @@ def live_runs(events: DataFrame, keep_seconds: int = 3600, lateness: str | None
 
 
 def drained(stream: DataFrame, path: str) -> DataFrame:
-    """The rows that a stream gives for all that its source holds, written below ``path``."""
+    """The rows that a stream gives for all that its source holds, written below ``path``.
+
+    Not for ``live_runs`` by the clock: while a timer is set, such a stream never ends.
+    """
     run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -41,9 +41,21 @@ def test_runs_by_event_time(spark, tmp_path, batches):
 def test_runs_by_the_clock(spark, tmp_path):
     written(spark, tmp_path, "in", [(1, "visualization", 0), (2, "screening", 0), (3, "cancel", 0)])
     stream = spark.readStream.schema("paper_id long, phase string, ts timestamp").parquet(str(tmp_path / "in"))
-    first = run_state.drained(run_state.live_runs(stream, 1, None), str(tmp_path / "out"))
-    assert sorted((r.paper_id, r.state) for r in first.collect()) == [(1, "completed"), (2, "running")]
-    time.sleep(2)
-    written(spark, tmp_path, "in", [(2, "recipe", 1), (3, "screening", 1)])  # the request of 3 has outlived its time
-    again = run_state.drained(run_state.live_runs(stream, 1, None), str(tmp_path / "out"))
-    assert sorted((r.paper_id, r.progress, r.state) for r in again.collect()) == [(1, 100, "completed"), (1, 100, "expired"), (2, 20, "running"), (2, 60, "running"), (3, 20, "running")]
+    run = run_state.live_runs(stream, 1, None).writeStream.format("memory").queryName("clock").outputMode("append").trigger(processingTime="500 milliseconds").start()
+
+    def shows(want):
+        for _ in range(240):
+            got = sorted((r.paper_id, r.progress, r.state) for r in spark.table("clock").collect())
+            if got == want:
+                return True
+            time.sleep(0.25)
+        return False
+
+    try:
+        done = [(1, 100, "completed"), (1, 100, "expired"), (2, 20, "running")]
+        assert shows(done)
+        time.sleep(1)
+        written(spark, tmp_path, "in", [(2, "recipe", 1), (3, "screening", 1)])  # the request of 3 has outlived its time
+        assert shows([*done, (2, 60, "running"), (3, 20, "running")])
+    finally:
+        run.stop()
