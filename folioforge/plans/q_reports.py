@@ -52,7 +52,7 @@ LIVE_SQL = {
 }
 
 
-@register("rpt02_live_phases", "SELECT o_orderkey, CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN {said(t)}" for i, t in enumerate(LIVE_SQL.values())) + " ELSE '{\"k\":' || o_custkey || '}' END AS body FROM orders")
+@register("rpt02_live_phases", "SELECT o_orderkey, CASE o_orderkey % 5 " + " ".join(f"WHEN {i} THEN {said(t)}" for i, t in enumerate(LIVE_SQL.values())) + " ELSE '{' || chr(10) || '  \"k\": ' || o_custkey || chr(10) || '}' END AS body FROM orders")
 def _(spark, sf):
     phase = F.lit("viz_plan")
     for i, name in enumerate(LIVE_SQL):

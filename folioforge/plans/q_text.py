@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioforge.functions import classify, diagrams, json_tools, reports, sections, text
+from folioforge.functions import classify, diagrams, json_tools, phase_markdown, reports, sections, text
 from folioforge.functions.vocabulary import MERMAID_WORDS, PICTURE_WORDS, ROUTER_WORDS, TOPIC_WORDS
 from folioforge.operators import captions, geometry
 from folioforge.operators.relational import latest
@@ -276,12 +276,25 @@ def _(spark, sf):
     return df.select("word", reports.status_name(F.col("word")).alias("status"), reports.quality_name(F.col("word")).alias("quality"))
 
 
+_SUMMARY = "json_extract_string(result, '$.summary')"
+_TOPICS = "chr(10) || chr(10) || '**Key Topics:**' || chr(10) || '- a' || chr(10) || '- b'"
+#: A result as the report shows it: the results are blank, no JSON, errors or summaries with two topics.
+SHOWN = f"""CASE WHEN o6 < 2 THEN result
+WHEN phase = 'screening' THEN '**Domain:** N/A' || chr(10) || '**Relevance Score:** N/A' || chr(10) || '**Methodology:** N/A' || chr(10) || '**Complexity:** N/A' || chr(10) || chr(10) || '**Summary:** ' || coalesce({_SUMMARY}, 'N/A') || CASE WHEN o6 > 3 THEN {_TOPICS} ELSE '' END
+WHEN phase = 'visual' THEN '**Figures:** 0' || chr(10) || '**Tables:** 0' || chr(10) || '**Equations:** 0' || chr(10) || chr(10) || '**Quality:** N/A'
+WHEN phase = 'recipe' THEN '**Title:** N/A' || chr(10) || '**Objective:** N/A' || chr(10) || '**Confidence:** N/A' || chr(10) || '**Reproducibility:** N/A'
+WHEN phase = 'deep_dive' THEN chr(10) || chr(10) || chr(10) || '**Novelty:** N/A'
+WHEN o6 = 2 THEN '{{' || chr(10) || '  "error": "e"' || chr(10) || '}}'
+WHEN o6 = 3 THEN '{{' || chr(10) || '  "_parse_error": "p",' || chr(10) || '  "x": 1' || chr(10) || '}}'
+ELSE '{{' || chr(10) || '  "summary": "' || {_SUMMARY} || '",' || chr(10) || '  "relevance": ' || regexp_extract(result, 'relevance": ([0-9.]+)', 1)::DOUBLE::VARCHAR || ',' || chr(10) || '  "key_topics": [' || chr(10) || '    "a",' || chr(10) || '    "b"' || chr(10) || '  ]' || chr(10) || '}}' END"""
+
+
 @register("rpt01_reports", L + """SELECT p.id AS paper_id, '# Analysis Report: ' || title || chr(10) || chr(10) || '**Authors:** ' || coalesce(authors, 'N/A') || chr(10) || '**Year:** ' || coalesce(year::VARCHAR, 'N/A') || chr(10) || '**Journal:** ' || journal || chr(10) || '**Domain:** ' || domain || chr(10) || chr(10) || body || chr(10)
 || '## Cost Summary' || chr(10) || chr(10) || '- **Total Cost:** $' || printf('%.4f', cost) || chr(10) || '- **Total Tokens In:** ' || format('{:,}', i) || chr(10) || '- **Total Tokens Out:** ' || format('{:,}', o) AS markdown
-FROM papers p JOIN (SELECT paper_id, string_agg('## ' || CASE phase WHEN 'screening' THEN 'Phase 1: Screening' WHEN 'visual' THEN 'Phase 2: Visual Verification' WHEN 'recipe' THEN 'Phase 3: Recipe Extraction' WHEN 'deep_dive' THEN 'Phase 4: Deep Dive Analysis' WHEN 'viz_plan' THEN 'Viz Plan' ELSE 'Visualization' END || chr(10) || chr(10) || '*Model: ' || coalesce(model_used, 'N/A') || ' | Tokens: ' || format('{:,}', tokens_in) || ' in / ' || format('{:,}', tokens_out) || ' out | Cost: $' || printf('%.4f', cost_usd) || '*' || chr(10) || chr(10) || result || chr(10), chr(10) ORDER BY created_at, id) AS body,
-sum(cost_usd::DECIMAL(20, 8))::DOUBLE AS cost, sum(tokens_in)::BIGINT AS i, sum(tokens_out)::BIGINT AS o FROM results WHERE phase <> 'error' GROUP BY paper_id) r ON r.paper_id = p.id""")
+FROM papers p JOIN (SELECT paper_id, string_agg('## ' || CASE phase WHEN 'screening' THEN 'Phase 1: Screening' WHEN 'visual' THEN 'Phase 2: Visual Verification' WHEN 'recipe' THEN 'Phase 3: Recipe Extraction' WHEN 'deep_dive' THEN 'Phase 4: Deep Dive Analysis' WHEN 'viz_plan' THEN 'Viz Plan' ELSE 'Visualization' END || chr(10) || chr(10) || '*Model: ' || coalesce(model_used, 'N/A') || ' | Tokens: ' || format('{:,}', tokens_in) || ' in / ' || format('{:,}', tokens_out) || ' out | Cost: $' || printf('%.4f', cost_usd) || '*' || chr(10) || chr(10) || """ + SHOWN + """ || chr(10), chr(10) ORDER BY created_at, id) AS body,
+sum(cost_usd::DECIMAL(20, 8))::DOUBLE AS cost, sum(tokens_in)::BIGINT AS i, sum(tokens_out)::BIGINT AS o FROM (SELECT *, id % 6 AS o6 FROM results) WHERE phase <> 'error' GROUP BY paper_id) r ON r.paper_id = p.id""")
 def _(spark, sf):
-    return reports.report(papers(spark, sf), results(spark, sf))
+    return phase_markdown.report(papers(spark, sf), results(spark, sf))
 
 
 RECIPE = '{"materials":["m1","m2"],"equipment":["e1"],"parameters":[{"name":"T","value":"5","unit":"K","notes":"a,b"}],"steps":["s1"],"critical_notes":[]}'

@@ -157,7 +157,8 @@ def test_phase_sections_without_an_answer_or_fields(spark):
         assert one(spark, section(nothing)).endswith(f"\n\n*Phase {n} was not completed.*")
         assert one(spark, section(F.lit("{}"))).startswith(f"## Phase {n}: ")
     assert one(spark, md.live_phase(F.lit("screening"), F.lit("{}"))).count("N/A") == 5
-    assert one(spark, md.live_phase(F.lit("other"), F.lit('{"a":1}'))) == '{"a":1}'
+    assert one(spark, md.live_phase(F.lit("other"), F.lit('{"b":1,"a":"é"}'))) == '{\n  "b": 1,\n  "a": "é"\n}'
+    assert one(spark, md.live_phase(F.lit("other"), F.lit("no {json"))) == one(spark, md.live_phase(F.lit("visual"), F.lit("no {json"))) == "no {json"
     mixed = F.lit('{"parameters": [{"name": "T", "value": 5}, "plain"], "steps": ["a"]}')
     assert "- **T:** 5 \n- plain" in one(spark, md.live_phase(F.lit("recipe"), mixed))
     assert one(spark, md.cost_section(F.array().cast("array<struct<phase:string,model:string,cost:double,seconds:double,failed:boolean>>"), F.lit(0.0), F.lit(0), F.lit(0))) is None
