@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions.classify import renderer
+from folioforge.operators.relational import free_names
 
 NODES = "array<struct<id:string,label:string,detail:string>>"
 EDGES = "array<struct<source:string,target:string,label:string>>"
@@ -91,16 +92,14 @@ def words_joined(title: Column) -> Column:
 def diagram_files(diagrams: DataFrame) -> DataFrame:
     """(paper_id, seq, file_name, content) of diagrams (paper_id, seq, title, description, code).
 
-    Diagrams of a paper whose titles give one name get counters in order: name.md, name_1.md and so on. A counted name
-    that another title gives too is not looked for.
+    Diagrams of a paper whose titles give one name get counters in order: name.md, name_1.md and so on; a counter that
+    another title's name has already is left out, so no file overwrites another.
     """
     name = F.coalesce(F.nullif(F.lower(words_joined(F.col("title"))), F.lit("")), F.lit("diagram"))
-    nth = F.row_number().over(Window.partitionBy("paper_id", "_name").orderBy("seq")) - 1
     note = F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("> "), "description", F.lit("\n\n"))).otherwise("")
     content = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), note, F.lit("```mermaid\n"), "code", F.lit("\n```\n"))
-    named = diagrams.withColumn("_name", name).withColumn("_nth", nth)
-    file_name = F.concat("_name", F.when(F.col("_nth") > 0, F.concat(F.lit("_"), F.col("_nth").cast("string"))).otherwise(""), F.lit(".md"))
-    return named.select("paper_id", "seq", file_name.alias("file_name"), content.alias("content"))
+    named = free_names(diagrams.select("paper_id", "seq", name.alias("file_name"), content.alias("content")), "file_name", ["paper_id"], "seq")
+    return named.withColumn("file_name", F.concat("file_name", F.lit(".md")))
 
 
 def moved_folder(year: Column, title: Column, key: Column) -> Column:

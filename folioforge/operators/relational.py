@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.schemas import ERROR_PHASE, SORTABLE
+from folioforge.session import dropped_at_exit, shared_path
 
 # --- filters -------------------------------------------------------------------------------------------------
 
@@ -77,30 +78,43 @@ def counted(df: DataFrame, size: int = 20) -> DataFrame:
 
 
 def insert_rows(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """Append with new keys from the largest on. Keys are dealt by ordered partitions, without one global window."""
-    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    placed = rows.drop(key).withColumn("_slot", F.monotonically_increasing_id())
+    """Append with new keys from the largest on. Keys are dealt by ordered partitions, without one global window.
+
+    The rows are written once with their places in their partitions, in the shared folder: a task that runs again
+    cannot deal them other keys.
+    """
+    spark = rows.sparkSession
+    path = dropped_at_exit(spark, shared_path(spark, "insert"))
+    rows.drop(key).withColumn("_slot", F.monotonically_increasing_id()).write.parquet(path)
     part = F.shiftright("_slot", 33)
-    counts = placed.groupBy(part.alias("_part")).count()
+    placed = spark.read.parquet(path).withColumn("_part", part)
+    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
+    counts = placed.groupBy("_part").count()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    starts = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row a partition
     low = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
-    new = placed.withColumn("_part", part).join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top))
+    new = placed.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top))  # one row
     new = new.withColumn(key, F.col("_top") + F.col("_first") + low + 1)
     return base.unionByName(new.select(*base.columns))
 
 
 def last_changes(changes: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row a key: of several the last by ``order``, which is no field of the table; without an order any one."""
-    if order is None:
-        return changes.dropDuplicates([key])
+    """One row a key: of several the last by ``order``, which is no field of the table.
+
+    Without an order a key may have one row only; more are an error when the result is read, not any one of them.
+    """
     fields = [c for c in changes.columns if c not in (key, order)]
-    held = changes.groupBy(key).agg(F.max_by(F.struct(*fields), F.col(order)).alias("_last"))
+    held = changes.groupBy(key)
+    if order is None:
+        one = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit(f"several changes without an order of {key} "), F.col(key).cast("string")))).otherwise(F.first(F.struct(*fields)))
+        held = held.agg(one.alias("_last")) if fields else held.agg(F.first(key).alias("_last"))
+    else:
+        held = held.agg(F.max_by(F.struct(*fields), F.col(order)).alias("_last"))
     return held.select(key, *(F.col("_last")[c].alias(c) for c in fields))
 
 
 def patch_rows(base: DataFrame, patch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Fields of ``patch`` that are not null replace those of the row with the same key; of several patches the last counts."""
+    """Fields of ``patch`` that are not null replace those of the row with the same key; of several patches the last by ``order`` counts."""
     fields = [c for c in patch.columns if c not in (key, order)]
     if not fields:
         raise ValueError("nothing to update")
@@ -115,7 +129,7 @@ def delete_cascade(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) ->
 
 
 def upsert(base: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Rows replace those of the same key; of several rows of a key the last counts."""
+    """Rows replace those of the same key; of several rows of a key the last by ``order`` counts."""
     rows = last_changes(rows, key, order)
     return base.join(rows.select(key), key, "left_anti").unionByName(rows)
 
@@ -133,10 +147,28 @@ def set_status(papers: DataFrame, changes: DataFrame, at: str) -> DataFrame:
     return both.withColumn("status", F.coalesce("_status", "status")).select(*papers.columns)
 
 
+def free_names(df: DataFrame, name: str, within: list[str], order: str, first: int = 1) -> DataFrame:
+    """``df`` with distinct names in each group: the first row of a name, by ``order``, keeps it, and later ones get the
+    suffixes _1, _2, ... (``first`` on) in order, those left out that are names of other rows already.
+
+    Names with suffixes of different names differ, so they can only meet whole names: one look at these is enough.
+    """
+    numbered = df.withColumn("_k", (F.row_number().over(Window.partitionBy(*within, name).orderBy(order)) - 1).cast("long"))
+    counted = F.regexp_extract(name, r"(?s)^(.*)_([1-9][0-9]{0,17})$", 2)
+    taken = df.where(counted != "").select(*within, F.regexp_extract(name, r"(?s)^(.*)_([1-9][0-9]{0,17})$", 1).alias("_base"), counted.cast("long").alias("_n")).distinct().where(F.col("_n") >= first)
+    # the i-th taken number stands in the way of all rows from the (number - i)-th on
+    nth = F.row_number().over(Window.partitionBy(*within, "_base").orderBy("_n"))
+    walls = taken.select(*within, F.col("_base").alias(name), (F.col("_n") - first + 2 - nth).cast("long").alias("_k"), F.lit(1).alias("_wall"))
+    repeated = numbered.where("_k > 0")
+    both = repeated.withColumn("_wall", F.lit(0)).unionByName(walls, allowMissingColumns=True)
+    skipped = F.sum("_wall").over(Window.partitionBy(*within, name).orderBy("_k", F.desc("_wall")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumn("_skipped", skipped).where("_wall = 0").withColumn(name, F.concat(name, F.lit("_"), (F.col("_k") + F.col("_skipped") + (first - 1)).cast("string")))
+    return numbered.where("_k = 0").select(df.columns).unionByName(placed.select(df.columns))
+
+
 def without_collisions(df: DataFrame, name: str, key: str = "id", first: int = 2) -> DataFrame:
-    """Later rows of the same name, by key, get the suffixes _2, _3, ... (``first`` on)."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(key))
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.lit("_"), F.col("_n") + (first - 2)))).drop("_n")
+    """Later rows of the same name, by key, get the first free suffixes of _2, _3, ... (``first`` on)."""
+    return free_names(df, name, [], key, first)
 
 
 # --- joins ---------------------------------------------------------------------------------------------------

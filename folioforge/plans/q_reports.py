@@ -203,6 +203,20 @@ def _(spark, sf):
     return vt.diagram_files(diagrams)
 
 
+_TITLES = ["Flow", "flow", "Flow 1", "flow 3"]
+
+
+@register(
+    "snk03_counted_names",
+    "WITH d AS (SELECT l_orderkey AS paper_id, l_linenumber * 1000000 + l_partkey AS seq, ['flow', 'flow', 'flow_1', 'flow_3'][(l_partkey % 4 + 1)::INT] AS n FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY paper_id, n ORDER BY seq) - 1 AS k, list(n) OVER (PARTITION BY paper_id) AS names FROM d) "
+    "SELECT paper_id, seq, CASE WHEN k = 0 THEN n ELSE n || '_' || [x FOR x IN range(1, 200) IF NOT list_contains(names, n || '_' || x)][k] END || '.md' AS file_name FROM k",
+)
+def _(spark, sf):
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("l_partkey") % 4 + 1).cast("int"))
+    diagrams = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("seq"), title.alias("title"), F.lit("").alias("description"), F.lit("graph LR").alias("code"))
+    return vt.diagram_files(diagrams).select("paper_id", "seq", "file_name")
+
+
 @register("dml13_moved_folders", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'paper_' || p_partkey ELSE CASE WHEN p_partkey % 2 = 0 THEN '2020_' ELSE '' END || replace(p_name, ' ', '_')[1:40] END AS folder FROM part")
 def _(spark, sf):
     title = F.when(F.col("p_partkey") % 3 == 0, "?!").otherwise(F.concat("p_name", F.lit("?")))

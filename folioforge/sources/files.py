@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +49,19 @@ def shadowed(*sources: DataFrame, key: str = "name") -> DataFrame:
 
 
 def profiles(spark: SparkSession, *folders: str) -> DataFrame:
-    """Agent profiles (YAML, a few files) of folders of which earlier ones shadow later ones: name, fields as JSON."""
+    """Agent profiles (YAML) of folders of which earlier ones shadow later ones: name, fields as JSON. Files are read in tasks."""
     import json
 
     import yaml
 
-    frames = []
-    for folder in folders:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").load(folder).select("path", "content").limit(1000).collect()
-        rows = [(f.path.rsplit("/", 1)[-1].rsplit(".", 1)[0], json.dumps(yaml.safe_load(f.content), ensure_ascii=False)) for f in files]
-        frames.append(spark.createDataFrame(rows, "name string, profile string"))
-    return shadowed(*frames)
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [path.rsplit("/", 1)[-1].rsplit(".", 1)[0] for path in batch.column("path").to_pylist()]
+            texts = [json.dumps(yaml.safe_load(content), ensure_ascii=False) for content in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "profile"])
+
+    read = lambda folder: spark.read.format("binaryFile").option("pathGlobFilter", "*.y*ml").load(folder).select("path", "content")
+    return shadowed(*(read(folder).mapInArrow(parsed, "name string, profile string") for folder in folders))
 
 
 def missing_fields(profile: Column, required: list[str]) -> Column:

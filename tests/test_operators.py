@@ -168,3 +168,26 @@ def test_running_captions_stop_and_the_parts_of_figures(spark):
     docs = spark.createDataFrame([(1, "Fig. 1: first\n  line Figure 2a. second Table 3: grid\n\nrest"), (2, None), (3, "")], "doc_id long, text string")
     assert {(r.number, r.caption) for r in captions.running_captions(docs).collect()} == {("1", "first line"), ("2a", "second")}
     assert [(r.number, r.caption) for r in captions.running_captions(docs, captions.TABLES).collect()] == [("3", "grid")]
+
+
+def test_free_names(spark):
+    from folioforge.operators.relational import free_names
+
+    titles = ["Flow", "flow", "Flow 1", "flow 1", "flow 2", "flow", "flow", "flow_1_1", "flow 01", "flow 5"]
+    for rows in (titles, titles[::-1]):
+        df = spark.createDataFrame([(p, i, t.lower().replace(" ", "_")) for p in (1, 2) for i, t in enumerate(rows)], "paper long, seq long, name string")
+        got = free_names(df, "name", ["paper"], "seq").collect()
+        assert len(got) == 20 and len({(r.paper, r.name) for r in got}) == 20
+        assert {"flow", "flow_1", "flow_2", "flow_3", "flow_4", "flow_6", "flow_1_1", "flow_1_2", "flow_01", "flow_5"} == {r.name for r in got if r.paper == 1}
+
+
+def test_changes_without_an_order(spark):
+    from folioforge.operators.relational import insert_rows, patch_rows, upsert
+
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], "id long, v string, at int")
+    assert {r.v for r in upsert(base, twice, "id", "at").collect()} == {"y", "b"}
+    with pytest.raises(Exception, match="several changes"):
+        patch_rows(base, twice.drop("at")).collect()
+    new = insert_rows(base, spark.range(200).selectExpr("id", "cast(id as string) v").repartition(7).orderBy(F.rand())).collect()
+    assert sorted(r.id for r in new) == list(range(1, 203))
