@@ -229,3 +229,27 @@ def _(spark, sf):
     read = F.from_json("stored", "title string, sub_captions array<struct<label:string,text:string>>")
     held = table(spark, sf, "part").select("p_partkey", stored.alias("stored"))
     return held.select("p_partkey", "stored", read["title"].alias("title"), F.size(read["sub_captions"]).alias("n"))
+
+
+_MARK = "CASE WHEN o_orderkey % 2 = 0 THEN ':green_circle: EXPLICIT' ELSE ':red_circle: MISSING' END"
+
+
+@register(
+    "snk01_recipe_cards",
+    f"""SELECT o_orderkey, '# Recipe Card: ' || o_orderpriority || chr(10) || chr(10) || '> Paper ID: ' || o_orderkey || chr(10) || '> Generated: 2025-01-01 00:00' || chr(10)
+|| CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '## Materials' || chr(10) || '- ' || o_orderstatus || chr(10) || '- m' || chr(10) ELSE '' END
+|| CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '## Equipment' || chr(10) || '- ' || o_custkey || chr(10) ELSE '' END
+|| chr(10) || '## Parameters' || chr(10) || chr(10) || '| Parameter | Value | Unit | Source | Status |' || chr(10) || '|-----------|-------|------|--------|--------|' || chr(10)
+|| '| T | ' || o_custkey || ' | K |  | ' || {_MARK} || ' |' || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN '| P | 3 |  |  | :green_circle: EXPLICIT |' ELSE '| loose | - | - | - | - |' END || chr(10)
+|| chr(10) || '## Procedure' || chr(10) || '1. ' || o_orderstatus || chr(10) || '2. end' || chr(10) || chr(10) || '## Safety Notes' || chr(10) || 'gloves' || chr(10)
+|| chr(10) || '## Confidence Metrics' || chr(10) || '- Extraction Confidence: 50%' || chr(10) AS card FROM orders""",
+)
+def _(spark, sf):
+    text = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    t = F.concat(F.lit('{"value": '), text("o_custkey"), F.lit(', "unit": "K", "status": "'), F.when(F.col(KEY) % 2 == 0, "EXPLICIT").otherwise("MISSING"), F.lit('"'))
+    parameters = F.when(F.col(KEY) % 5 == 0, F.concat(F.lit('{"T": '), t, F.lit('}, "P": 3}'))).otherwise(F.concat(F.lit("["), t, F.lit(', "name": "T"}, "loose"]')))
+    recipe = F.concat(
+        F.lit('{"confidence": 0.5, "recipe": {"steps": ['), text("o_orderstatus"), F.lit(', "end"], "safety_notes": "gloves", "parameters": '), parameters,
+        F.when(F.col(KEY) % 3 == 0, F.concat(F.lit(', "materials": ['), text("o_orderstatus"), F.lit(', "m"]'))).otherwise(""), F.when(F.col(KEY) % 2 == 0, F.concat(F.lit(', "equipment": ['), text("o_custkey"), F.lit("]"))).otherwise(""), F.lit("}}"),
+    )
+    return table(spark, sf, "orders").select(KEY, md.recipe_card(recipe, F.col("o_orderpriority"), F.col(KEY), F.lit("2025-01-01 00:00")).alias("card"))

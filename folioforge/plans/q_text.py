@@ -11,8 +11,8 @@ from folioforge.operators import captions, geometry
 from folioforge.operators.relational import latest
 from folioforge.plans.library import LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
-from folioforge.session import table
-from folioforge.sources import files
+from folioforge.session import dropped_at_exit, shared_path, table
+from folioforge.sources import files, text_files
 
 L = LIBRARY_SQL
 DOCS = "documents"
@@ -289,14 +289,27 @@ WHEN o6 = 3 THEN '{{' || chr(10) || '  "_parse_error": "p",' || chr(10) || '  "x
 ELSE '{{' || chr(10) || '  "summary": "' || {_SUMMARY} || '",' || chr(10) || '  "relevance": ' || regexp_extract(result, 'relevance": ([0-9.]+)', 1)::DOUBLE::VARCHAR || ',' || chr(10) || '  "key_topics": [' || chr(10) || '    "a",' || chr(10) || '    "b"' || chr(10) || '  ]' || chr(10) || '}}' END"""
 
 
-@register("rpt01_reports", L + """SELECT p.id AS paper_id, '# Analysis Report: ' || title || chr(10) || chr(10) || '**Authors:** ' || coalesce(authors, 'N/A') || chr(10) || '**Year:** ' || coalesce(year::VARCHAR, 'N/A') || chr(10) || '**Journal:** ' || journal || chr(10) || '**Domain:** ' || domain || chr(10) || chr(10) || body || chr(10)
+REPORTS_SQL = L + """SELECT p.id AS paper_id, '# Analysis Report: ' || title || chr(10) || chr(10) || '**Authors:** ' || coalesce(authors, 'N/A') || chr(10) || '**Year:** ' || coalesce(year::VARCHAR, 'N/A') || chr(10) || '**Journal:** ' || journal || chr(10) || '**Domain:** ' || domain || chr(10) || chr(10) || body || chr(10)
 || '## Cost Summary' || chr(10) || chr(10) || '- **Total Cost:** $' || printf('%.4f', cost) || chr(10) || '- **Total Tokens In:** ' || format('{:,}', i) || chr(10) || '- **Total Tokens Out:** ' || format('{:,}', o) AS markdown
 FROM papers p JOIN (SELECT paper_id, string_agg('## ' || CASE phase WHEN 'screening' THEN 'Phase 1: Screening' WHEN 'visual' THEN 'Phase 2: Visual Verification' WHEN 'recipe' THEN 'Phase 3: Recipe Extraction' WHEN 'deep_dive' THEN 'Phase 4: Deep Dive Analysis' WHEN 'viz_plan' THEN 'Viz Plan' ELSE 'Visualization' END || chr(10) || chr(10) || '*Model: ' || coalesce(model_used, 'N/A') || ' | Tokens: ' || format('{:,}', tokens_in) || ' in / ' || format('{:,}', tokens_out) || ' out | Cost: $' || printf('%.4f', cost_usd) || '*' || chr(10) || chr(10) || """ + SHOWN + """ || chr(10), chr(10) ORDER BY created_at, id) AS body,
-sum(cost_usd::DECIMAL(20, 8))::DOUBLE AS cost, sum(tokens_in)::BIGINT AS i, sum(tokens_out)::BIGINT AS o FROM (SELECT *, id % 6 AS o6 FROM results) WHERE phase <> 'error' GROUP BY paper_id) r ON r.paper_id = p.id""")
+sum(cost_usd::DECIMAL(20, 8))::DOUBLE AS cost, sum(tokens_in)::BIGINT AS i, sum(tokens_out)::BIGINT AS o FROM (SELECT *, id % 6 AS o6 FROM results) WHERE phase <> 'error' GROUP BY paper_id) r ON r.paper_id = p.id"""
+
+
+@register("rpt01_reports", REPORTS_SQL)
 def _(spark, sf):
     return phase_markdown.report(papers(spark, sf), results(spark, sf))
 
 
+@register("snk01_written_reports", f"SELECT 'paper_' || paper_id || '/analysis.md' AS file, sha256(markdown) AS digest FROM ({REPORTS_SQL})")
+def _(spark, sf):
+    written = phase_markdown.report(papers(spark, sf), results(spark, sf)).select(F.concat(F.lit("paper_"), F.col("paper_id").cast("string"), F.lit("/analysis.md")).alias("file"), F.col("markdown").alias("content"))
+    path = dropped_at_exit(spark, shared_path(spark, "reports"))
+    text_files.register(spark)
+    written.write.format("text_files").option("path", path).mode("append").save()
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return read.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("digest"))
+
+
 RECIPE = '{"materials":["m1","m2"],"equipment":["e1"],"parameters":[{"name":"T","value":"5","unit":"K","notes":"a,b"}],"steps":["s1"],"critical_notes":[]}'
 
 
