@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.session import written
+
 
 def touching(rects: DataFrame, margin: float = 20) -> DataFrame:
     """(doc_id, page_no, a, b): pairs of boxes of a page of which the first, grown by a margin, meets the second."""
@@ -86,6 +88,12 @@ def distance(a: list[Column], b: list[Column]) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def image_boxes(rects: DataFrame, least: float, sizes: dict[str, float]) -> DataFrame:
+    """(doc_id, page_no, rect_no) of images at least so wide and high, and whether they reach each of the named sizes."""
+    small = F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    return rects.where(small >= least).select("doc_id", "page_no", "rect_no", *((small >= size).alias(name) for name, size in sizes.items()))
+
+
 def covers_page(width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
     return (width >= 0.95 * page_width) & (height >= 0.95 * page_height)
 
@@ -96,22 +104,68 @@ def absolute(boxes: DataFrame, width: Column, height: Column) -> DataFrame:
     return boxes.withColumns({"x0": at("x0", width), "y0": at("y0", height), "x1": at("x1", width), "y1": at("y1", height)}).where("x1 > x0 AND y1 > y0")
 
 
+#: Side of the cells of the grid over a page, in the units of the boxes.
+CELL = 256.0
+PAGE = ["doc_id", "page_no"]
+
+
+def near_pairs(rects: DataFrame, reach: float, cell: float = CELL) -> DataFrame:
+    """(doc_id, page_no, a, b): pairs of boxes of a page, a < b by ``place``, that are less than ``reach`` apart.
+
+    A box lies in every cell that it touches, grown by half of the reach; boxes meet by page and cell, and a pair counts
+    in the first cell that both touch. A page with very many boxes is as many keys as it has cells.
+    """
+    at = lambda c, by: F.floor((F.col(c) + by) / cell).cast("int")
+    grown = rects.select(*PAGE, "place", "x0", "y0", "x1", "y1", at("x0", -reach / 2).alias("i0"), at("x1", reach / 2).alias("i1"), at("y0", -reach / 2).alias("j0"), at("y1", reach / 2).alias("j1"))
+    cells = grown.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("j", F.explode(F.sequence("j0", "j1")))
+    x, y = cells.alias("x"), cells.alias("y")
+    col = lambda t, c: F.col(f"{t}.{c}")
+    same = [col("x", c) == col("y", c) for c in (*PAGE, "i", "j")]
+    first = (F.col("x.i") == F.greatest("x.i0", "y.i0")) & (F.col("x.j") == F.greatest("x.j0", "y.j0"))
+    close = distance([col("x", c) for c in ("x0", "y0", "x1", "y1")], [col("y", c) for c in ("x0", "y0", "x1", "y1")]) < reach
+    meet = F.col("x.place") < F.col("y.place")
+    for s in same:
+        meet = meet & s
+    return x.join(y, meet & first & close).select(*(col("x", c).alias(c) for c in PAGE), F.col("x.place").alias("a"), F.col("y.place").alias("b"))
+
+
 def leader_clusters(rects: DataFrame, reach: float = 50) -> DataFrame:
-    """(doc_id, page_no, rect_no, group_no): a box joins the first group of which any member is near, else starts one."""
-
-    def cluster(page: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        labels = []
-        for r in page.sort_values("rect_no").itertuples():
-            near = lambda q: ((max(0, max(r.x0, q.x0) - min(r.x1, q.x1))) ** 2 + (max(0, max(r.y0, q.y0) - min(r.y1, q.y1))) ** 2) ** 0.5 < reach  # noqa: B023, E731
-            home = next((i for i, g in enumerate(groups) if any(map(near, g))), len(groups))
-            if home == len(groups):
-                groups.append([])
-            groups[home].append(r)
-            labels.append((r.doc_id, r.page_no, r.rect_no, home + 1))
-        return pd.DataFrame(labels, columns=["doc_id", "page_no", "rect_no", "group_no"])
-
-    return rects.groupBy("doc_id", "page_no").applyInPandas(cluster, "doc_id long, page_no int, rect_no int, group_no int")
+    """(doc_id, page_no, rect_no, group_no): boxes by their tops, then left sides; one that is near no leader is a leader
+    itself, others belong to the first leader that they are near.
+
+    Leaders are found in rounds over the pairs of near boxes: whoever waits for no earlier box is decided. There are as
+    many rounds as boxes in the longest chain, and a page is never one task's work.
+    """
+    order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "rect_no")
+    placed = written(rects.select(*PAGE, "rect_no", "x0", "y0", "x1", "y1").withColumn("place", F.row_number().over(order)), "boxes")
+    pairs = written(near_pairs(placed, reach), "near")
+    status = placed.select(*PAGE, "place", F.lit(0).alias("status"))  # 0 waits, 1 leads, 2 follows
+    while True:
+        earlier = pairs.join(status.withColumnsRenamed({"place": "a", "status": "of_a"}), [*PAGE, "a"]).groupBy(*PAGE, F.col("b").alias("place")).agg(F.max((F.col("of_a") == 1).cast("int")).alias("led"), F.max((F.col("of_a") == 0).cast("int")).alias("waits"))
+        decided = F.when(F.col("status") > 0, F.col("status")).when(F.col("led") == 1, 2).when(F.col("waits") == 1, 0).otherwise(1)
+        status = written(status.join(earlier, [*PAGE, "place"], "left").select(*PAGE, "place", decided.alias("status")), "leaders")
+        if not status.where("status = 0").take(1):
+            break
+    leaders = status.where("status = 1").select(*PAGE, "place")
+    joined = pairs.join(leaders.withColumnRenamed("place", "a"), [*PAGE, "a"]).join(status.where("status = 2").withColumnRenamed("place", "b"), [*PAGE, "b"])
+    follows = joined.groupBy(*PAGE, F.col("b").alias("place")).agg(F.min("a").alias("leader"))
+    both = follows.unionByName(leaders.withColumn("leader", F.col("place")))
+    number = F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("leader"))
+    return placed.select(*PAGE, "rect_no", "place").join(both, [*PAGE, "place"]).select(*PAGE, "rect_no", number.alias("group_no"))
+
+
+def large_regions(rects: DataFrame, pages: DataFrame, least: float = 150, reach: float = 50, pad: float = 10, zoom: float = 2, least_pixels: int = 200) -> DataFrame:
+    """(doc_id, page_no, figure_id, x0, y0, x1, y1): where figures are, of pages without captions to go by.
+
+    Images at least ``least`` wide and high are grouped around leaders; a group's box is padded inside its page (pages:
+    doc_id, page_no, width, height) and counts if it is drawn large enough. Figures are numbered by page and group.
+    """
+    large = rects.where((F.col("x1") - F.col("x0") >= least) & (F.col("y1") - F.col("y0") >= least))
+    groups = union_boxes(large.join(leader_clusters(large, reach), [*PAGE, "rect_no"]), [*PAGE, "group_no"])
+    shown = clipped(groups.join(pages, PAGE), F.col("width"), F.col("height"), pad)
+    drawn = shown.where((F.floor((F.col("x1") - F.col("x0")) * zoom) >= least_pixels) & (F.floor((F.col("y1") - F.col("y0")) * zoom) >= least_pixels))
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "group_no"))
+    return drawn.select(*PAGE, F.concat(F.lit("figure_"), number.cast("string")).alias("figure_id"), "x0", "y0", "x1", "y1")
 
 
 def merge_in_order(boxes: Column, gap: float = 30) -> Column:

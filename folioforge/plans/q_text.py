@@ -415,11 +415,48 @@ def _(spark, sf):
     return geometry.absolute(df, F.lit(200), F.lit(100))
 
 
-@register("geo03_leader_clusters")
+def clusters_sql(boxes: str) -> str:
+    """Steps of a recursive query: boxes (doc_id, page_no, n, x0, y0, x1, y1) in order, each with its leader."""
+    apart = "sqrt(greatest(0, greatest(l.x0, o.x0) - least(l.x1, o.x1)) ** 2 + greatest(0, greatest(l.y0, o.y0) - least(l.y1, o.y1)) ** 2)"
+    return f"""WITH RECURSIVE box AS ({boxes}), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0, n) AS k FROM box),
+walk AS (
+  SELECT DISTINCT doc_id, page_no, 0::BIGINT AS k, [{{'k': 0::BIGINT, 'x0': 0::DOUBLE, 'y0': 0::DOUBLE, 'x1': 0::DOUBLE, 'y1': 0::DOUBLE}}][2:] AS leaders, 0::BIGINT AS leader FROM box
+  UNION ALL
+  SELECT doc_id, page_no, k, CASE WHEN near IS NULL THEN list_append(leaders, own) ELSE leaders END, coalesce(near, k)
+  FROM (SELECT o.doc_id, o.page_no, o.k, w.leaders, {{'k': o.k, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}} AS own, list_min([l.k FOR l IN w.leaders IF {apart} < 50]) AS near FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.page_no = w.page_no AND o.k = w.k + 1)
+),
+grouped AS (SELECT o.*, dense_rank() OVER (PARTITION BY o.doc_id, o.page_no ORDER BY w.leader) AS group_no FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.page_no = w.page_no AND o.k = w.k)"""
+
+
+@register("geo03_leader_clusters", clusters_sql("SELECT o_custkey AS doc_id, 1 AS page_no, o_orderkey AS n, (o_orderkey * 37 % 500)::DOUBLE AS x0, (o_orderkey * 91 % 700)::DOUBLE AS y0, x0 + 60 AS x1, y0 + 60 AS y1 FROM orders") + " SELECT doc_id, page_no, n::INT AS rect_no, group_no::INT AS group_no FROM grouped")
 def _(spark, sf):
     return geometry.leader_clusters(_boxes(spark, sf))
 
 
+#: Images of different sizes on two pages a document.
+_IMAGES = "SELECT o_custkey AS doc_id, CAST(o_orderkey % 2 + 1 AS INT) AS page_no, CAST(o_orderkey AS INT) AS n, CAST(o_orderkey * 37 % 500 AS DOUBLE) AS x0, CAST(o_orderkey * 91 % 700 AS DOUBLE) AS y0, CAST(o_orderkey * 37 % 500 + 60 + o_orderkey * 13 % 240 AS DOUBLE) AS x1, CAST(o_orderkey * 91 % 700 + 60 + o_orderkey * 29 % 240 AS DOUBLE) AS y1 FROM orders"
+
+
+def _images(spark, sf):
+    return spark.sql(_IMAGES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders")).withColumnRenamed("n", "rect_no")
+
+
+@register(
+    "geo08_large_regions",
+    clusters_sql(f"SELECT * FROM ({_IMAGES}) WHERE x1 - x0 >= 150 AND y1 - y0 >= 150") + """, r AS (SELECT doc_id, page_no, group_no, greatest(min(x0) - 10, 0) AS x0, greatest(min(y0) - 10, 0) AS y0, least(max(x1) + 10, 612) AS x1, least(max(y1) + 10, 792) AS y1 FROM grouped GROUP BY ALL)
+SELECT doc_id, page_no, 'figure_' || row_number() OVER (PARTITION BY doc_id ORDER BY page_no, group_no) AS figure_id, x0, y0, x1, y1 FROM r WHERE floor((x1 - x0) * 2) >= 200 AND floor((y1 - y0) * 2) >= 200""",
+)
+def _(spark, sf):
+    images = _images(spark, sf)
+    pages = images.select("doc_id", "page_no").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return geometry.large_regions(images, pages)
+
+
+@register("src10_image_boxes", f"SELECT doc_id, page_no, n AS rect_no, least(x1 - x0, y1 - y0) >= 100 AS shown, least(x1 - x0, y1 - y0) >= 150 AS large FROM ({_IMAGES}) WHERE x1 - x0 >= 80 AND y1 - y0 >= 80")
+def _(spark, sf):
+    return geometry.image_boxes(_images(spark, sf), 80, {"shown": 100, "large": 150})
+
+
 @register("geo05_figure_regions")
 def _(spark, sf):
     boxes = _boxes(spark, sf)
@@ -427,7 +464,17 @@ def _(spark, sf):
     return geometry.figure_regions(heads, boxes.where("rect_no % 3 <> 0"))
 
 
-@register("win08_merged_boxes")
+@register(
+    "win08_merged_boxes",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS doc_id, (o_orderkey * 37 % 500)::DOUBLE AS x0, (o_orderkey * 91 % 700)::DOUBLE AS y0, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 91 % 700, o_orderkey * 37 % 500) AS k FROM orders),
+m AS (
+  SELECT doc_id, k, x0, y0, x0 + 60 AS x1, y0 + 60 AS y1, 1 AS merged FROM o WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN near THEN least(x0, ox) ELSE ox END, CASE WHEN near THEN least(y0, oy) ELSE oy END, CASE WHEN near THEN greatest(x1, ox + 60) ELSE ox + 60 END, CASE WHEN near THEN greatest(y1, oy + 60) ELSE oy + 60 END, merged + (NOT near)::INT
+  FROM (SELECT m.doc_id, o.k, m.x0, m.y0, m.x1, m.y1, m.merged, o.x0 AS ox, o.y0 AS oy, o.y0 - m.y1 <= 30 AND o.x0 - m.x1 <= 30 AND m.x0 - (o.x0 + 60) <= 30 AS near FROM m JOIN o ON o.doc_id = m.doc_id AND o.k = m.k + 1)
+)
+SELECT doc_id, max(k)::INT AS n, max(merged)::INT AS merged FROM m GROUP BY doc_id""",
+)
 def _(spark, sf):
     pages = _boxes(spark, sf).groupBy("doc_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("b"))
     return pages.select("doc_id", F.size("b").alias("n"), F.size(geometry.merge_in_order(F.col("b"))).alias("merged"))

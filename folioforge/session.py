@@ -63,3 +63,10 @@ def dropped_at_exit(spark: SparkSession, path: str) -> str:
     """``path``, to be deleted when the program ends."""
     atexit.register(_drop_at_exit, spark, path)
     return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to the shared folder and read back: its lineage ends there."""
+    path = dropped_at_exit(df.sparkSession, shared_path(df.sparkSession, label))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
