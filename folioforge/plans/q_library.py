@@ -9,7 +9,8 @@ from folioforge.operators import relational as rel
 from folioforge.plans.library import LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
 from folioforge.schemas import DEFAULT_SETTINGS, MAIN_PHASES
-from folioforge.session import table
+from folioforge.session import dropped_at_exit, shared_path, table
+from folioforge.sources import tables
 
 L = LIBRARY_SQL
 TAGS_SQL = """CASE WHEN tags IS NULL OR trim(tags) = '' THEN []::VARCHAR[]
@@ -180,6 +181,23 @@ def _(spark, sf):
     return papers(spark, sf).where("domain <> 'energy'").select("id", F.when(F.col("status") == "pending", "completed").otherwise(F.col("status")).alias("status"))
 
 
+@register(
+    "dml02_stored_changes",
+    L + """, u AS (SELECT id, CASE WHEN domain <> 'energy' AND status = 'pending' THEN 'completed' ELSE status END AS status, year FROM papers),
+d AS (SELECT * FROM u WHERE id % 11 <> 0 OR year IS NULL), s AS (SELECT id, status FROM d WHERE id % 6 <> 0 UNION ALL SELECT id, 'again' FROM papers WHERE id % 6 = 0)
+SELECT id, status, (SELECT count(*) FROM papers WHERE domain <> 'energy' AND status = 'pending') AS updated, (SELECT count(*) FROM papers WHERE id % 11 = 0 AND year IS NOT NULL) AS deleted,
+(SELECT count(*) FROM d WHERE id % 6 = 0) AS replaced FROM s""",
+)
+def _(spark, sf):
+    base = papers(spark, sf).select("id", "status", "domain", "year")
+    stored = tables.StoredTable(spark, dropped_at_exit(spark, shared_path(spark, "papers")))
+    stored.create(base)
+    updated = stored.update((F.col("domain") != "energy") & (F.col("status") == "pending"), status=F.lit("completed"))
+    deleted = stored.delete((F.col("id") % 11 == 0) & F.col("year").isNotNull())
+    replaced, _ = stored.upsert(base.where("id % 6 = 0").withColumn("status", F.lit("again")))
+    return stored.rows().select("id", "status", *(F.lit(n).cast("long").alias(name) for name, n in (("updated", updated), ("deleted", deleted), ("replaced", replaced))))
+
+
 @register("dml03_patch", L + "SELECT id, CASE WHEN id % 10 = 0 THEN 'New ' || id ELSE title END AS title, CASE WHEN id % 10 = 0 AND id % 20 <> 0 THEN 'n' ELSE notes END AS notes FROM papers")
 def _(spark, sf):
     base = papers(spark, sf).select("id", "title", "notes")
