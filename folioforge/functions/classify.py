@@ -1,4 +1,4 @@
-"""Keyword classification. Keywords become literal expressions: one scan, no join, no shuffle."""
+"""Keyword classification in one scan, without join or shuffle: a topic's keywords by one pass of an automaton, others as literal expressions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions.keywords import keyword_counts
 from folioforge.functions.text import keyword_hits
 from folioforge.functions.vocabulary import MERMAID_WORDS, PICTURE_KINDS, PICTURE_WORDS, RENDERERS, ROUTER_WORDS, TOPIC_AGENTS, TOPIC_WORDS
 
@@ -25,8 +26,8 @@ def _best(scores: dict[str, Column], default: str) -> Column:
 
 def classify_topic(docs: DataFrame, text: str = "text", topics: dict[str, list[str]] = TOPIC_WORDS) -> DataFrame:
     """``docs`` with domain and agent: substring hits, each keyword once; nothing found is general."""
-    named = docs.select("*", F.struct(*(keyword_hits(F.col(text), words).alias(d) for d, words in topics.items())).alias("_s"))
-    named = named.withColumn("domain", _best({d: F.col(f"_s.{d}") for d in topics}, "general")).drop("_s")
+    named = docs.withColumn("_s", keyword_counts(topics)(F.col(text)))
+    named = named.withColumn("domain", _best({d: F.col("_s")[i] for i, d in enumerate(topics)}, "general")).drop("_s")
     agents = F.create_map(*(F.lit(x) for pair in TOPIC_AGENTS.items() for x in pair))
     return named.withColumn("agent", F.coalesce(agents[F.col("domain")], F.lit(TOPIC_AGENTS["general"])))
 

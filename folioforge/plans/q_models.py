@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioforge.functions import hints
 from folioforge.functions import model_json as mj
+from folioforge.plans.library import LIBRARY_SQL, papers
 from folioforge.plans.registry import register
 from folioforge.session import table
 
@@ -81,3 +83,24 @@ def _(spark, sf):
     first = captions.groupBy("l_orderkey", "label").agg(F.min("l_linenumber").alias("line"))
     wanted = table(spark, sf, "orders").select("o_orderkey", F.upper("o_orderstatus").alias("status"))
     return wanted.join(first, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("label") == F.col("status"))).select("o_orderkey", "line")
+
+
+_HINTS_SQL = "CASE " + " ".join("WHEN domain IN (" + ", ".join(f"'{n}'" for n in names) + ") THEN '" + hints.HINT_HEAD.format(title) + p + "'" for names, (title, p) in hints.DOMAIN_PARAMETERS.items()) + f" ELSE '{hints.ANY_HINT}' END"
+
+
+@register("udf11_domain_hints", LIBRARY_SQL + f"SELECT id, {_HINTS_SQL} AS hint FROM (SELECT id, CASE WHEN id % 7 = 0 THEN 'other' WHEN id % 5 = 0 THEN 'volt' ELSE domain END AS domain FROM papers)")
+def _(spark, sf):
+    domain = F.when(F.col("id") % 7 == 0, "other").when(F.col("id") % 5 == 0, "volt").otherwise(F.col("domain"))
+    return papers(spark, sf).select("id", hints.domain_hint(domain).alias("hint"))
+
+
+_DOMAINS = ["optics", "biology", "neural", "crystal", "energy", "quantum", "none"]
+_TAILS = ["", " Laser power and pulse duration", " cell viability: magnification", " Batch size, epochs", " the FWHM and film thickness", " Fill factor. bandgap", " error rate of detuning"]
+_NAMED_SQL = "CASE domain " + " ".join(f"WHEN '{d}' THEN [n[2] FOR n IN [" + ", ".join(f"['{w}', '{n}']" for w, n in hints.parameter_words(p).items()) + "] IF contains(lower(t), n[1])]" for d, (_, p) in zip(_DOMAINS, hints.DOMAIN_PARAMETERS.values())) + " ELSE [] END"
+
+
+@register("udf11_mentioned_parameters", f"SELECT doc_id, domain, array_to_string({_NAMED_SQL}, ', ') AS parameters FROM (SELECT doc_id, {_DOMAINS!r}[doc_id % 7 + 1] AS domain, text || {_TAILS!r}[doc_id // 7 % 7 + 1] AS t FROM documents)")
+def _(spark, sf):
+    nth = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    docs = table(spark, sf, "documents").select("doc_id", nth(_DOMAINS, F.col("doc_id") % 7).alias("domain"), F.concat("text", nth(_TAILS, F.floor(F.col("doc_id") / 7) % 7)).alias("text"))
+    return hints.mentioned_parameters(docs).select("doc_id", "domain", F.array_join("parameters", ", ").alias("parameters"))

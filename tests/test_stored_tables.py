@@ -35,5 +35,5 @@ def test_changes(spark, tmp_path):
     rows |= {1: (1, "up", 1), 999: (999, "up", 2), None: (None, "up", 3)}
     assert stored() == rows
     assert table.insert(spark.createDataFrame([(1000, "in", 0)], SCHEMA)) == 1
-    assert table.delete(F.lit(True)) == 204
+    assert table.delete(F.lit(True)) == 203
     assert not files()
