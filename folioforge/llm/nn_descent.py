@@ -9,7 +9,7 @@
    is, holds links only, is enlarged: it takes in further links up to ENLARGED neighbours. Rounds end when nearly all links
    of sampled vectors, which an audit compares with all vectors, are in the lists, and in the end in the counts.
    The sample grows until LINKED of its vectors have a link, or has QUERIES vectors or all. A round that is not the
-   last adds TABLES new sets of seeds; if MOST_ROUNDS are not enough, that is an error and no result.
+   last adds TABLES new sets of seeds; if MOST_ROUNDS are not enough, all vectors are compared in blocks (as in 5).
 4. Edges of at least the threshold are checked in double precision and make components.
 5. An enlarged list that is saturated again may miss links, also to other components, whose lists are then
    saturated too. The components with such a vector are cut into blocks, each with a centre and a radius; two blocks
@@ -297,12 +297,18 @@ def _count_block(dim: int):
     return run
 
 
-def enlarged(parts: DataFrame, degree: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, links, other) as of ``_count_block``, of all vectors in components with a saturated list."""
-    full = parts.join(degree.where(F.col("n") >= ENLARGED), "id").select("component").distinct()
-    sizes = parts.join(full, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    block = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    held = stash(parts.join(sizes, "component").withColumn("x", block).join(vectors, "id").select("component", "id", "v", "weight", "x"), "enlarged")
+def enlarged(parts: DataFrame, degree: DataFrame, vectors: DataFrame, dim: int, every: bool = False) -> DataFrame:
+    """(id, links, other) as of ``_count_block``, of all vectors in components with a saturated list, or of ``every`` vector."""
+    columns = ["component", "id", "v", "weight", "x"]
+    if every:
+        blocks = -(-vectors.count() // BLOCK)
+        whole = vectors.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        held = stash(whole.withColumn("x", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks)))).select(*columns), "enlarged")
+    else:
+        full = parts.join(degree.where(F.col("n") >= ENLARGED), "id").select("component").distinct()
+        sizes = parts.join(full, "component").groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        block = F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        held = stash(parts.join(sizes, "component").withColumn("x", block).join(vectors, "id").select(*columns), "enlarged")
     balls = stash(held.select("x", "v").groupBy("x").applyInArrow(_balls(dim), "x long, v array<double>, radius double"), "balls")
     tiles = max(1, -(-balls.count() // TILE))
     facing = balls.withColumn("tile", F.pmod(F.xxhash64("x"), F.lit(tiles)).cast("int")).withColumn("face", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
@@ -327,8 +333,11 @@ def _replaced(graph: DataFrame | None, edges: DataFrame, whole: bool = False) ->
     return after
 
 
-def counted(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(v, id, name, counted, n_links, component) of every vector; counted leaves its own copies out."""
+def counted(graph: DataFrame, vectors: DataFrame, dim: int, every: bool = False) -> DataFrame:
+    """(v, id, name, counted, n_links, component) of every vector; counted leaves its own copies out.
+
+    With ``every`` all vectors are compared in blocks, whatever the graph holds.
+    """
     near = graph.where(F.col("sim") >= THRESHOLD - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     x, y = (vectors.select(F.col("id").alias(i), F.col("v").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     links = stash(near.join(x, "a").join(y, "b").mapInArrow(_check(dim), "a long, b long"), "links")
@@ -337,9 +346,11 @@ def counted(graph: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     weights = vectors.select(F.col("id").alias("b"), "weight")
     degree = both.join(weights, "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"), F.count("*").alias("n"))
 
-    found = enlarged(parts, degree, vectors, dim)
+    found = enlarged(parts, degree, vectors, dim, every)
     sums = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("all_links"))
     met = stash(connected_components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))), "met")
+    if every:  # a vector without links in the graph is a component of its own
+        parts = vectors.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     parts = parts.join(met.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left").select("id", F.coalesce("root", "component").alias("component"))
 
     named = vectors.select("v", "id", "name", "weight").join(degree.select("id", "links"), "id", "left").join(sums, "id", "left").join(parts, "id", "left")
@@ -377,8 +388,11 @@ def near_duplicates(embeddings: DataFrame, key: str = "vec_id", vector: str = "e
                 log.append(recall)
             if recall >= ENOUGH:
                 break
-        if n == MOST_ROUNDS:
-            raise RuntimeError(f"{recall:.4f} of the sampled links found after {n} rounds, {ENOUGH} wanted")
+        if n == MOST_ROUNDS:  # the graph does not find them: all blocks are compared
+            named = counted(graph, vectors, dim, every=True)
+            if log is not None:
+                log.append(audit_counts(named, sample))
+            break
         if n >= LEAST_ROUNDS:
             graph = _replaced(graph, seeds(vectors, dim, n_parts, first + n))
         graph = _replaced(graph, refine(graph, vectors, dim, n_parts), whole=True)
