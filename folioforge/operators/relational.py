@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.schemas import ERROR_PHASE, SORTABLE
-from folioforge.session import dropped_at_exit, shared_path
+from folioforge.session import dropped_at_exit, shared_path, written
 
 # --- filters -------------------------------------------------------------------------------------------------
 
@@ -98,6 +98,17 @@ def insert_rows(base: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return base.unionByName(new.select(*base.columns))
 
 
+def numbered_in_order(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with numbers from 1 on in an order, without one global window: rows are dealt by ranges and written, and a
+    range's first number is the number of rows in the ranges before it."""
+    ranged = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_range").count()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row a partition
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_first") + place).drop("_range", "_first")
+
+
 def last_changes(changes: DataFrame, key: str, order: str | None) -> DataFrame:
     """One row a key: of several the last by ``order``, which is no field of the table.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import classify, diagrams, json_tools, phase_markdown, reports, sections, text
 from folioforge.functions.vocabulary import MERMAID_WORDS, PICTURE_WORDS, ROUTER_WORDS, TOPIC_WORDS
-from folioforge.operators import captions, geometry
+from folioforge.operators import captions, geometry, grids
 from folioforge.operators.relational import latest
 from folioforge.plans.library import LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
@@ -386,6 +386,20 @@ def _boxes(spark, sf):
 BOXES_SQL = "WITH RECURSIVE b AS (SELECT o_custkey AS doc_id, o_orderkey AS n, (o_orderkey * 37 % 500)::DOUBLE AS x0, (o_orderkey * 91 % 700)::DOUBLE AS y0 FROM orders), e AS (SELECT p.doc_id, p.n AS a, q.n AS b FROM b p JOIN b q ON p.doc_id = q.doc_id AND p.n <> q.n AND abs(p.x0 - q.x0) < 80 AND abs(p.y0 - q.y0) < 80)"
 
 
+@register(
+    "src09_cell_grids",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+p AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM l WHERE contains(line, '|')),
+c AS (SELECT doc_id, run, k, [trim(x, ' ') FOR x IN string_split(regexp_replace(trim(line, ' '), '^\\||\\|$', '', 'g'), '|')] AS cells FROM p WHERE NOT regexp_matches(line, '^\\s*\\|?\\s*:?-+:?\\s*(\\|\\s*:?-+:?\\s*)*\\|?\\s*$')),
+t AS (SELECT doc_id, min(k) AS first_line, count(*) AS n_rows, max(len(cells)) AS width, string_agg(array_to_string(cells, ' / ') || repeat(' / ', 0), chr(10) ORDER BY k) AS body FROM c GROUP BY doc_id, run HAVING count(*) >= 2 AND max(len(cells)) > 1)
+SELECT doc_id, 'table_' || row_number() OVER (ORDER BY doc_id, first_line) AS table_id, first_line::INT AS first_line, n_rows::INT AS n_rows, width::INT AS width, body FROM t""",
+)
+def _(spark, sf):
+    found = grids.text_grids(table(spark, sf, DOCS))
+    body = F.array_join(F.transform("grid", lambda r: F.array_join(r, " / ")), "\n")  # nulls of short rows are left out
+    return found.select("doc_id", "table_id", "first_line", F.size("grid").alias("n_rows"), F.size(F.col("grid")[0]).alias("width"), body.alias("body"))
+
+
 @register("jon11_touching_boxes", BOXES_SQL + " SELECT doc_id, a::INT AS a, b::INT AS b FROM e WHERE a < b")
 def _(spark, sf):
     return geometry.touching(_boxes(spark, sf)).select("doc_id", "a", "b")
