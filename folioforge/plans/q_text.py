@@ -56,10 +56,18 @@ def _(spark, sf):
     return _papers_text(spark, sf).select("doc_id", text.journal(F.col("text")).alias("journal"))
 
 
-@register("txt06_authors", "SELECT * FROM (VALUES (1, 'Ada Lovelace|Alan M. Turing'), (2, '')) t(doc_id, authors)")
+_FIRST, _LAST = ["Ada", "Alan", "Grace"], ["Lovelace", "Turing", "Hopper", "Noether"]
+
+
+def _nth(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+
+
+@register("txt06_authors", f"SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 > 0 THEN {_FIRST}[c_custkey % 3 + 1] || ' ' || {_LAST}[c_custkey % 4 + 1] || '|Emmy M. Nash' ELSE '' END AS authors FROM customer")
 def _(spark, sf):
-    docs = spark.createDataFrame([(1, "A title of words\nAda Lovelace, Alan M. Turing\nAda Lovelace\nAbstract\nGrace Hopper"), (2, "nothing here")], "doc_id int, text string")
-    return docs.select("doc_id", F.array_join(text.authors(F.col("text")), "|").alias("authors"))
+    name = F.concat(_nth(_FIRST, F.col("c_custkey") % 3), F.lit(" "), _nth(_LAST, F.col("c_custkey") % 4))
+    page = F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("A title of words\n"), name, F.lit(", Emmy M. Nash\n"), name, F.lit("\nAbstract\nJohn Backus"))).otherwise("nothing here")
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_join(text.authors(page), "|").alias("authors"))
 
 
 SECTIONED = "'front' || chr(10) || 'Abstract' || chr(10) || {a} || chr(10) || 'Introduction' || chr(10) || {b} || chr(10) || 'Results and Discussion' || chr(10) || {c} || chr(10) || 'Conclusions' || chr(10) || {d}"
@@ -94,10 +102,10 @@ def _(spark, sf):
     return sections.by_headings(docs).select("doc_id", "section", "text")
 
 
-@register("txt15_section_names", "SELECT * FROM (VALUES (1, 'intro_stuff'), (2, 'method'), (3, 'gap_study'), (4, 'summary_of_x')) t(id, name)")
+@register("txt15_section_names", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'intro_' || lower(replace(n_name, ' ', '_')) WHEN 1 THEN 'method' ELSE 'summary_of_' || lower(replace(n_name, ' ', '_')) END AS name FROM nation")
 def _(spark, sf):
-    names = spark.createDataFrame([(1, "Intro Stuff"), (2, "2.1 Experimental Procedure"), (3, "IV. Gap-Study!"), (4, "(3) Summary-of x")], "id int, h string")
-    return names.select("id", sections.snake_name(F.col("h"), {k: v for k, v in sections.SECTION_PATTERNS.items() if k == "method"}).alias("name"))
+    heading = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("IV. Intro "), "n_name", F.lit("!"))).when(F.col("n_nationkey") % 3 == 1, "2.1 Experimental Procedure").otherwise(F.concat(F.lit("(3) Summary-of "), "n_name"))
+    return table(spark, sf, "nation").select("n_nationkey", sections.snake_name(heading, {k: v for k, v in sections.SECTION_PATTERNS.items() if k == "method"}).alias("name"))
 
 
 @register("txt16_whole_text_fallback", "SELECT doc_id, 'full_text' AS section, length(text) AS n FROM documents WHERE NOT contains(text, chr(10))")
@@ -166,17 +174,21 @@ def _(spark, sf):
     return classify.classify_topic(_topic_text(spark, sf)).select("doc_id", "domain", "agent")
 
 
-@register("txt28_weighted_topic", "SELECT * FROM (VALUES (1, 'optics', 0.6::DOUBLE), (2, 'unknown', 0.0::DOUBLE), (3, 'ai_ml', 1.0::DOUBLE), (4, 'ee', 0.4::DOUBLE)) t(doc_id, domain, confidence)")
+@register("txt28_weighted_topic", "SELECT o_orderkey AS doc_id, ['optics', 'unknown', 'ai_ml', 'ee'][(o_orderkey % 4 + 1)::INT] AS domain, [0.6, 0.0, 1.0, 0.4][(o_orderkey % 4 + 1)::INT]::DOUBLE AS confidence FROM orders")
 def _(spark, sf):
-    docs = spark.createDataFrame([(1, "Laser beam", "laser optics"), (2, "Excellent work", "of cells"), (3, "A neural network", "Deep learning with dropout, softmax and a transformer; the laser"), (4, "On things", "a transistor")], "doc_id int, title string, abstract string")
+    kind = F.col("o_orderkey") % 4
+    docs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), _nth(["Laser beam", "Excellent work", "A neural network", "On things"], kind).alias("title"), _nth(["laser optics", "of cells", "Deep learning with dropout, softmax and a transformer; the laser", "a transistor"], kind).alias("abstract"))
     return classify.classify_weighted(docs).select("doc_id", "domain", "confidence")
 
 
-@register("txt29_routing_decision", "SELECT * FROM (VALUES (1, 'bio', 0.85::DOUBLE, 'semantic', false), (2, 'ee', 0.68::DOUBLE, 'semantic', true), (3, 'optics', 0.9::DOUBLE, 'keyword', false), (4, 'optics', 0.6::DOUBLE, 'keyword', true), (5, 'unknown', 0.0::DOUBLE, 'keyword', true)) t(id, domain, confidence, method, needs_confirmation)")
+@register(
+    "txt29_routing_decision",
+    "SELECT o_orderkey AS id, ['bio', 'ee', 'optics', 'optics', 'unknown'][k] AS domain, [0.85, 0.68, 0.9, 0.6, 0.0][k]::DOUBLE AS confidence, ['semantic', 'semantic', 'keyword', 'keyword', 'keyword'][k] AS method, [false, true, false, true, true][k] AS needs_confirmation FROM (SELECT o_orderkey, (o_orderkey % 5 + 1)::INT AS k FROM orders)",
+)
 def _(spark, sf):
-    rows = [(1, "bio", 0.6, 0.5, "bio", 0.8), (2, "bio", 0.4, 0.5, "ee", 0.8), (3, "optics", 0.9, 0.5, "bio", 0.99), (4, "optics", 0.6, 0.3, "ee", 0.5), (5, "unknown", 0.0, 0.0, "ee", 0.0)]
-    df = spark.createDataFrame(rows, "id int, k string, kc double, gap double, s string, sc double")
-    return df.select("id", classify.decide(*(F.col(c) for c in ("k", "kc", "gap", "s", "sc"))).alias("d")).select("id", "d.*")
+    kind = F.col("o_orderkey") % 5
+    answers = [["bio", "bio", "optics", "optics", "unknown"], [0.6, 0.4, 0.9, 0.6, 0.0], [0.5, 0.5, 0.5, 0.3, 0.0], ["bio", "ee", "bio", "ee", "ee"], [0.8, 0.8, 0.99, 0.5, 0.0]]
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), classify.decide(*(_nth(a, kind) for a in answers)).alias("d")).select("id", "d.*")
 
 
 @register("agg29_domain_catalogue", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', {len(a) + len(b)})" for d, (a, b) in ROUTER_WORDS.items()) + ") t(domain, keyword_count)")
@@ -184,11 +196,11 @@ def _(spark, sf):
     return classify.domain_sizes(spark)
 
 
-@register("txt33_fences", "SELECT * FROM (VALUES (1, '{\"a\": 1}'), (2, '{\"a\":1}'), (3, 'plain'), (4, 'graph LR')) t(id, body)")
+@register("txt33_fences", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '{\"a\":' || o_custkey || '}' WHEN 1 THEN '{\"a\": ' || o_custkey || '}' WHEN 2 THEN 'plain ' || o_custkey ELSE 'graph LR ' || o_custkey END AS body FROM orders")
 def _(spark, sf):
-    rows = [(1, '{"a": 1}'), (2, '```json\n{"a":1}\n```'), (3, " plain "), (4, "text\n```mermaid\ngraph LR\n```\nmore")]
-    df = spark.createDataFrame(rows, "id int, t string")
-    return df.select("id", F.when(F.col("id") == 4, json_tools.fenced(F.col("t"), "mermaid")).otherwise(json_tools.without_fence(F.col("t"))).alias("body"))
+    key, kind = F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    body = F.when(kind == 0, F.concat(F.lit('```json\n{"a":'), key, F.lit("}\n```"))).when(kind == 1, F.concat(F.lit('{"a": '), key, F.lit("}"))).when(kind == 2, F.concat(F.lit(" plain "), key, F.lit(" "))).otherwise(F.concat(F.lit("text\n```mermaid\ngraph LR "), key, F.lit("\n```\nmore")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.when(kind == 3, json_tools.fenced(body, "mermaid")).otherwise(json_tools.without_fence(body)).alias("body"))
 
 
 @register("txt35_node_ids", "SELECT doc_id, CASE WHEN c = '' THEN 'X' WHEN regexp_matches(c, '^[0-9]') THEN 'N' || c ELSE c END AS node, translate(h, '\";#', ''',') AS label FROM (SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9_]', '_', 'g') AS c, text AS h FROM documents)")
@@ -203,10 +215,10 @@ def _(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), diagrams.node_colour(label).alias("colour"))
 
 
-@register("txt37_word_wrap", "SELECT * FROM (VALUES (1, 'aa bb|cccccc|d'), (2, '')) t(id, lines)")
+@register("txt37_word_wrap", "SELECT c_custkey AS id, 'aa bb|' || lpad((c_custkey % 100000)::VARCHAR, 6, 'c') || '|d' AS lines FROM customer")
 def _(spark, sf):
-    df = spark.createDataFrame([(1, "aa bb cccccc d"), (2, "")], "id int, t string")
-    return df.select("id", F.array_join(text.wrapped(F.col("t"), 48), "|").alias("lines"))
+    words = F.concat(F.lit("aa bb "), F.lpad((F.col("c_custkey") % 100000).cast("string"), 6, "c"), F.lit(" d"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(text.wrapped(words, 48), "|").alias("lines"))
 
 
 @register("txt38_short_labels", "SELECT doc_id, CASE WHEN length(text) > 60 THEN text[1:57] || '...' ELSE text END AS label FROM documents")
@@ -219,9 +231,9 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.file_name(F.col("url")).alias("name"))
 
 
-@register("txt40_pretty_keys", "SELECT * FROM (VALUES ('cost_usd', 'Cost Usd'), ('by_MODEL', 'By Model')) t(key, pretty)")
+@register("txt40_pretty_keys", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'Cost Usd ' || p_size ELSE 'By Model ' || p_size END AS pretty FROM part")
 def _(spark, sf):
-    return spark.createDataFrame([("cost_usd",), ("by_MODEL",)], "key string").select("key", text.pretty_key(F.col("key")).alias("pretty"))
+    return table(spark, sf, "part").select("p_partkey", text.pretty_key(F.concat(F.when(F.col("p_size") % 2 == 0, "cost_usd_").otherwise("by_MODEL_"), F.col("p_size").cast("string"))).alias("pretty"))
 
 
 @register("src07_pages_joined", "SELECT conv_id AS doc_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -248,11 +260,12 @@ def _(spark, sf):
     return results(spark, sf).select("id", json_tools.field(F.col("result"), "relevance_score", "relevance", default="0").alias("relevance"))
 
 
-@register("jsn08_list_salvage", "SELECT * FROM (VALUES (1, 2), (2, 1), (3, 2), (4, 1), (5, NULL)) t(id, n)")
+@register("jsn08_list_salvage", "SELECT o_orderkey AS id, [2, 1, 2, 1, NULL][(o_orderkey % 5 + 1)::INT] AS n FROM orders")
 def _(spark, sf):
-    rows = [(1, '[{"title":"a"},{"title":"b"}]'), (2, '{"visualizations":[{"title":"a"}]}'), (3, 'so: [{"title":"a"},{"title":"b"}] done'), (4, '{"title":"a"}'), (5, "none")]
+    answers = ['[{"title":"%"},{"title":"b"}]', '{"visualizations":[{"title":"%"}]}', 'so: [{"title":"%"},{"title":"b"}] done', '{"title":"%"}', "none %"]
+    answer = F.replace(_nth(answers, F.col("o_orderkey") % 5), F.lit("%"), F.col("o_orderpriority"))
     found = json_tools.list_of(F.col("t"), "struct<title:string>")
-    return spark.createDataFrame(rows, "id int, t string").select("id", F.when(found.isNotNull(), F.size(found)).alias("n"))
+    return table(spark, sf, "orders").select("o_orderkey", answer.alias("t")).select(F.col("o_orderkey").alias("id"), F.when(found.isNotNull(), F.size(found)).alias("n"))
 
 
 @register("jsn_event_props", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
@@ -270,10 +283,10 @@ def _(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), geometry.quality(F.col("p_size") * 20, F.col("p_retailprice") - 600).alias("quality"))
 
 
-@register("rpt09_synonyms", "SELECT * FROM (VALUES ('[GREEN]', 'EXPLICIT', '[GREEN]'), ('estimated', 'INFERRED', 'estimated'), ('good', 'good', 'Good'), ('other', 'other', 'other')) t(word, status, quality)")
+@register("rpt09_synonyms", "SELECT o_orderkey, w[1] AS word, w[2] AS status, w[3] AS quality FROM (SELECT o_orderkey, [['[GREEN]', 'EXPLICIT', '[GREEN]'], ['estimated', 'INFERRED', 'estimated'], ['good', 'good', 'Good'], [o_orderpriority, o_orderpriority, o_orderpriority]][(o_orderkey % 4 + 1)::INT] AS w FROM orders)")
 def _(spark, sf):
-    df = spark.createDataFrame([("[GREEN]",), ("estimated",), ("good",), ("other",)], "word string")
-    return df.select("word", reports.status_name(F.col("word")).alias("status"), reports.quality_name(F.col("word")).alias("quality"))
+    df = table(spark, sf, "orders").select("o_orderkey", F.coalesce(_nth(["[GREEN]", "estimated", "good", None], F.col("o_orderkey") % 4), "o_orderpriority").alias("word"))
+    return df.select("o_orderkey", "word", reports.status_name(F.col("word")).alias("status"), reports.quality_name(F.col("word")).alias("quality"))
 
 
 _SUMMARY = "json_extract_string(result, '$.summary')"
@@ -313,12 +326,13 @@ def _(spark, sf):
 RECIPE = '{"materials":["m1","m2"],"equipment":["e1"],"parameters":[{"name":"T","value":"5","unit":"K","notes":"a,b"}],"steps":["s1"],"critical_notes":[]}'
 
 
-@register("snk02_recipe_csv", "SELECT * FROM (VALUES ('Material,1,m1'), ('Material,2,m2'), ('Equipment,1,e1'), ('Parameter,T,\"5 K (a,b)\"'), ('Step,1,s1')) t(line)")
+@register("snk02_recipe_csv", "SELECT p_partkey, unnest(['Material,1,' || p_brand, 'Material,2,m2', 'Equipment,1,e1', 'Parameter,T,\"' || p_size || ' K (a,b)\"', 'Step,1,s1']) AS line FROM part")
 def _(spark, sf):
     from folioforge.schemas import RECIPE as schema
 
-    recipes = spark.createDataFrame([(1, RECIPE)], "paper_id int, t string").select("paper_id", F.from_json("t", schema).alias("recipe"))
-    return reports.recipe_rows(recipes).select(reports.csv_line(F.col("section"), F.col("name"), F.col("value")).alias("line"))
+    filled = F.replace(F.replace(F.lit(RECIPE), F.lit('"m1"'), F.concat(F.lit('"'), "p_brand", F.lit('"'))), F.lit('"5"'), F.concat(F.lit('"'), F.col("p_size").cast("string"), F.lit('"')))
+    recipes = table(spark, sf, "part").select("p_partkey", F.from_json(filled, schema).alias("recipe"))
+    return reports.recipe_rows(recipes, "p_partkey").select("p_partkey", reports.csv_line(F.col("section"), F.col("name"), F.col("value")).alias("line"))
 
 
 @register("arr02_steps_exploded", "SELECT doc_id, unnest(string_split(text, chr(10))) AS step, generate_subscripts(string_split(text, chr(10)), 1)::INT AS n FROM documents")
@@ -327,10 +341,10 @@ def _(spark, sf):
     return steps.select("doc_id", "step", (F.col("i") + 1).alias("n"))
 
 
-@register("viz01_renderer", "SELECT * FROM (VALUES (1, 'mermaid'), (2, 'paperbanana'), (3, 'mermaid'), (4, 'paperbanana')) t(id, target)")
+@register("viz01_renderer", "SELECT o_orderkey AS id, ['mermaid', 'paperbanana', 'mermaid', 'paperbanana'][(o_orderkey % 4 + 1)::INT] AS target FROM orders")
 def _(spark, sf):
-    rows = [(1, "timeline", "photo of bench"), (2, "", "photo of bench setup"), (3, "", ""), (4, "physical_setup", "protocol step")]
-    return spark.createDataFrame(rows, "id int, c string, d string").select("id", classify.renderer(F.col("c"), F.col("d")).alias("target"))
+    kind = F.col("o_orderkey") % 4
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), classify.renderer(_nth(["timeline", "", "", "physical_setup"], kind), _nth(["photo of bench", "photo of bench setup", "", "protocol step"], kind)).alias("target"))
 
 
 @register("viz01_renderer_of_texts", f"SELECT doc_id, CASE WHEN b > a THEN 'paperbanana' ELSE 'mermaid' END AS target FROM (SELECT doc_id, {' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::INT' for w in MERMAID_WORDS)} AS a, {' + '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})::INT' for w in PICTURE_WORDS)} AS b FROM documents)")
@@ -345,11 +359,12 @@ def _(spark, sf):
     return held.select("doc_id", F.size("n").alias("n_nodes"), F.get("n", F.lit(0))["id"].alias("first_id"), F.size(diagrams.chain(F.col("n"))).alias("n_edges"))
 
 
-@register("viz05_flowchart", "SELECT 1 AS id, 'graph LR' || chr(10) || '    A[laser]' || chr(10) || '    N1_x[b]' || chr(10) || '    A --> N1_x' || chr(10) || chr(10) || '    style A fill:#e1f5fe' || chr(10) || '    style N1_x fill:#f5f5f5' AS mermaid")
+@register("viz05_flowchart", "SELECT n_nationkey AS id, 'graph LR' || chr(10) || '    A[laser]' || chr(10) || '    N1_x[b' || n_nationkey || ']' || chr(10) || '    A --> N1_x' || chr(10) || chr(10) || '    style A fill:#e1f5fe' || chr(10) || '    style N1_x fill:#f5f5f5' AS mermaid FROM nation")
 def _(spark, sf):
-    df = spark.createDataFrame([(1, [("A", "laser"), ("1-x", "b")])], "id int, nodes array<struct<id:string,label:string>>")
+    node = lambda i, label: F.struct(F.lit(i).alias("id"), label.alias("label"))
+    nodes = F.array(node("A", F.lit("laser")), node("1-x", F.concat(F.lit("b"), F.col("n_nationkey").cast("string"))))
     none = F.array().cast("array<struct<source:string,target:string,label:string>>")
-    return df.select("id", diagrams.flowchart(F.col("nodes"), none).alias("mermaid"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), diagrams.flowchart(nodes, none).alias("mermaid"))
 
 
 @register("viz08_letter_ids", "SELECT n_nationkey AS i, CASE WHEN n_nationkey + 3 < 26 THEN chr(65 + n_nationkey + 3) ELSE 'N' || (n_nationkey + 3) END AS id FROM nation")
@@ -357,22 +372,25 @@ def _(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), diagrams.letter_id(F.col("n_nationkey") + 3).alias("id"))
 
 
-@register("txt07_caption_definitions", "SELECT * FROM (VALUES (1, 2, 1, 'Setup of laser'), (1, 2, 2, 'A long caption line')) t(doc_id, page_no, fig_num, caption)")
+@register("txt07_caption_definitions", "SELECT c_custkey AS doc_id, 2 AS page_no, n AS fig_num, CASE n WHEN 1 THEN 'Setup of ' || c_mktsegment ELSE 'A long caption ' || c_custkey END AS caption FROM customer, (VALUES (1), (2)) v(n)")
 def _(spark, sf):
-    pages = spark.createDataFrame([(1, 1, "see Fig. 1 for"), (1, 2, "x\nFig. 1. Setup of laser\nFigure 2:\nA long caption line\nFig. 1: again and again")], "doc_id long, page_no int, text string")
-    return captions.definitions(pages)
+    first = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page_no"), F.lit("see Fig. 1 for").alias("text"))
+    body = F.concat(F.lit("x\nFig. 1. Setup of "), "c_mktsegment", F.lit("\nFigure 2:\nA long caption "), F.col("c_custkey").cast("string"), F.lit("\nFig. 1: again and again"))
+    return captions.definitions(first.union(table(spark, sf, "customer").select("c_custkey", F.lit(2), body)))
 
 
-@register("txt10_structured_caption", "SELECT 'Setup' AS title, 'A=Laser|B=Detector' AS parts")
+@register("txt10_structured_caption", "SELECT p_partkey, 'Setup' AS title, 'A=' || p_type || '|B=Detector ' || p_size AS parts FROM part")
 def _(spark, sf):
-    df = spark.createDataFrame([("Setup. (A) Laser. (B) Detector;",)], "c string").select(captions.structured(F.col("c")).alias("s"))
-    return df.select("s.title", F.array_join(F.transform("s.sub_captions", lambda x: F.concat(x["label"], F.lit("="), x["text"])), "|").alias("parts"))
+    caption = F.concat(F.lit("Setup. (A) "), "p_type", F.lit(". (B) Detector "), F.col("p_size").cast("string"), F.lit(";"))
+    df = table(spark, sf, "part").select("p_partkey", captions.structured(caption).alias("s"))
+    return df.select("p_partkey", "s.title", F.array_join(F.transform("s.sub_captions", lambda x: F.concat(x["label"], F.lit("="), x["text"])), "|").alias("parts"))
 
 
-@register("jon05_captions_near_pages", "SELECT * FROM (VALUES (1, 'p2_fig1', 'Fig. 1. a'), (1, 'p2_fig2', 'Fig. 2. b')) t(doc_id, figure_num, caption)")
+@register("jon05_captions_near_pages", "SELECT c_custkey AS doc_id, 'p2_fig1' AS figure_num, 'Fig. 1. ' || c_mktsegment AS caption FROM customer UNION ALL SELECT c_custkey, 'p2_fig2', 'Fig. 2. b' FROM customer WHERE c_custkey % 2 = 1")
 def _(spark, sf):
-    figures = spark.createDataFrame([(1, 1, "p2_fig1"), (1, 2, "p2_fig2"), (2, 1, "p5_fig1")], "doc_id long, seq int, figure_num string")
-    found = spark.createDataFrame([(1, 2, 1, "a"), (1, 3, 2, "b"), (2, 3, 1, "c")], "doc_id long, page_no int, fig_num int, caption string")
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
+    figures = rows.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("seq"), F.lit(f"p2_fig{n}").alias("figure_num")) for n in (1, 2)))).alias("f")).select("doc_id", "f.*")
+    found = rows.select("doc_id", F.lit(2).alias("page_no"), F.lit(1).alias("fig_num"), F.col("c_mktsegment").alias("caption")).union(rows.where("doc_id % 2 = 1").select("doc_id", F.lit(3), F.lit(2), F.lit("b")))
     return captions.match_near_pages(figures, found)
 
 
@@ -423,9 +441,10 @@ def _(spark, sf):
     return both.select(F.col("x.rect_no").alias("a"), F.col("y.rect_no").alias("b"), F.round(geometry.distance(four("x"), four("y")), 6).alias("d"))
 
 
-@register("geo07_absolute_boxes", "SELECT * FROM (VALUES (1, 100, 0, 200, 100)) t(id, x0, y0, x1, y1)")
+@register("geo07_absolute_boxes", "WITH b AS (SELECT o_orderkey AS id, (o_orderkey % 10) / 10::DOUBLE AS x0, (o_orderkey % 7) / 10::DOUBLE AS y0, (o_orderkey % 13) / 10::DOUBLE AS x1, 1::DOUBLE AS y1 FROM orders), p AS (SELECT id, least(trunc(x0 * 200), 200)::INT AS x0, least(trunc(y0 * 100), 100)::INT AS y0, least(trunc(x1 * 200), 200)::INT AS x1, least(trunc(y1 * 100), 100)::INT AS y1 FROM b) SELECT * FROM p WHERE x1 > x0 AND y1 > y0")
 def _(spark, sf):
-    df = spark.createDataFrame([(1, 0.5, 0.0, 1.2, 1.0), (2, 0.3, 0.3, 0.3, 0.9)], "id int, x0 double, y0 double, x1 double, y1 double")
+    tenth = lambda n: (F.col("o_orderkey") % n) / F.lit(10.0)
+    df = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), tenth(10).alias("x0"), tenth(7).alias("y0"), tenth(13).alias("x1"), F.lit(1.0).alias("y1"))
     return geometry.absolute(df, F.lit(200), F.lit(100))
 
 
