@@ -123,3 +123,17 @@ def with_references(figures: DataFrame, refs: DataFrame) -> DataFrame:
 def filled_structure(caption: Column, stored: Column) -> Column:
     """The stored structure, else that of the caption; null without a caption."""
     return F.coalesce(stored, F.when(F.coalesce(caption, F.lit("")) != "", structured(caption)))
+
+
+def backfilled(figures: DataFrame, pages: DataFrame) -> DataFrame:
+    """``figures`` (doc_id, number, caption) with empty captions filled from the captions that the pages define; ``filled`` marks them."""
+    found = definitions(pages).select("doc_id", F.col("fig_num").alias("number"), F.col("caption").alias("_found"))
+    both = figures.join(found, ["doc_id", "number"], "left")
+    empty = F.coalesce("caption", F.lit("")) == ""
+    return both.select("doc_id", "number", F.when(empty, F.coalesce("_found", F.lit(""))).otherwise(F.col("caption")).alias("caption"), (empty & F.col("_found").isNotNull()).alias("filled"))
+
+
+def sub_captions(wanted: DataFrame, parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, label, text) of the parts (key, pos, label, text) whose labels are wanted (key, label), whatever their case: of several the first."""
+    first = parts.groupBy(key, F.upper("label").alias("label")).agg(F.min_by("text", "pos").alias("text"))
+    return wanted.select(key, F.upper("label").alias("label")).join(first, [key, "label"])

@@ -8,7 +8,7 @@ from folioforge.functions.json_tools import is_error_result, parse_tags
 from folioforge.operators import relational as rel
 from folioforge.plans.library import LIBRARY_SQL, papers, results
 from folioforge.plans.registry import register
-from folioforge.schemas import DEFAULT_SETTINGS, MAIN_PHASES
+from folioforge.schemas import MAIN_PHASES
 from folioforge.session import dropped_at_exit, shared_path, table
 from folioforge.sources import tables
 
@@ -39,11 +39,14 @@ def _(spark, sf):
     return figures.where("paper_id < 40").orderBy("paper_id", "figure_num")
 
 
-@register("src12_settings_with_defaults", "SELECT k AS key, coalesce(s, d) AS value FROM (VALUES ('language', 'en', NULL), ('theme', 'light', 'dark'), ('auto_analyze', 'true', NULL), ('monthly_budget_limit', '50.0', '75.5')) t(k, d, s)")
+def _settings(spark, sf, value: str, where: str = "true"):
+    """Nations as settings."""
+    return table(spark, sf, "nation").where(where).select(F.col("n_name").alias("key"), F.lit(value).alias("value"))
+
+
+@register("src12_settings_with_defaults", "SELECT n_name AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'stored' ELSE 'default' END AS value FROM nation")
 def _(spark, sf):
-    stored = spark.createDataFrame([("theme", "dark"), ("monthly_budget_limit", "75.5")], "key string, value string")
-    defaults = spark.createDataFrame(list(DEFAULT_SETTINGS.items()), "key string, value string")
-    return rel.fill_missing(stored, defaults, "key")
+    return rel.fill_missing(_settings(spark, sf, "stored", "n_nationkey % 2 = 0"), _settings(spark, sf, "default"), "key")
 
 
 @register("src16_paper_with_tags", L + f"SELECT id, array_to_string({TAGS_SQL}, '|') AS tags FROM papers")
@@ -213,16 +216,15 @@ def _(spark, sf):
     return one("papers").union(one("results"))
 
 
-@register("dml05_upsert_settings", "SELECT * FROM (VALUES ('theme', 'dark'), ('language', 'en'), ('extra', '1')) t(key, value)")
+@register("dml05_upsert_settings", "SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN 'new' ELSE 'old' END AS value FROM nation UNION ALL SELECT 'region ' || r_name, '1' FROM region")
 def _(spark, sf):
-    base = spark.createDataFrame([("theme", "light"), ("language", "en")], "key string, value string")
-    return rel.upsert(base, spark.createDataFrame([("theme", "dark"), ("extra", "1")], "key string, value string"), "key")
+    regions = table(spark, sf, "region").select(F.concat(F.lit("region "), "r_name").alias("key"), F.lit("1").alias("value"))
+    return rel.upsert(_settings(spark, sf, "old"), _settings(spark, sf, "new", "n_nationkey % 3 = 0").union(regions), "key")
 
 
-@register("dml06_insert_if_missing", "SELECT * FROM (VALUES ('theme', 'dark'), ('language', 'en'), ('auto_analyze', 'true'), ('monthly_budget_limit', '50.0')) t(key, value)")
+@register("dml06_insert_if_missing", "SELECT n_name AS key, CASE WHEN n_nationkey % 4 = 0 THEN 'mine' WHEN n_nationkey % 4 < 3 THEN 'default' END AS value FROM nation WHERE n_nationkey % 4 < 3")
 def _(spark, sf):
-    base = spark.createDataFrame([("theme", "dark")], "key string, value string")
-    return rel.fill_missing(base, spark.createDataFrame(list(DEFAULT_SETTINGS.items()), "key string, value string"), "key")
+    return rel.fill_missing(_settings(spark, sf, "mine", "n_nationkey % 4 = 0"), _settings(spark, sf, "default", "n_nationkey % 4 < 3"), "key")
 
 
 @register("dml07_rerun_replaces", L + "SELECT paper_id, count(*) AS n FROM (SELECT paper_id FROM results WHERE paper_id % 5 <> 0 UNION ALL SELECT id FROM papers WHERE id % 5 = 0) GROUP BY paper_id")

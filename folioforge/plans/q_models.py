@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import hints
 from folioforge.functions import model_json as mj
+from folioforge.operators import captions
 from folioforge.plans.library import LIBRARY_SQL, papers
 from folioforge.plans.registry import register
 from folioforge.session import table
@@ -68,21 +69,22 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", mj.output_dir(F.lit(2024), F.concat_ws(" ", F.lit("Ada"), "source"), F.col("text")).alias("folder"))
 
 
-@register("dml08_caption_backfill", "SELECT p.p_partkey, CASE WHEN p.p_partkey % 2 = 0 THEN p.p_name ELSE coalesce(s.caption, '') END AS caption, p.p_partkey % 2 = 1 AND s.caption IS NOT NULL AS filled FROM part p LEFT JOIN (SELECT l_partkey, min(l_shipdate)::DATE::VARCHAR AS caption FROM lineitem GROUP BY l_partkey) s ON s.l_partkey = p.p_partkey")
+@register(
+    "dml08_caption_backfill",
+    "SELECT c_custkey AS doc_id, n AS number, CASE WHEN c_custkey % 3 = n - 1 THEN 'known' WHEN n = 3 THEN '' WHEN n = 1 THEN 'Setup of ' || c_mktsegment ELSE 'Result ' || c_custkey END AS caption, n < 3 AND c_custkey % 3 <> n - 1 AS filled FROM customer, (VALUES (1), (2), (3)) v(n)",
+)
 def _(spark, sf):
-    figures = table(spark, sf, "part").select(PART, F.when(F.col(PART) % 2 == 0, F.col("p_name")).otherwise("").alias("caption"))
-    found = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias(PART)).agg(F.min("l_shipdate").cast("date").cast("string").alias("_found"))
-    empty = F.coalesce("caption", F.lit("")) == ""
-    both = figures.join(found, PART, "left")
-    return both.select(PART, F.when(empty, F.coalesce("_found", F.lit(""))).otherwise(F.col("caption")).alias("caption"), (empty & F.col("_found").isNotNull()).alias("filled"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment")
+    page = F.concat(F.lit("x\nFig. 1. Setup of "), "c_mktsegment", F.lit("\nFigure 2:\nResult "), F.col("doc_id").cast("string"))
+    figures = rows.select("doc_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("number")).withColumn("caption", F.when(F.col("doc_id") % 3 == F.col("number") - 1, "known").otherwise(""))
+    return captions.backfilled(figures, rows.select("doc_id", F.lit(1).alias("page_no"), page.alias("text")))
 
 
-@register("jon10_subcaption_lookup", "SELECT o_orderkey, min_by(l_linenumber, l_linenumber) AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND upper(lower(l_returnflag)) = upper(o_orderstatus) GROUP BY o_orderkey")
+@register("jon10_subcaption_lookup", "SELECT o_orderkey, min(l_linenumber)::VARCHAR AS line FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = CASE WHEN o_orderkey % 2 = 0 THEN 'R' ELSE 'A' END GROUP BY o_orderkey")
 def _(spark, sf):
-    captions = table(spark, sf, "lineitem").select("l_orderkey", F.upper(F.lower("l_returnflag")).alias("label"), "l_linenumber")
-    first = captions.groupBy("l_orderkey", "label").agg(F.min("l_linenumber").alias("line"))
-    wanted = table(spark, sf, "orders").select("o_orderkey", F.upper("o_orderstatus").alias("status"))
-    return wanted.join(first, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("label") == F.col("status"))).select("o_orderkey", "line")
+    parts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("pos"), F.lower("l_returnflag").alias("label"), F.col("l_linenumber").cast("string").alias("text"))
+    wanted = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, "r").otherwise("A").alias("label"))
+    return captions.sub_captions(wanted, parts, "o_orderkey").select("o_orderkey", F.col("text").alias("line"))
 
 
 _HINTS_SQL = "CASE " + " ".join("WHEN domain IN (" + ", ".join(f"'{n}'" for n in names) + ") THEN '" + hints.HINT_HEAD.format(title) + p + "'" for names, (title, p) in hints.DOMAIN_PARAMETERS.items()) + f" ELSE '{hints.ANY_HINT}' END"
