@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, row_key, spread, stash, unstash
+from folioforge.llm.common import connected_components, row_key, spread, stash, unstash, while_writing
 from folioforge.llm.shingles import digests, mix, shingle_sets, slices
 
 PERCENT = 80
@@ -113,7 +113,9 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 def rarity(scanned: DataFrame) -> bytes:
     """The level of every cell: CELLS bytes."""
-    parts = scanned.where("part IS NOT NULL").select("part", "cells").repartition(CELL_ROWS, "part").mapInArrow(_add_parts, "part int, cells binary").collect()
+    parts = scanned.where("part IS NOT NULL").select("part", "cells").repartition(CELL_ROWS, "part").mapInArrow(_add_parts, "part int, cells binary")
+    with while_writing(scanned.sparkSession):
+        parts = parts.collect()
     levels = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.uint8)
     for row in parts:
         levels[row.part] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
@@ -262,42 +264,53 @@ def _unpack(data: bytes) -> np.ndarray:
 MET = "token long, sig long, n int, pos int, a long, b long"
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the buckets in this partition: the postings of shared tokens, and the first round's pairs."""
-    sent, held = [], []
-    for batch in batches:
-        for whole, data in zip(batch.column("whole").to_pylist(), batch.column("data").to_pylist()):
-            (held if whole else sent).append(_unpack(data))
-    if not sent and not held:
-        return
+def _met(p: np.ndarray, ab: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of MET: pairs ``ab`` if given, else postings."""
     names = ["token", "sig", "n", "pos", "a", "b"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    n = len(p) if ab is None else len(ab)
+    for i in range(0, n, 50_000):
+        k = min(50_000, n - i)
+        if ab is None:
+            q = p[i : i + k]
+            columns = [q["token"].astype(np.int64), q["sig"].astype(np.int64), q["n"].astype(np.int32), q["pos"].astype(np.int32)]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)] + [pa.nulls(k, pa.int64())] * 2
+        else:
+            arrays = [pa.nulls(k, t) for t in kinds[:4]] + [pa.array(np.ascontiguousarray(ab[i : i + k, j]), pa.int64()) for j in (0, 1)]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: the postings of shared tokens, and the first round's pairs.
 
-    def rows(p: np.ndarray, ab: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        n = len(p) if ab is None else len(ab)
-        for i in range(0, n, 50_000):
-            k = min(50_000, n - i)
-            if ab is None:
-                q = p[i : i + k]
-                columns = [q["token"].astype(np.int64), q["sig"].astype(np.int64), q["n"].astype(np.int32), q["pos"].astype(np.int32)]
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds)] + [pa.nulls(k, pa.int64())] * 2
+    Rows come sorted by bucket, so one bucket is held at a time; postings that wait for the second round go on at once.
+    """
+    sent: list[np.ndarray] = []
+    now = None
+    for batch in batches:
+        for bucket, whole, data in zip(*(batch.column(x).to_pylist() for x in ("bucket", "whole", "data"))):
+            if bucket != now:
+                yield from _meet_bucket(sent)
+                sent, now = [], bucket
+            if whole:
+                yield from _met(_unpack(data))
             else:
-                arrays = [pa.nulls(k, t) for t in kinds[:4]] + [pa.array(np.ascontiguousarray(ab[i : i + k, j]), pa.int64()) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    for p in held:
-        yield from rows(p, None)
-    if sent:
-        p = shuffled(np.concatenate(sent))
-        # copies of a set in several blocks are one posting
-        p = p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["sig"][1:] != p["sig"][:-1])))]
-        same = p["token"][1:] == p["token"][:-1]
-        p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-        if len(p):
-            yield from rows(p, None)
-            pairs = linear_pairs(p)
-            if len(pairs):
-                yield from rows(p, _distinct(np.stack([p["sig"][pairs[:, 0]], p["sig"][pairs[:, 1]]], 1)))
+                sent.append(_unpack(data))
+    yield from _meet_bucket(sent)
+
+
+def _meet_bucket(sent: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if not sent:
+        return
+    p = shuffled(np.concatenate(sent))
+    # copies of a set in several blocks are one posting
+    p = p[np.concatenate(([True], (p["token"][1:] != p["token"][:-1]) | (p["sig"][1:] != p["sig"][:-1])))]
+    same = p["token"][1:] == p["token"][:-1]
+    p = p[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+    yield from _met(p)
+    pairs = linear_pairs(p)
+    if len(pairs):
+        yield from _met(p, _distinct(np.stack([p["sig"][pairs[:, 0]], p["sig"][pairs[:, 1]]], 1)))
 
 
 def _sets_of(clashes: Clashes):
@@ -373,7 +386,8 @@ class Join:
         n_buckets = max(64, 4 * partitions)
         posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets, self.clashes), POSTED), "posted")
         inside = posted.where("a IS NOT NULL").select("a", "b")
-        met = stash(posted.where("bucket IS NOT NULL").repartition(partitions, "bucket").select("whole", "data").mapInArrow(_meet, MET), "met")
+        buckets = posted.where("bucket IS NOT NULL").select("bucket", "whole", "data").repartition(partitions, "bucket").sortWithinPartitions("bucket")
+        met = stash(buckets.mapInArrow(_meet, MET), "met")
         left, right = (self.hists.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}")) for x in "ab")
         across = met.where("a IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b")
         across = across.where(may_be_similar(F.col("hist_a"), F.col("hist_b"), F.col("n_a") + F.col("n_b"))).select("a", "b")

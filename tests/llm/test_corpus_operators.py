@@ -1,10 +1,12 @@
 """Corpus operators against brute force and SQL, with the defined cases of each."""
 
 import hashlib
+import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +198,42 @@ def test_lengths_that_meet():
     assert (length_class(most) - length_class(sizes) <= 1).all() and (np.diff(length_class(sizes)) >= 0).all()
 
 
+def test_buckets_meet_one_at_a_time():
+    from folioforge.llm import ngram_join
+
+    taken = []
+
+    def batches():
+        for bucket in range(3):
+            taken.append(bucket)
+            p = np.zeros(4, ngram_join.POSTING)
+            p["token"], p["sig"], p["n"] = [bucket, bucket, 10 + bucket, bucket], [1, 2, 3, 9], 10
+            rows = [(bucket, False, ngram_join._pack(p[:1])), (bucket, True, ngram_join._pack(p[3:])), (bucket, False, ngram_join._pack(p[1:3]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "whole", "data"])
+
+    got, rows = ngram_join._meet(batches()), []
+    for batch in got:
+        rows += [(taken[-1], *r.values()) for r in batch.to_pylist()]
+    postings = sorted((t, s) for _, t, s, _, _, a, _ in rows if a is None)
+    assert postings == [(t, s) for t in range(3) for s in (1, 2, 9)]
+    assert [(a, b) for *_, a, b in rows if a is not None] == [(1, 2)] * 3
+    # nothing of a bucket is left when the batch after it has been read
+    assert all(at <= t + 1 for at, t, _, _, _, a, _ in rows if a is None)
+
+
+def test_sketches_are_sent_few_at_a_time(spark, monkeypatch):
+    from folioforge.llm import ngram_join
+
+    def most(batches):
+        rows = max((batch.num_rows for batch in batches), default=0)
+        cells = zlib.compress(np.full(ngram_join.CELLS // ngram_join.CELL_ROWS, min(rows, 255), np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([0] if rows else [], pa.int32()), pa.array([cells] if rows else [], pa.binary())], ["part", "cells"])
+
+    monkeypatch.setattr(ngram_join, "_add_parts", most)
+    parts = spark.range(200).select(F.lit(0).alias("part"), F.expr("cast(repeat('x', 100000) as binary)").alias("cells"))
+    assert 0 < ngram_join.rarity(parts)[0] <= 100  # 8 MB
+
+
 def test_sets_that_share_a_digest(spark, monkeypatch):
     from folioforge.llm import ngram_join
 
