@@ -113,7 +113,10 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple
 def judge(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_id",), log: list | None = None) -> DataFrame:
     """One row per document: ``carry``, the measures, base_failed, the votes, p_good and kept; ``log`` gets the estimates."""
     names = [name for name, _, _ in RULES]
-    measured = stash(measure(docs, text, carry), "quality")
+    measured = measure(docs, text, carry)
+    if text not in carry:  # rows without their text are small: dealt by size, they fill few files, however many partitions ``docs`` has
+        measured = measured.hint("rebalance")
+    measured = stash(measured, "quality")
     voted = measured.select("*", *(vote(bad, good).alias(name) for name, bad, good in RULES))
     failed = F.expr(BASE_FAILED)
     counts = voted.where(~failed).groupBy(*names).count().collect()  # at most 3 ** len(RULES) rows

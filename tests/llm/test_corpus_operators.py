@@ -104,6 +104,14 @@ def test_quality(spark):
     assert sorted((r.doc_id, r.text) for r in whole if r.text) == sorted((i, t) for i, t in [*rows, rows[3]] if t)
 
 
+def test_measures_fill_few_files(spark):
+    """Rows of measures are written by their size, not a file for each partition of the documents."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("the word "), 30).alias("text")).repartition(40)
+    got = judge(docs)
+    assert len(got.inputFiles()) <= 4 and got.count() == got.select("doc_id").distinct().count() == 400
+    assert judge(docs, carry=["doc_id", "text"]).count() == 400
+
+
 def test_estimates_are_free():
     """Votes drawn from known accuracies: these are found again, whatever the priors, and one bad vote may be outweighed."""
     rng = np.random.default_rng(4)
