@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from folioforge.llm.common import mapped
+
 #: Above every rank: the pair is no token.
 NO_RANK = 1 << 40
 #: Pieces up to this many bytes are leaves of the reduction tree.
@@ -260,7 +262,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 found = bpe.encode_all([t or "" for t in batch.column(text).to_pylist()])
                 yield _append(batch, ids, id_lists(found))
 
-    return docs.mapInArrow(run, _with(docs.schema, ids, T.ArrayType(T.IntegerType())))
+    return mapped(docs, run, _with(docs.schema, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -278,7 +280,7 @@ def decode_documents(docs: DataFrame, path: str, pattern: str, ids: str = "ids",
                 found = [bpe.decode(flat[i:j]) for i, j in zip(ends, ends[1:])]
                 yield _append(batch, decoded, pa.array(found, pa.binary()))
 
-    return docs.mapInArrow(run, _with(docs.schema, decoded, T.BinaryType()))
+    return mapped(docs, run, _with(docs.schema, decoded, T.BinaryType()))
 
 
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -295,4 +297,4 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, text: str = "tex
                 yield _append(_append(batch, ids, id_lists(found)), decoded, back)
 
     kept = T.StructType([f for f in docs.schema if f.name != text])
-    return docs.mapInArrow(run, _with(_with(kept, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))
+    return mapped(docs, run, _with(_with(kept, ids, T.ArrayType(T.IntegerType())), decoded, T.BinaryType()))

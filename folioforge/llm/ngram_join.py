@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import connected_components, row_key, spread, stash, unstash, while_writing
+from folioforge.llm.common import connected_components, mapped, row_key, spread, stash, unstash, while_writing
 from folioforge.llm.shingles import digests, mix, shingle_sets, slices
 
 PERCENT = 80
@@ -113,7 +113,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 def rarity(scanned: DataFrame) -> bytes:
     """The level of every cell: CELLS bytes."""
-    parts = scanned.where("part IS NOT NULL").select("part", "cells").repartition(CELL_ROWS, "part").mapInArrow(_add_parts, "part int, cells binary")
+    parts = mapped(scanned.where("part IS NOT NULL").select("part", "cells").repartition(CELL_ROWS, "part"), _add_parts, "part int, cells binary")
     with while_writing(scanned.sparkSession):
         parts = parts.collect()
     levels = np.zeros((CELL_ROWS, CELLS // CELL_ROWS), np.uint8)
@@ -348,7 +348,7 @@ class Join:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", row_key("doc_id", "text").alias("row"), "text")
         self.spark = docs.sparkSession
-        scanned = stash(self.docs.mapInArrow(_scan, SCANNED), "scan")
+        scanned = stash(mapped(self.docs, _scan, SCANNED), "scan")
         rows = scanned.where("part IS NULL").select("doc_id", "row", "n", "sig", "second", "hist")
         self.clashes, renamed = self._clashes(rows)
         if self.clashes:
@@ -372,9 +372,9 @@ class Join:
         """The similar ones of the distinct ``pairs`` (a, b), a written table; they have passed the suffix filter."""
         ids = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
         reps = self.scanned.where("sig IS NOT NULL").groupBy("sig").agg(F.min("row").alias("row")).join(ids, "sig", "left_semi")
-        sets = stash(self.docs.join(reps, "row").select("sig", "text").mapInArrow(_sets_of(self.clashes), "sig long, hashes binary"), "sets")
+        sets = stash(mapped(self.docs.join(reps, "row").select("sig", "text"), _sets_of(self.clashes), "sig long, hashes binary"), "sets")
         left, right = (sets.select(F.col("sig").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
-        links = stash(pairs.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
+        links = stash(mapped(pairs.join(left, "a").join(right, "b"), _verify, "a long, b long"), "links")
         unstash(sets)
         return links
 
@@ -384,10 +384,10 @@ class Join:
         posting_bytes = self.hists.agg(F.sum(24 * (F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1))).first()[0] or 0
         partitions = max(partitions, -(-posting_bytes // MEET_BYTES))
         n_buckets = max(64, 4 * partitions)
-        posted = stash(self.docs.mapInArrow(_post(self.levels, n_buckets, self.clashes), POSTED), "posted")
+        posted = stash(mapped(self.docs, _post(self.levels, n_buckets, self.clashes), POSTED), "posted")
         inside = posted.where("a IS NOT NULL").select("a", "b")
         buckets = posted.where("bucket IS NOT NULL").select("bucket", "whole", "data").repartition(partitions, "bucket").sortWithinPartitions("bucket")
-        met = stash(buckets.mapInArrow(_meet, MET), "met")
+        met = stash(mapped(buckets, _meet, MET), "met")
         left, right = (self.hists.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("hist").alias(f"hist_{x}")) for x in "ab")
         across = met.where("a IS NOT NULL").select("a", "b").distinct().join(left, "a").join(right, "b")
         across = across.where(may_be_similar(F.col("hist_a"), F.col("hist_b"), F.col("n_a") + F.col("n_b"))).select("a", "b")

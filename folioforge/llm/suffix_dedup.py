@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioforge.llm.anchors import SEGMENT, SPAN, WINDOW, pieces, prefix_sums, segments, substring_hash
-from folioforge.llm.common import bucket_keys, spread, stash, unstash
+from folioforge.llm.common import bucket_keys, mapped, spread, stash, unstash
 from folioforge.llm.shingles import mix
 
 #: Segments that a block gathers before it sends them.
@@ -129,6 +129,7 @@ def _send_anchors(buckets: list[int]):
 
     def block(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         s = np.concatenate(parts)
+        parts.clear()
         s = s[np.argsort(s["anchor"], kind="stable")]
         new = heads(s["anchor"])
         again = ~new
@@ -549,23 +550,24 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), as_tex
     known = stash(known.select("address", "sha", "own", F.col("place").bitwiseXOR(F.col("own")).alias("shift"), (F.col("place") != F.col("first")).alias("copy")), "known")
     unstash(hashed)
 
-    gather = lambda sent: sent.repartition("bucket").select("data").mapInArrow(_gather_marks, "address long, marks binary")
+    gather = lambda sent: mapped(sent.repartition("bucket").select("data"), _gather_marks, "address long, marks binary")
     sources = rows.select(F.col("address").alias("doc_id"), "text")
-    anchors = sources.mapInArrow(_send_anchors(buckets), SENT).repartition("bucket").mapInArrow(_meet_anchors(buckets), SENT)
+    anchors = mapped(mapped(sources, _send_anchors(buckets), SENT).repartition("bucket"), _meet_anchors(buckets), SENT)
     marked = stash(gather(anchors), "marked")
 
     same = ["address", "sha"]
     hashed_rows = rows.withColumn("sha", F.sha2("text", 256))
     wanted = known.where("NOT copy").join(marked, "address").select("address", "sha", "own", "shift", "marks")
     held = hashed_rows.select("address", "sha", "text").join(wanted, same).select(F.col("own").alias("doc_id"), "text", "marks", "shift")
-    sent = held.mapInArrow(_send_segments(buckets), SENT)
-    met = stash(sent.repartition("bucket").mapInArrow(_meet_segments(buckets), SENT), "met")
+    sent = mapped(held, _send_segments(buckets), SENT)
+    met = stash(mapped(sent.repartition("bucket"), _meet_segments(buckets), SENT), "met")
     unstash(marked)
     by_kind = lambda df, kind: df.where(F.col("kind") == kind)
-    windows = by_kind(met, WINDOWS).repartition("bucket").select("data").mapInArrow(_meet_windows(buckets), SENT)
+    windows = mapped(by_kind(met, WINDOWS).repartition("bucket").select("data"), _meet_windows(buckets), SENT)
     found = stash(gather(by_kind(met, MARKS).union(windows)), "found")
     unstash(met)
 
     plan = known.join(found.withColumnRenamed("address", "own"), "own", "left").select("address", "sha", "copy", "marks")
     schema = T.StructType([*(docs.schema[c] for c in carry), *T._parse_datatype_string(CLEANED.format(kind="string" if as_text else "binary"))])
-    return hashed_rows.select("address", "sha", "text", "others").join(plan, same).select("text", "copy", "marks", "others").mapInArrow(_cut(list(carry), as_text), schema)
+    held = hashed_rows.select("address", "sha", "text", "others").join(plan, same).select("text", "copy", "marks", "others")
+    return mapped(held, _cut(list(carry), as_text), schema)
