@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.operators.relational import met
 from folioforge.session import written
 
 
@@ -181,31 +183,73 @@ def merge_in_order(boxes: Column, gap: float = 30) -> Column:
     return F.aggregate(ordered, F.array().cast("array<struct<y0:double,x0:double,x1:double,y1:double>>"), step)
 
 
-def match_above(captions: DataFrame, rects: DataFrame) -> DataFrame:
-    """(doc_id, page_no, caption_no, rect_no): in caption order the free box that ends nearest above (or 50 below) its top."""
+def _nearest(tops: list[float | None], boxes: list[tuple[float, int]]) -> list[int | None]:
+    """For each top in turn the place of the free box that ends nearest above it, or at most 50 below; boxes by (end, number).
+
+    A box that is taken points to the next one on either side, so a page costs about as much as sorting it.
+    """
+    ends = [end for end, _ in boxes]
+    before, after = list(range(len(boxes) + 1)), list(range(len(boxes) + 1))  # before[i + 1] and after[i] are box i's
+
+    def free(jumps: list[int], i: int) -> int:
+        while jumps[i] != i:
+            jumps[i] = jumps[jumps[i]]
+            i = jumps[i]
+        return i
+
+    found: list[int | None] = []
+    for top in tops:
+        fit: list[tuple[float, int, int]] = []
+        if top is not None and top == top:
+            i = free(before, bisect_right(ends, top)) - 1
+            while i >= 0 and (not fit or abs(top - ends[i]) == fit[0][0]):  # another end may be as far by rounding
+                i = free(after, bisect_left(ends, ends[i]))
+                fit.append((abs(top - ends[i]), boxes[i][1], i))
+                i = free(before, i) - 1
+            i, near = free(after, bisect_right(ends, top)), None
+            while i < len(ends) and ends[i] <= top + 50 and near in (None, abs(top - ends[i])):
+                near = abs(top - ends[i])
+                fit.append((near, boxes[i][1], i))
+                i = free(after, bisect_right(ends, ends[i]))
+        place = min(fit)[2] if fit else None
+        if place is not None:
+            before[place + 1], after[place] = place, place + 1
+        found.append(place)
+    return found
+
+
+def _figures(boxes: list[tuple], heads: list[tuple]) -> list[tuple]:
+    """Boxes and captions of a page (page, caption_no, rect_no, x0, y0, x1, y1), each alone or, as a box of a caption, matched."""
+    whole = None not in (boxes or heads)[0][:2]  # rows without a document or page have nothing in common
+    fit = [b for b in boxes if b[7] is not None and b[7] == b[7]] if whole else []
+    places = _nearest([h[5] for h in heads], [(b[7], b[3]) for b in fit])
+    taken = {fit[i][3] for i in places if i is not None}
+    rows = [(*(h if i is None else fit[i]), h[2], "above" if i is None else "matched") for h, i in zip(heads, places)]
+    rows += [(*b, None, "alone") for b in boxes if not whole or b[3] not in taken]
+    return [(*r[:2], r[8], *r[3:8], r[9]) for r in rows]
+
+
+def paired_above(captions: DataFrame, rects: DataFrame) -> DataFrame:
+    """Captions and boxes once each: in caption order the free box that ends nearest above (or 50 below) its top.
+
+    kind is ``matched`` (the box, with its caption), ``above`` (a caption without one) or ``alone`` (a box without one).
+    """
+    corners = ["x0", "y0", "x1", "y1"]
+    schema = "doc_id long, page_no int, caption_no int, rect_no int, x0 double, y0 double, x1 double, y1 double, kind string"
+    heads = captions.select(*PAGE, "caption_no", *(F.col(c).cast("double").alias(c) for c in corners[:3]))
+    boxes = rects.select(*PAGE, "rect_no", *(F.col(c).cast("double").alias(c) for c in corners))
+    return met(boxes, heads, PAGE, ["caption_no", "y1", "rect_no"], [*PAGE, "caption_no", "rect_no", *corners], _figures, schema)
 
-    def match(caps: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
-        free = {r.rect_no: r.y1 for r in boxes.itertuples()}
-        rows = []
-        for c in caps.sort_values("caption_no").itertuples():
-            fit = [(abs(c.y0 - y1), n) for n, y1 in free.items() if y1 <= c.y0 + 50]
-            if fit:
-                _, n = min(fit)
-                del free[n]
-                rows.append((c.doc_id, c.page_no, c.caption_no, n))
-        return pd.DataFrame(rows, columns=["doc_id", "page_no", "caption_no", "rect_no"])
 
-    by = ["doc_id", "page_no"]
-    return captions.groupBy(*by).cogroup(rects.groupBy(*by)).applyInPandas(match, "doc_id long, page_no int, caption_no int, rect_no int")
+def match_above(captions: DataFrame, rects: DataFrame) -> DataFrame:
+    """(doc_id, page_no, caption_no, rect_no) of ``paired_above`` where a caption has a box."""
+    return paired_above(captions, rects).where("kind = 'matched'").select(*PAGE, "caption_no", "rect_no")
 
 
 def figure_regions(captions: DataFrame, rects: DataFrame) -> DataFrame:
     """Regions of figures: matched boxes, a strip above captions without one, and large boxes without a caption."""
-    found = match_above(captions, rects)
-    matched = found.join(rects, ["doc_id", "page_no", "rect_no"]).select("doc_id", "page_no", "caption_no", F.lit("matched").alias("kind"), "x0", "y0", "x1", "y1")
-    bare = captions.join(found, ["doc_id", "page_no", "caption_no"], "left_anti")
+    above = F.col("kind") == "above"
     tall = F.least(F.greatest(F.col("y0") * 0.4, F.lit(100.0)), F.lit(300.0))
-    strip = bare.select("doc_id", "page_no", "caption_no", F.lit("above").alias("kind"), (F.col("x0") - 30).alias("x0"), F.greatest(F.col("y0") - tall, F.lit(0.0)).alias("y0"), (F.col("x1") + 30).alias("x1"), F.col("y0").alias("y1"))
-    rest = rects.join(found, ["doc_id", "page_no", "rect_no"], "left_anti").where("x1 - x0 > 200 AND y1 - y0 > 200")
-    alone = rest.select("doc_id", "page_no", F.lit(None).cast("int").alias("caption_no"), F.lit("alone").alias("kind"), "x0", "y0", "x1", "y1")
-    return matched.unionByName(strip).unionByName(alone)
+    strip = {"x0": F.col("x0") - 30, "y0": F.greatest(F.col("y0") - tall, F.lit(0.0)), "x1": F.col("x1") + 30, "y1": F.col("y0")}
+    shown = paired_above(captions, rects).where("kind <> 'alone' OR (x1 - x0 > 200 AND y1 - y0 > 200)")
+    return shown.select(*PAGE, "caption_no", "kind", *(F.when(above, c).otherwise(F.col(name)).alias(name) for name, c in strip.items()))

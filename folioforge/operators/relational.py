@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from folioforge.schemas import ERROR_PHASE, SORTABLE
 from folioforge.session import dropped_at_exit, shared_path, written
@@ -237,3 +241,35 @@ def chain_edges(nodes: DataFrame, by: list[str], order: str, node: str) -> DataF
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str, prefix: str = "") -> DataFrame:
     n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, F.concat(F.lit(prefix), n) if prefix else n)
+
+
+def met(first: DataFrame, second: DataFrame, by: list[str], order: list[str], columns: list[str], match: Callable[[list[tuple], list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What ``match`` makes of each key's rows of both tables, in order, as tuples of ``columns`` (null where a table has none).
+
+    Keys come sorted inside partitions and are taken one after the other: a call for each batch of rows, not for each key.
+    """
+    both = first.withColumn("_second", F.lit(False)).unionByName(second.withColumn("_second", F.lit(True)), allowMissingColumns=True)
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    places, side = [columns.index(c) for c in by], len(columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, ([], [])
+
+        def done() -> list[tuple]:
+            return match(*held) if held[0] or held[1] else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            parts = zip(*rows) if rows else [()] * len(made)
+            return pa.RecordBatch.from_arrays([pa.array(list(part), f.type) for part, f in zip(parts, made)], schema=made)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (now := tuple(row[i] for i in places)) != key:
+                    out += done()
+                    key, held = now, ([], [])
+                held[row[side]].append(row[:side])
+            yield batch_of(out)
+        yield batch_of(done())
+
+    return both.select(*columns, "_second").repartition(*by).sortWithinPartitions(*by, "_second", *order).mapInArrow(run, schema)

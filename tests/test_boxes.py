@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from folioforge.operators import geometry
 
@@ -50,3 +51,42 @@ def test_large_regions(spark):
     pages = spark.createDataFrame([(1, 1, 612.0, 792.0), (1, 2, 612.0, 792.0)], "doc_id long, page_no int, width double, height double")
     got = sorted(tuple(r)[1:] for r in geometry.large_regions(spark.createDataFrame(rows, COLUMNS), pages).collect())
     assert got == [(1, "figure_1", 0.0, 0.0, 410.0, 310.0), (2, "figure_2", 440.0, 590.0, 612.0, 792.0), (2, "figure_3", 0.0, 690.0, 160.0, 792.0)]
+
+
+def paired(rows, heads):
+    """The loop that ``paired_above`` stands for."""
+    out = []
+    for page in {r[:2] for r in rows} | {h[:2] for h in heads}:
+        free = {r[2]: r for r in rows if r[:2] == page}
+        for h in sorted((h for h in heads if h[:2] == page), key=lambda h: h[2]):
+            fit = [(abs(h[4] - r[6]), n) for n, r in free.items() if r[6] <= h[4] + 50]
+            n = min(fit)[1] if fit else None
+            out.append((*page, h[2], n, "matched" if fit else "above"))
+            free.pop(n, None)
+        out += [(*page, None, n, "alone") for n in free]
+    return out
+
+
+def test_boxes_above_captions(spark):
+    rng = random.Random(4)
+    rows = [(d, p, n, x0, y0, x1, rng.choice([y1, 100.0, 150.0])) for d, p, n, x0, y0, x1, y1 in boxes(3, 200)]
+    heads = [(rng.randrange(4), 1, i, 0.0, rng.choice([rng.uniform(-400, 900), 125.0, 60.0]), 9.0) for i in range(150)]
+    captions = spark.createDataFrame(heads, "doc_id long, page_no int, caption_no int, x0 double, y0 double, x1 double")
+    got = geometry.paired_above(captions, spark.createDataFrame(rows, COLUMNS)).select("doc_id", "page_no", "caption_no", "rect_no", "kind").collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, paired(rows, heads)))
+
+
+def test_a_long_page_of_captions_is_not_quadratic():
+    n = 200_000
+    tops = [float(i % 1000) for i in range(n)]
+    assert sorted(geometry._nearest(tops, sorted((float(i % 1000), i) for i in range(n)))) == list(range(n))
+
+
+def test_figures_of_many_pages_in_little_time(spark):
+    n = 40_000  # pages; a call for each page took 2 ms of a core
+    rows = spark.range(n).selectExpr("id AS doc_id", "1 AS page_no", "CAST(id AS INT) AS rect_no", "0D AS x0", "0D AS y0", "300D AS x1", "250D AS y1")
+    heads = spark.range(0, n, 2).selectExpr("id AS doc_id", "1 AS page_no", "7 AS caption_no", "0D AS x0", "if(id % 4 = 0, 260D, 100D) AS y0", "50D AS x1")
+    began = time.monotonic()
+    counts = {r.kind: r["count"] for r in geometry.figure_regions(heads, rows).groupBy("kind").count().collect()}
+    assert counts == {"matched": n // 4, "above": n // 4, "alone": n * 3 // 4}
+    assert time.monotonic() - began < 15
