@@ -71,7 +71,7 @@ def _(spark, sf):
     named = F.create_map(*(F.lit(x) for pair in PHASE_OF_EVENT.items() for x in pair))
     log = table_stream(spark, sf, "events").select(F.col("user_id").alias("paper_id"), F.try_element_at(named, F.col("event_type")).alias("phase"), "ts")
     changes = run_state.drained(run_state.live_runs(log), dropped_at_exit(spark, shared_path(spark, "runs")))
-    return changes.groupBy("paper_id", "progress", "state").agg(F.count("*").alias("n"), F.unix_seconds(F.max("at")).alias("last_second"))
+    return changes.groupBy("paper_id", "progress", "state").agg(F.count("*").alias("n"), run_state.shown_second(F.max("at")).alias("last_second"))
 
 
 @register("udf01_phase_calls", answered("'Screen: ' || c_name", "customer", "c_custkey", "screening"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -116,3 +116,10 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     run = stream.writeStream.outputMode("append").format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def shown_second(moment: Column) -> Column:
+    """The second of a moment that is kept in milliseconds, as DuckDB's ``epoch_ms(t) // 1000``: the nearest millisecond (half
+    away from zero), cut to its second, so what is half a millisecond short of a second counts as the next one."""
+    milliseconds = F.call_function("div", F.unix_micros(moment) + F.signum(F.unix_micros(moment)).cast("long") * 500, F.lit(1000))
+    return F.call_function("div", milliseconds, F.lit(1000))

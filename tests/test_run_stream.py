@@ -4,6 +4,7 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioforge.streaming import run_state
 
@@ -59,3 +60,11 @@ def test_runs_by_the_clock(spark, tmp_path):
         assert shows([*done, (2, 60, "running"), (3, 20, "running")])
     finally:
         run.stop()
+
+
+def test_seconds_are_those_of_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    micros = [b + d for b in (0, 1706086162_000000, -5_000000) for d in (0, 1, 499_999, 999_499, 999_500, 999_999, -1, -499, -500, -501, -1_499, -1_500)]
+    got = spark.createDataFrame([(m,) for m in micros], "m long").select("m", run_state.shown_second(F.timestamp_micros("m")).alias("s")).collect()
+    want = duckdb.connect().execute("SELECT m, epoch_ms(make_timestamp(m)) // 1000 FROM (SELECT unnest(?::BIGINT[]) AS m)", [micros]).fetchall()
+    assert sorted((r.m, r.s) for r in got) == sorted(want)
