@@ -191,3 +191,21 @@ def test_changes_without_an_order(spark):
         patch_rows(base, twice.drop("at")).collect()
     new = insert_rows(base, spark.range(200).selectExpr("id", "cast(id as string) v").repartition(7).orderBy(F.rand())).collect()
     assert sorted(r.id for r in new) == list(range(1, 203))
+
+
+def test_costs_with_four_decimals_are_those_of_printf(spark):
+    from folioforge.functions.reports import fixed4
+
+    values = [0.0, -0.0, 0.03125, 0.09375, -0.03125, 0.24775, 0.88635, 1234.00005, 1e-300, 0.99995, 9999.99995, -0.00001, 549755813887.99995, 123456789012.12345]
+    values += [k / 100000 for k in range(5, 40000, 10)] + [k / 32 for k in range(1, 1000)] + [k * 1.37 for k in range(1000)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed4(F.col("v")).alias("s")).collect()
+    assert [(r.v, r.s) for r in got if r.s != "%.4f" % r.v] == [] and len(got) == len(values)
+
+
+def test_reports_show_costs_as_their_sql(spark):
+    from folioforge.functions import phase_markdown as md
+
+    papers = spark.createDataFrame([(1, "t", "a", 2000, "j", "d")], "id long, title string, authors string, year int, journal string, domain string")
+    row = "SELECT 1L AS paper_id, 'recipe' AS phase, 'x' AS result, 'm' AS model_used, 1L AS tokens_in, 2L AS tokens_out, {}D AS cost_usd, now() AS created_at, {} AS id"
+    text = md.report(papers, spark.sql(row.format("0.24775", 1) + " UNION ALL " + row.format("0.00005", 2))).first().markdown
+    assert "Cost: $0.2477*" in text and f"Cost: ${0.00005:.4f}*" in text and f"**Total Cost:** ${0.2478:.4f}\n" in text
