@@ -45,3 +45,17 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="one file name"):
         written(spark.createDataFrame([("a", "x"), ("./a", "y")], "file string, content string"), path)
     assert files_of(path) == {}
+
+
+def test_written_reports_show_costs_as_their_sql(spark, tmp_path):
+    """Files of papers whose costs lie half-way between two texts, and of one whose cost does not."""
+    duckdb = pytest.importorskip("duckdb")
+    from folioforge.plans import registry
+
+    con = duckdb.connect()
+    for name, key in (("customer", "c_custkey"), ("orders", "o_custkey")):
+        con.execute(f"CREATE TABLE {name} AS SELECT * FROM '/root/testdata/sf0.1/{name}.parquet' WHERE {key} IN (7, 1024, 3872, 9193)")
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = registry.queries()["snk01_written_reports"](spark, str(tmp_path)).collect()
+    want = con.execute("SELECT file, digest FROM (" + registry.oracles()["snk01_written_reports"] + ")").fetchall()
+    assert sorted((r.file, r.digest) for r in got) == sorted(want)
