@@ -209,3 +209,21 @@ def test_reports_show_costs_as_their_sql(spark):
     row = "SELECT 1L AS paper_id, 'recipe' AS phase, 'x' AS result, 'm' AS model_used, 1L AS tokens_in, 2L AS tokens_out, {}D AS cost_usd, now() AS created_at, {} AS id"
     text = md.report(papers, spark.sql(row.format("0.24775", 1) + " UNION ALL " + row.format("0.00005", 2))).first().markdown
     assert "Cost: $0.2477*" in text and f"Cost: ${0.00005:.4f}*" in text and f"**Total Cost:** ${0.2478:.4f}\n" in text
+
+
+def test_running_captions_of_odd_texts_are_those_of_sql(spark, tmp_path):
+    import duckdb
+
+    from folioforge.plans import registry
+
+    texts = [
+        "", "   ", None, "\n\n", "\t", "plain", ". dots: first", ": x", "\n\nafter", "Table of things", "figure it out", "Fig. without", "see Figure 3 for", "see fig.\n4", "Fig\x0b5 x", "a\x0bb  c", "a\u0085",
+        "a\n", "a\r\n", "a\u2028", "x\u0001y Figure", "\u0001", "one\nSection 12 two", "one\nS\u017f 12 two", "one\n\u212aa\x0b1 two", "one\nab\x0b12 two", "a\u00a0 b \f c", "FIGURES", "ends in Fig", "...", "  lead", "a tabletop\n\nb", "a$b\\\\1",
+    ]
+    rows = list(enumerate(texts)) + [(None, "no key")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["txt09_running_captions"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute("SELECT doc_id, number, caption FROM (" + registry.oracles()["txt09_running_captions"] + ")").fetchall()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
