@@ -253,3 +253,15 @@ def test_captions_near_pages_are_those_of_the_loop_and_take_little_time(spark):
     began = time.monotonic()
     assert captions.match_near_pages(many, spark.range(n).selectExpr("id AS doc_id", "3 AS page_no", "1 AS fig_num", "'c' AS caption")).count() == n
     assert time.monotonic() - began < 15
+
+
+def test_recipe_cards_read_their_json_once(spark):
+    from folioforge.functions import phase_markdown as md
+
+    text = '{"confidence": 0.5, "recipe": {"parameters": {"a": null, "b": {"name": "c", "value": 1, "status": "[RED]"}}}}'
+    card = md.recipe_card(F.col("t"), F.lit(None).cast("string"), F.lit(1), F.lit("now"))
+    rows = spark.createDataFrame([(text,), ("no json",), (None,)], "t string").select(card.alias("c"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_json(") < 10  # 113 as long as each field read it anew
+    want = "# Recipe Card: Untitled Paper\n\n> Paper ID: 1\n> Generated: now\n\n## Parameters\n\n" + md.PARAMETER_HEAD
+    want += "| a |  |  |  | :green_circle: EXPLICIT |\n| c | 1 |  |  | :red_circle: MISSING |\n\n## Confidence Metrics\n- Extraction Confidence: 50%\n"
+    assert [r.c for r in rows.collect()] == [want, None, None]
